@@ -26,6 +26,8 @@ BITS = 17
 MASK = (1 << BITS) - 1
 GRAMS = (3, 4)
 DIMENSION = 12
+#: The feature of a word next to itself.
+REPEATED = crc32(b"\n") & MASK
 #: Words that a worker remembers; beyond it the older half is forgotten.
 REMEMBERED = 300_000
 
@@ -37,7 +39,9 @@ def word_features(word: bytes) -> list[int]:
 
 
 def _pairs(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) >> np.uint64(64 - BITS)).astype(np.int64)
+    """Features of neighbouring words; a word next to itself is one feature, whatever the word."""
+    mixed = ((hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.where(hashes[:-1] == hashes[1:], REPEATED, mixed)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
