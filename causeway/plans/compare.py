@@ -132,6 +132,34 @@ STATISTICS: dict[str, Callable[[Graph, Graph], float]] = {
 }
 
 
+def _marks(g: Graph, mark: str) -> set[tuple[str, str]]:
+    """(a, b) where the mark at b is the given one."""
+    return {(x, y) for a, b, _, _ in g.edges() for x, y in ((a, b), (b, a)) if g.mark(x, y) == mark}
+
+
+def _in_cycles(g: Graph) -> set[str]:
+    return {n for n in g.nodes if any(n in g.descendants([c]) for c in g.children(n))} | {n for a, b, _, _ in g.edges() if g.bidirected(a, b) for n in (a, b)}
+
+
+def _two_cycles(g: Graph) -> set[frozenset]:
+    return {frozenset((a, b)) for a, b, _, _ in g.edges() if g.bidirected(a, b)}
+
+
+def _shares(f: Callable[[Graph], set]) -> tuple[Callable, Callable]:
+    """Precision and recall of a set that a graph has."""
+    return (lambda t, e: _ratio(len(f(t) & f(e)), len(f(e)))), (lambda t, e: _ratio(len(f(t) & f(e)), len(f(t))))
+
+
+STATISTICS["TP"], STATISTICS["TR"] = _shares(lambda g: _marks(g, TAIL))
+STATISTICS["NICP"], STATISTICS["NICR"] = _shares(_in_cycles)
+STATISTICS["2CP"], STATISTICS["2CR"] = _shares(_two_cycles)
+STATISTICS["2CTP"] = lambda t, e: float(len(_two_cycles(t) & _two_cycles(e)))
+STATISTICS["2CFP"] = lambda t, e: float(len(_two_cycles(e) - _two_cycles(t)))
+STATISTICS["2CFN"] = lambda t, e: float(len(_two_cycles(t) - _two_cycles(e)))
+STATISTICS["%AMB"] = lambda t, e: _ratio(len(e.ambiguous) / 2, sum(1 for _ in e.unshielded()))
+STATISTICS["%Bi"] = lambda t, e: _ratio(len(_two_cycles(e)), e.number_of_edges())
+
+
 @dataclass
 class Comparison:
     """A grid of simulations, algorithms and statistics.
