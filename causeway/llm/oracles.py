@@ -2,4 +2,68 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, {_words("coalesce(text, '')")} as w from documents),
+g as (select r, i, count(*) over (partition by r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) as n from (select r, w, unnest(range(1, len(w) - 1)) as i from d)),
+c as (select r, count(distinct p) as n_repeat_words from (select r, unnest([i, i + 1, i + 2]) as p from g where n > 1) group by r),
+l as (select r, unnest(string_split(t, chr(10))) as x from d),
+m as (select r, x, trim(x, {_BLANKS}) as y, {_words("x")} as w, length(x) - length(translate(x, '#*$%&|<>', '')) as symbols, (length(x) - length(replace(x, '!!', ''))) / 2.0 as shouts, length(x) - length(replace(x, '|', '')) as bars from l),
+b as (select r, x, y, len(w) > 0 and (symbols > 0.3 * len(w) or shouts > 0.3 * len(w) or (len(w) < 10 and not regexp_matches(y, '[.!?:;。！？…]["''”’»)\\]]*$')) or (bars >= 2 and 3 * bars >= len(w))
+  or regexp_matches(y, '(?i)\\b(?:(?:accept|use|uses|using) (?:all )?cookies|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|lorem ipsum|sign up for our newsletter|click here to)\\b')
+  or (len(w) >= 20 and 10 * len(list_distinct(w)) < len(w))) as bad from m),
+a as (select r, count(*) as n_lines, count(*) filter (where bad) as n_bad_lines, cast(coalesce(sum(length(x)) filter (where bad), 0) as bigint) as lost_chars, count(x) filter (where y <> '') - count(distinct case when y <> '' then x end) as n_dup_lines from b group by r),
+f as (select d.r, doc_id, t, len(w) as n_words, length(translate(t, {_BLANKS}, '')) as word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, n_lines, n_bad_lines, lost_chars from d join a on a.r = d.r left join c on c.r = d.r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and lost_chars <= 0.3::double * length(t) as kept, n_lines, n_bad_lines, lost_chars from f""",
+    "op4_url_filter": """
+with s as (select row_number() over () as r, page_id, case when contains(coalesce(url, ''), '://') then substr(url, instr(url, '://') + 3) else '' end as u from pages),
+h as (select r, page_id, translate(regexp_extract(u, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) as path from s),
+rules as (select * from (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) as t(rh, rp, rv)),
+f as (select r, max(struct_pack(n := length(rh || rp), h := length(rh), b := rv = 'block', rule := rh || rp, verdict := rv)) as best from h join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by r)
+select page_id, host, path, best.rule as rule, coalesce(best.verdict, 'allow') as verdict from h left join f on f.r = h.r""",
+    "op6_line_dedup": f"""
+with d as (select row_number() over () as r, doc_id, text, coalesce(doc_id, 9223372036854775807) as doc, string_split(text, chr(10)) as ls from documents),
+t as (select r, doc, text, list_transform(ls, x -> trim(x, {_BLANKS})) as ls from d),
+w as (select r, doc, text, i - 1 as place, [ls[i], ls[i + 1], ls[i + 2]] as k from (select r, doc, text, ls, unnest(range(1, len(ls) - 1)) as i from t) where ls[i] || ls[i + 1] || ls[i + 2] <> ''),
+f as (select k, min(struct_pack(doc := doc, place := place)) as first from w group by k having count(*) > 1),
+g as (select distinct r, unnest([place, place + 1, place + 2]) as p from w join f on f.k = w.k where doc <> first.doc or place <> first.place),
+l as (select r, unnest(range(0, len(ls))) as p, unnest(ls) as x from d),
+k as (select l.r, count(*) as n_lines, count(g.p) as n_removed, string_agg(l.x, chr(10) order by l.p) filter (where g.p is null) as kept from l left join g on g.r = l.r and g.p = l.p group by l.r)
+select doc_id, n_lines, n_removed, case when n_removed = 0 then text else coalesce(kept, '') end as text from d left join k on k.r = d.r""",
+}
+
+
+def _license_sql() -> str:
+    from causeway.llm.licenses import TEMPLATES
+
+    rows = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+    terms = "list_filter(regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), x -> x <> '')"
+    return f"""
+with t as (select * from (values {rows}) as v(k, license, body)),
+tt as (select k, license, term, count(*) as tf from (select k, license, unnest({terms.format("body")}) as term from t) group by all),
+idf as (select term, ln((1 + (select count(*) from t)) / (1 + count(distinct k))::double) + 1 as idf from tt group by term),
+tw as (select k, license, term, tf * idf as w, sqrt(sum(tf * idf * tf * idf) over (partition by k)) as norm from tt join idf using (term)),
+d as (select doc_id, source, lang, coalesce(text, '') as text, len({_words("coalesce(text, '')")}) as n from documents),
+f as (select doc_id, text, case when n <= 30 then source || '/LICENSE-' || doc_id when n <= 60 then source || '/' || lang || '/LICENSE-' || doc_id else source || '/' || lang || '/' || doc_id || '.txt' end as path, n <= 60 as holder from d),
+u as (select path, unnest(string_split(text, chr(10))) as unit from f union select path, text from f where holder),
+ut as (select unit, term, count(*) as tf from (select unit, unnest({terms.format("unit")}) as term from (select distinct unit from u)) group by all),
+uw as (select unit, term, tf * coalesce(idf, ln(1 + (select count(*) from t)) + 1) as w from ut left join idf using (term)),
+un as (select unit, sqrt(sum(w * w)) as norm from uw group by unit),
+s as (select uw.unit, k, license, round(sum(uw.w * tw.w / tw.norm) / any_value(un.norm), 9) as score from uw join tw using (term) join un on un.unit = uw.unit group by uw.unit, k, license),
+best as (select unit, max(struct_pack(score := score, k := -k, license := license)) as b from s where score >= 0.6 group by unit),
+own as (select path, max(struct_pack(score := b.score, license := b.license)) as b from u join best using (unit) group by path),
+p as (select doc_id, path, holder, regexp_extract(path, '^(.*)/', 1) as dir, b.license as own_license, b.score as score from f left join own using (path)),
+h as (select dir, min(struct_pack(s := -score, path := path, license := own_license)) as h from p where holder and own_license is not null group by dir),
+n as (select doc_id, max(struct_pack(depth := len(string_split(h.dir, '/')), path := h.h.path, license := h.h.license)) as n from p join h on p.dir = h.dir or starts_with(p.dir, h.dir || '/') group by doc_id)
+select p.doc_id, path, own_license, score, n.license as inherited_license, n.path as inherited_from, coalesce(own_license, n.license) as license from p left join n on n.doc_id = p.doc_id"""
+
+
+ORACLE_SQL["op10_license_scan"] = _license_sql()
