@@ -6,7 +6,7 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 def _words(text: str) -> str:
-    return f"list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,7 +31,7 @@ f as (select r, max(struct_pack(n := length(rh || rp), h := length(rh), b := rv
 select page_id, host, path, best.rule as rule, coalesce(best.verdict, 'allow') as verdict from h left join f on f.r = h.r""",
     "op6_line_dedup": f"""
 with d as (select row_number() over () as r, doc_id, text, coalesce(doc_id, 9223372036854775807) as doc, string_split(text, chr(10)) as ls from documents),
-t as (select r, doc, text, list_transform(ls, x -> trim(x, {_BLANKS})) as ls from d),
+t as (select r, doc, text, list_transform(ls, lambda x: trim(x, {_BLANKS})) as ls from d),
 w as (select r, doc, text, i - 1 as place, [ls[i], ls[i + 1], ls[i + 2]] as k from (select r, doc, text, ls, unnest(range(1, len(ls) - 1)) as i from t) where ls[i] || ls[i + 1] || ls[i + 2] <> ''),
 f as (select k, min(struct_pack(doc := doc, place := place)) as first from w group by k having count(*) > 1),
 g as (select distinct r, unnest([place, place + 1, place + 2]) as p from w join f on f.k = w.k where doc <> first.doc or place <> first.place),
@@ -45,7 +45,7 @@ def _license_sql() -> str:
     from causeway.llm.licenses import TEMPLATES
 
     rows = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
-    terms = "list_filter(regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), x -> x <> '')"
+    terms = "list_filter(regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '')"
     return f"""
 with t as (select * from (values {rows}) as v(k, license, body)),
 tt as (select k, license, term, count(*) as tf from (select k, license, unnest({terms.format("body")}) as term from t) group by all),
