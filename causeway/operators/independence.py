@@ -371,3 +371,80 @@ def bootstrap_fisher_z(cov_of: Callable[[int], Covariance], draws: int, alpha: f
 
 def chisq_threshold(alpha: float, df: int) -> float:
     return float(chisq_quantile(1 - alpha, df))
+
+
+class RegressionTest(IndependenceTest):
+    """The p-value of y's coefficient in the regression of x on y and z, from a covariance matrix; x and y swapped keeps it."""
+
+    def __init__(self, cov: Covariance, alpha: float = 0.05) -> None:
+        super().__init__(cov.names, alpha)
+        self.cov = cov
+
+    def p_value(self, x, y, z):
+        from causeway.operators.regression import ols_from_covariance
+
+        fit = ols_from_covariance(self.cov, x, [y, *z])
+        return float(fit.p[0])
+
+
+class PooledResiduals(IndependenceTest):
+    """Fisher's Z of residuals on z taken in each data set by itself and concatenated: pooled partial covariances, weighed by rows."""
+
+    def __init__(self, covs: list[Covariance], alpha: float = 0.05) -> None:
+        super().__init__(covs[0].names, alpha)
+        self.covs = covs
+
+    def p_value(self, x, y, z):
+        from causeway.operators.moments import partial_covariance, partial_variance
+
+        n = sum(c.n for c in self.covs)
+        xy = sum(c.n * partial_covariance(c, x, y, z) for c in self.covs)
+        xx, yy = (sum(c.n * partial_variance(c, v, z) for c in self.covs) for v in (x, y))
+        r = float(np.clip(xy / np.sqrt(xx * yy), -1 + 1e-16, 1 - 1e-16))
+        return float(2 * (1 - normal_cdf(np.sqrt(max(n - 3 - len(z), 1)) * abs(np.arctanh(r)))))
+
+
+class MultinomialWald(IndependenceTest):
+    """Wald test of y's coefficients in a multinomial logistic regression of discrete x on y and z."""
+
+    def __init__(self, df: DataFrame, columns: list[str], alpha: float = 0.05) -> None:
+        super().__init__(columns, alpha)
+        self.df = df
+        self.kinds = {c: kind(df, c) for c in columns}
+
+    def p_value(self, x, y, z):
+        if self.kinds[x] != "discrete":
+            x, y = y, x
+        if self.kinds[x] != "discrete":
+            fit = ols(self.df, x, [y, *z], generalized=True)
+            return float(fit.p[1])
+        data, added = self.df.dropna(subset=[x, y, *z]), []
+        for c in (y, *z):
+            if self.kinds[c] == "discrete":
+                data, names = dummies(data, c)
+            else:
+                names = [c]
+            added.append(names)
+        fit = logistic(data, x, [n for names in added for n in names])
+        own = slice(1, 1 + len(added[0]))
+        stat = float(np.nansum((fit.coefficients[:, own] / fit.errors[:, own]) ** 2))
+        return float(chisq_tail(stat, fit.coefficients[:, own].size))
+
+
+class TrekSeparation(IndependenceTest):
+    """Latent nodes are independent given others if their indicators' cross-covariance has no higher rank than those others allow."""
+
+    def __init__(self, cov: Covariance, indicators: dict[str, list[str]], alpha: float = 0.05) -> None:
+        super().__init__(list(indicators), alpha)
+        self.cov, self.indicators = cov, indicators
+
+    def p_value(self, x, y, z):
+        from causeway.plans.sem import rank_test
+
+        halves = [(self.indicators[c][: len(self.indicators[c]) // 2], self.indicators[c][len(self.indicators[c]) // 2 :]) for c in z]
+        left = self.indicators[x] + [v for a, _ in halves for v in a]
+        right = self.indicators[y] + [v for _, b in halves for v in b]
+        return 1.0 if rank_test(self.cov, left, right, self.alpha) <= len(z) else 0.0
+
+    def independent(self, x, y, z=()):
+        return self.p_value(x, y, list(z)) > 0.5

@@ -222,3 +222,22 @@ def from_xml(text: str) -> BayesNet:
         categories[n] = [c.text for c in v.iter("category")]
         tables[n] = np.array([[float(x) for x in r.text.split()] for r in v.iter("row")])
     return BayesNet(graph, categories, tables)
+
+
+def from_xdsl(text: str) -> BayesNet:
+    """A network in XDSL: ``cpt`` elements with states, parents and probabilities (parents' states slowest)."""
+    root = ET.fromstring(text)
+    nodes = list(root.iter("cpt"))
+    graph = Graph([n.get("id") for n in nodes])
+    categories = {n.get("id"): [s.get("id") for s in n.findall("state")] for n in nodes}
+    net = BayesNet(graph, categories, {})
+    for n in nodes:
+        for p in (n.findtext("parents") or "").split():
+            graph.orient(p, n.get("id"))
+    for n in nodes:
+        name, given = n.get("id"), (n.findtext("parents") or "").split()
+        shape = [len(categories[p]) for p in given] + [len(categories[name])]
+        table = np.array([float(v) for v in n.findtext("probabilities").split()]).reshape(shape)
+        order = [given.index(p) for p in net.parents(name)]
+        net.tables[name] = np.transpose(table, [*order, len(given)]).reshape(-1, shape[-1])
+    return net

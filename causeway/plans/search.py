@@ -738,3 +738,58 @@ def _repeated(g: Graph, deepest: int) -> Graph:
             if u in out.marks and v in out.marks:
                 out.add(u, v, x, y)
     return out
+
+
+def lag_search(spark_frame, lags: range, alpha: float = 0.05) -> tuple[int, Graph]:
+    """The number of lags whose vector autoregression has the least BIC, and the search at it."""
+    from causeway.operators.moments import covariance_matrix
+    from causeway.operators.scores import sem_bic
+    from causeway.operators.series import lag_embed
+
+    best = None
+    for k in lags:
+        embedded = lag_embed(spark_frame, k)
+        names = [c for c in embedded.columns if c != "_row"]
+        cov = covariance_matrix(embedded, names)
+        past = [i for i, n in enumerate(names) if ":" in n]
+        score = sum(sem_bic(cov, i, past, 1.0) for i, n in enumerate(names) if ":" not in n) / cov.n
+        if best is None or score > best[0]:
+            best = (score, k, cov)
+    return best[1], time_series_pc(best[2], alpha)
+
+
+def images(scores: list[Score], **kw) -> Graph:
+    """One pattern for several data sets: the greedy search on the average of their scores."""
+    from causeway.operators.scores import SumOfScores
+
+    return fges(SumOfScores(scores), **kw)
+
+
+def mimbuild(cov, clusters: list[list[str]], penalty: float = 2.0) -> Graph:
+    """A pattern over the latent factors of clusters, with their indicators below them."""
+    from causeway.operators.scores import SemBic
+    from causeway.plans.sem import latent_correlations
+
+    latent = latent_correlations(cov, clusters)
+    g = fges(SemBic(latent, penalty))
+    g.latent = set(latent.names)
+    for name, cluster in zip(latent.names, clusters):
+        for c in cluster:
+            g.add_node(c)
+            g.orient(name, c)
+    return g
+
+
+def overlapping(graphs_: list[Graph]) -> Graph:
+    """What several partial ancestral graphs on overlapping variables agree on: adjacencies that no graph with both nodes lacks, marks that all of them share; unseen pairs stay open."""
+    nodes = list(dict.fromkeys(n for g in graphs_ for n in g.nodes))
+    out = Graph(nodes)
+    for a, b in combinations(nodes, 2):
+        seen = [g for g in graphs_ if a in g.marks and b in g.marks]
+        if not seen:
+            if not any(a in g.marks and not g.marks[a] or b in g.marks and not g.marks[b] for g in graphs_):
+                out.add(a, b, CIRCLE, CIRCLE)
+        elif all(g.adjacent(a, b) for g in seen):
+            at_b, at_a = {g.mark(a, b) for g in seen} - {CIRCLE}, {g.mark(b, a) for g in seen} - {CIRCLE}
+            out.add(a, b, at_a.pop() if len(at_a) == 1 else CIRCLE, at_b.pop() if len(at_b) == 1 else CIRCLE)
+    return out

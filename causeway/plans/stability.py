@@ -241,3 +241,45 @@ def nearest_in_category(df: DataFrame, value: str, category: str) -> DataFrame:
     w = Window.partitionBy(category).orderBy(value)
     below, above = F.col(value) - F.lag(value).over(w), F.lead(value).over(w) - F.col(value)
     return df.withColumn("nearest", F.least(F.coalesce(below, above), F.coalesce(above, below)))
+
+
+# Complementary pairs --------------------------------------------------------------------
+
+
+def complementary_selection(halves: DataFrame, columns: list[str], search: Callable[[pd.DataFrame], Graph], pairs: int, least: float = 0.7) -> tuple[DataFrame, float]:
+    """Edges found in at least a share of all halves of random pairs, and the bound on the expected number of false ones: q**2 / ((2 least - 1) p), q edges a half, p pairs of variables."""
+    keyed = halves.withColumn("replicate", F.col("pair") * 2 + F.col("half"))
+    edges = resampled_edges(keyed, columns, search)
+    counts = edges.select("replicate", "n1", "n2").distinct().groupBy("n1", "n2").agg((F.count("*") / (2 * pairs)).alias("share"))
+    found = edges.select("replicate", "n1", "n2").distinct().count() / (2 * pairs)
+    p = len(columns) * (len(columns) - 1) / 2
+    return counts.filter(F.col("share") >= least), found**2 / ((2 * least - 1) * p)
+
+
+def steps(samples: DataFrame, columns: list[str], discrete: list[str], levels: list[float], limit: float = 0.05) -> tuple[tuple[float, float, float], DataFrame]:
+    """Penalties of a mixed graphical model by edge type: for continuous, mixed and discrete pairs the smallest level up to which, from the largest down, their instability stays within the limit."""
+    kinds = {c: "d" if c in discrete else "c" for c in columns}
+    spark = samples.sparkSession
+    grid = spark.createDataFrame([(float(x),) for x in sorted(levels, reverse=True)], "level double")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        level = float(pdf["level"].iloc[0])
+        g = mixed_graphical_model(pdf[columns], discrete, (level, level, level)).graph()
+        rows = [(level, int(pdf["replicate"].iloc[0]), *sorted((a, b)), "".join(sorted((kinds[a], kinds[b])))) for a, b, _, _ in g.edges()]
+        return pd.DataFrame(rows, columns=["level", "replicate", "n1", "n2", "type"])
+
+    edges = samples.crossJoin(F.broadcast(grid)).groupBy("level", "replicate").applyInPandas(run, "level double, replicate int, n1 string, n2 string, type string")
+    n = samples.select("replicate").distinct().count()
+    c, d = len(columns) - len(discrete), len(discrete)
+    pairs = {"cc": max(c * (c - 1) // 2, 1), "cd": max(c * d, 1), "dd": max(d * (d - 1) // 2, 1)}
+    theta = edges.groupBy("level", "type", "n1", "n2").agg((F.count("*") / n).alias("theta")).groupBy("level", "type").agg(F.sum(2 * F.col("theta") * (1 - F.col("theta"))).alias("total"))
+    found = {(r.level, r.type): r.total / pairs[r.type] for r in theta.collect()}
+    chosen = []
+    for t in ("cc", "cd", "dd"):
+        best = max(levels)
+        for x in sorted(levels, reverse=True):
+            if found.get((x, t), 0.0) > limit:
+                break
+            best = x
+        chosen.append(float(best))
+    return tuple(chosen), theta

@@ -161,3 +161,48 @@ def test_gene_searches(spark):
     h = genes.simulate_histories(spark, chain, {"A": genes.Boolean([True, False]), "B": genes.Boolean([False, True])}, 12, 3, 1, noise=0.0)
     one = h.filter("cell = 0").select("_row", *[(F.col(n) > 0).cast("int").alias(n) for n in "AB"])
     assert ["A"] in genes.reveal(one, ["A", "B"])["B"] and genes.boolean_search(one, ["A", "B"])["B"][0][0] == ["A"]
+
+
+def test_more_tests_and_models(spark):
+    from causeway.operators.independence import PooledResiduals, RegressionTest
+
+    cov = _exact(graphs.from_spec("A-->B,B-->C"), 1, 500)
+    assert RegressionTest(cov).p_value("A", "C", ["B"]) > 0.99 and RegressionTest(cov).p_value("A", "B", []) < 0.05
+    assert PooledResiduals([cov, cov]).independent("A", "C", ["B"])
+    net = bayes.from_xdsl('<smile><nodes><cpt id="A"><state id="t"/><state id="f"/><probabilities>0.2 0.8</probabilities></cpt><cpt id="B"><state id="t"/><state id="f"/><parents>A</parents><probabilities>0.9 0.1 0.3 0.7</probabilities></cpt></nodes></smile>')
+    assert bayes.posterior(net, "B")[0] == pytest.approx(0.2 * 0.9 + 0.8 * 0.3)
+    both = search.overlapping([graphs.from_spec("A o-o B,B o-> C".replace(" ", "")), graphs.from_spec("B-->C,C-->D")])
+    assert both.directed("B", "C") and both.mark("A", "B") == "o"
+
+
+def test_stability(spark):
+    import pandas as pd
+
+    from causeway.operators import preparation
+    from causeway.operators.moments import Covariance
+    from causeway.plans import stability
+
+    m = simulate.linear_model(graphs.from_spec("A-->B,B-->C"), 3, 0.6, 0.9)
+    data = simulate.simulate_linear(spark, m, 400, 2)
+
+    def find(pdf: pd.DataFrame):
+        return search.pc_stable(FisherZ(Covariance(["A", "B", "C"], np.cov(pdf.to_numpy().T), len(pdf)), 0.01))
+
+    votes = stability.edge_votes(stability.resampled_edges(preparation.bootstrap(data, 300, 4, 6), ["A", "B", "C"], find), 6)
+    assert {(r.n1, r.n2) for r in stability.consensus(votes, 4).collect()} >= {("A", "B"), ("B", "C")}
+    kept, bound = stability.complementary_selection(preparation.complementary_pairs(data, 3, 1), ["A", "B", "C"], find, 3)
+    assert {(r.n1, r.n2) for r in kept.collect()} == {("A", "B"), ("B", "C")} and bound > 0
+
+
+def test_mixed_model():
+    import pandas as pd
+
+    from causeway.plans.stability import mixed_graphical_model
+
+    g = np.random.default_rng(4)
+    d = g.integers(0, 3, 1500)
+    x = d + 0.5 * g.standard_normal(1500)
+    y = 0.8 * x + 0.5 * g.standard_normal(1500)
+    z = g.standard_normal(1500)
+    found = mixed_graphical_model(pd.DataFrame({"x": x, "y": y, "z": z, "d": d}), ["d"], (0.1, 0.1, 0.1)).graph(1e-3)
+    assert found.adjacent("x", "y") and found.adjacent("x", "d") and not found.neighbours("z")
