@@ -33,7 +33,7 @@ def knowledge_text(k: graphs.Knowledge) -> str:
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """One small text as a single file in a folder, through Spark's own file systems."""
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path, lineSep="")
+    spark.createDataFrame([(line,) for line in text.split("\n")], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_graph(spark: SparkSession, g: graphs.Graph, path: str, form: str = "text") -> None:
