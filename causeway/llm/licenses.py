@@ -14,6 +14,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm.common import written
 from causeway.llm.url_filter import LOWER, UPPER
 
 #: Short notices by licence; a licence may have several.
@@ -39,8 +40,12 @@ TEMPLATES = [
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)[^/]*$"
 
 
+#: Words that any text may have; they are no terms.
+COMMON = ["a", "an", "and", "any", "are", "as", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with"]
+
+
 def _terms(text: str) -> list[str]:
-    return [t for t in re.split(r"[^a-z0-9]+", text.lower()) if t]
+    return [t for t in re.split(r"[^a-z0-9]+", text.lower()) if t and t not in COMMON]
 
 
 class Templates:
@@ -76,7 +81,7 @@ def match_texts(texts: DataFrame, least: float = 0.6, templates: list[tuple[str,
     table = spark.createDataFrame(vectors.rows, "template int, license string, term string, share double, idf double")
     idf = table.select("term", "idf").distinct()
     units = texts.select(F.col(text).alias("unit")).distinct().withColumn("key", F.xxhash64("unit"))
-    terms = units.select("unit", F.explode(F.split(F.translate("unit", UPPER, LOWER), "[^a-z0-9]+")).alias("term")).filter("term != ''").groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    terms = units.select("unit", F.explode(F.split(F.translate("unit", UPPER, LOWER), "[^a-z0-9]+")).alias("term")).filter((F.col("term") != "") & ~F.col("term").isin(COMMON)).groupBy("unit", "term").agg(F.count("*").alias("tf"))
     weighed = terms.join(F.broadcast(idf), "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(vectors.unknown))).drop("idf")
     norms = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     dots = weighed.join(F.broadcast(table.drop("idf")), "term").groupBy("unit", "template", "license").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
@@ -112,7 +117,9 @@ def scan(files: DataFrame, least: float = 0.6, path: str = "path", text: str = "
     narrow = files.select(F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text")).filter("path is not null")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(vectors.heavy))
     whole = F.when(F.col("path").rlike(LICENCE_FILE), F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    units = narrow.select("path", F.explode_outer(F.array_distinct(F.concat(F.when(F.col("text").rlike(vectors.heavy), lines).otherwise(F.array().cast("array<string>")), whole))).alias("unit"))
+    # Few lines are left; they are written once, as texts would be read again for each use below.
+    looked_at = F.array_distinct(F.concat(F.when(F.col("text").rlike(vectors.heavy), lines).otherwise(F.array().cast("array<string>")), whole))
+    units = written(narrow.select("path", F.explode_outer(looked_at).alias("unit")), "license-lines")
     found = match_texts(units.filter("unit is not null"), least, templates)
     best = F.max(F.when(F.col("score").isNotNull(), F.struct("score", "license")))
     own = units.join(found, "unit", "left").groupBy("path").agg(best.alias("best")).select("path", F.col("best.license").alias("own_license"), F.col("best.score").alias("score"))

@@ -42,10 +42,10 @@ select doc_id, n_lines, n_removed, case when n_removed = 0 then text else coales
 
 
 def _license_sql() -> str:
-    from causeway.llm.licenses import TEMPLATES
+    from causeway.llm.licenses import COMMON, TEMPLATES
 
     rows = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
-    terms = "list_filter(regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '')"
+    terms = "list_filter(regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '' and not list_contains(" + str(COMMON) + ", x))"
     return f"""
 with t as (select * from (values {rows}) as v(k, license, body)),
 tt as (select k, license, term, count(*) as tf from (select k, license, unnest({terms.format("body")}) as term from t) group by all),
