@@ -17,11 +17,14 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,8 +34,10 @@ from causeway.llm.common import map_rows
 MAGIC = b"CWM1"
 #: A shard is closed when it holds so many tokens; its last document is kept whole.
 SHARD_TOKENS = 1 << 20
+#: Ids of a plane that are dealt at a time.
+PIECE = 1 << 15
 #: Words that a worker remembers; beyond it the older half is forgotten.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 
 
 class WaveletMatrix:
@@ -48,12 +53,19 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, zeros = [], []
         for b in range(bits - 1, -1, -1):
-            bit = ((now >> b) & 1).astype(bool)
+            bit = (now & now.dtype.type(1 << b)).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             planes.append(np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]))
-            low = now[~bit]
-            zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
+            after = np.empty_like(now)
+            zero = len(now) - int(np.count_nonzero(bit))
+            i, j = 0, zero
+            for at in range(0, len(now), PIECE):  # pieces that stay in the processor's cache
+                part, one = now[at : at + PIECE], bit[at : at + PIECE]
+                low, high = np.compress(~one, part), np.compress(one, part)
+                after[i : i + len(low)], after[j : j + len(high)] = low, high
+                i, j = i + len(low), j + len(high)
+            zeros.append(zero)
+            now = after
         return cls(planes, zeros, len(ids))
 
     def _plane(self, k: int) -> np.ndarray:
@@ -62,10 +74,16 @@ class WaveletMatrix:
     def all(self) -> np.ndarray:
         """Every id, in order."""
         now = np.zeros(self.size, np.uint16 if self.bits <= 16 else np.uint32)
+        places = np.arange(min(self.size, PIECE))
         for k in range(self.bits - 1, -1, -1):
             bit, back = self._plane(k), np.empty_like(now)
-            back[~bit] = now[: self.zeros[k]]
-            back[bit] = now[self.zeros[k] :] | now.dtype.type(1 << (self.bits - 1 - k))
+            now[self.zeros[k] :] |= now.dtype.type(1 << (self.bits - 1 - k))
+            i, j = 0, self.zeros[k]
+            for at in range(0, self.size, PIECE):
+                part, one = back[at : at + PIECE], bit[at : at + PIECE]
+                low, high = np.compress(~one, places[: len(one)]), np.compress(one, places[: len(one)])
+                part[low], part[high] = now[i : i + len(low)], now[j : j + len(high)]
+                i, j = i + len(low), j + len(high)
             now = back
         return now
 
@@ -157,6 +175,8 @@ class _Encoder:
     The vocabulary's splitter drops white space and never joins what stands
     on both sides of it, so each blank-separated word is encoded on its own
     and remembered.  Capitals A-Z are lowered first, as its normalizer does.
+    New words are normalized and split here as the vocabulary file says, and
+    their pieces handed to the tokenizers library's model.
     """
 
     def __init__(self, path: str) -> None:
@@ -164,31 +184,65 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        steps, parts = held["normalizer"]["normalizers"], held["pre_tokenizer"]["pretokenizers"]
+        if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in parts] != ["Split", "ByteLevel"] or parts[1]["add_prefix_space"]:
+            raise ValueError("a vocabulary with another normalizer or splitter")
+        self.pattern = regex.compile(parts[0]["pattern"]["Regex"])
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
+        self.code = "H" if self.bits <= 16 else "I"
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode("utf-8").lower().split() for t in texts]
-        todo = []
-        for w in set().union(*split).difference(self.young):
-            if w in self.old:
-                self.young[w] = self.old[w]
-            else:
-                todo.append(w)
-        for i in range(0, len(todo), 4096):
-            part = todo[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                self.young[w] = np.array(e.ids, self.kind).tobytes()
-        get = self.young.__getitem__
-        out = [np.frombuffer(b"".join(map(get, s)), self.kind) for s in split]
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
+        self.pieces: dict[str, bytes] = {}
+        self.visible = {b: chr(c) for b, c in _visible_bytes().items()}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            shown = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
+            if len(self.pieces) > REMEMBERED // 2:
+                self.pieces.clear()
+            found = self.pieces[piece] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown.translate(self.visible))]).tobytes()
+        return found
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        if not text.isascii():
+            # Lower case of each character by itself, as the library has it.
+            text = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+        if text.isalpha():
+            return self._piece(text)
+        if text[-1] in ".,;:?" and text[:-1].isalpha():
+            return self._piece(text[:-1]) + self._piece(text[-1])
+        return b"".join(map(self._piece, self.pattern.findall(text)))
+
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts."""
+        out = []
+        for t in texts:
+            words = (t or b"").lower().split()
+            parts = list(map(self.young.get, words))
+            if None in parts:
+                for i, p in enumerate(parts):
+                    if p is None:
+                        w = words[i]
+                        found = self.young.get(w) or self.old.get(w) or self._word(w)
+                        parts[i] = self.young[w] = found
+            out.append(np.frombuffer(b"".join(parts), self.kind))
+            if len(self.young) > REMEMBERED:
+                self.young, self.old = {}, self.young
         return out
 
 
+def _visible_bytes() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
 _encoders: dict[str, _Encoder] = {}
 
 
@@ -221,7 +275,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, tex
     table gives an empty manifest.  A shard's name depends on its place alone,
     so a task that is tried again writes the same files.
     """
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = narrow.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     shards = f"{folder}/shards"
@@ -271,7 +325,8 @@ def open_shards(spark: SparkSession, folder: str) -> DataFrame:
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, start, ids)`` of every document, read back from its shard; ids: unsigned 32 bit, little-endian."""
     shards = f"{folder}/shards"
-    files = open_shards(spark, folder).repartition(F.col("file"))
+    # A fixed number of partitions: rows are few, but each stands for a shard.
+    files = open_shards(spark, folder).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("file"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         store, base = _store(shards)
