@@ -61,7 +61,7 @@ def gamma_cdf(a, x):
             c = np.where(np.abs(c) < tiny, tiny, c)
             step = d * c
             h = h * step
-            if (np.abs(step - 1) < 1e-16).all():
+            if (np.abs(step - 1) < 1e-15).all():
                 break
         out[high] = 1 - h * np.exp(-xh + ah * np.log(xh) - lngamma(ah))
     return out if out.shape else float(out)
@@ -89,7 +89,7 @@ def beta_cdf(x, p, q):
             c = np.where(np.abs(c) < tiny, tiny, c)
             step = c * d
             h = h * step
-        if (np.abs(step - 1) < 1e-16).all():
+        if (np.abs(step - 1) < 1e-15).all():
             break
     part = np.where(inner, front * h, xx)
     out = np.where(swap, 1 - part, part)
@@ -179,8 +179,10 @@ def poisson_pmf(k, rate):
 
 
 def _bisect(cdf: Callable, p, low, high):
-    """Where an increasing ``cdf`` reaches ``p``; ``high`` is doubled as needed."""
-    p = np.asarray(p, float)
+    """Where an increasing ``cdf`` reaches ``p``; ``high`` is doubled as needed; NaN for what is no probability."""
+    asked = np.asarray(p, float)
+    ok = (asked >= 0) & (asked <= 1)
+    p = np.where(ok, asked, 0.5)
     lo, hi = np.full(p.shape, float(low)), np.full(p.shape, float(high))
     for _ in range(1_100):
         short = np.asarray(cdf(hi)) < p
@@ -191,7 +193,7 @@ def _bisect(cdf: Callable, p, low, high):
         mid = (lo + hi) / 2
         below = np.asarray(cdf(mid)) < p
         lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    out = np.where(np.isfinite(p), (lo + hi) / 2, np.nan)
+    out = np.where(ok, (lo + hi) / 2, np.nan)
     return out if out.shape else float(out)
 
 

@@ -21,26 +21,33 @@ BUCKETS = 200
 ROWS = 1_000_000
 
 
-def _bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
+def cut_points(df: DataFrame, key: str, buckets: int = BUCKETS) -> list[float]:
+    """Approximate quantiles of a numeric key, at most ``buckets`` - 1 of them."""
+    number = F.col(f"`{key}`").cast("double")
+    cuts = df.select(F.percentile_approx(F.when(~F.isnan(number), number), [(i + 1) / buckets for i in range(buckets - 1)], 10_000).alias("c")).first().c or []
+    return sorted({c for c in cuts if c == c and abs(c) != float("inf")})
+
+
+def _bucketed(df: DataFrame, key: str, buckets: int, cuts: list[float] | None = None) -> tuple[DataFrame, str]:
     """``df`` with a bucket number that grows with a numeric key; null and NaN keys come first."""
     name = f"__cw_b{uuid.uuid4().hex[:8]}"
     value = f"__cw_v{uuid.uuid4().hex[:8]}"
     number = F.col(f"`{key}`").cast("double")
-    cuts = df.select(F.percentile_approx(F.when(~F.isnan(number), number), [(i + 1) / buckets for i in range(buckets - 1)], 10_000).alias("c")).first().c or []
-    splits = [float("-inf"), *sorted({c for c in cuts if c == c and abs(c) != float("inf")}), float("inf")]
+    splits = [float("-inf"), *(cut_points(df, key, buckets) if cuts is None else cuts), float("inf")]
     with_value = df.withColumn(value, number)
     out = Bucketizer(splits=splits, inputCol=value, outputCol=name, handleInvalid="keep").transform(with_value)
     # NaN and null get the last number; they are to come first.
     return out.withColumn(name, F.when(number.isNull() | F.isnan(number), -1.0).otherwise(F.col(name))).drop(value), name
 
 
-def running(df: DataFrame, key: str, sums: dict[str, Column], ties: list[str] | None = None, descending: bool = False, inclusive: bool = True, buckets: int = BUCKETS) -> DataFrame:
+def running(df: DataFrame, key: str, sums: dict[str, Column], ties: list[str] | None = None, descending: bool = False, inclusive: bool = True, buckets: int = BUCKETS, cuts: list[float] | None = None) -> DataFrame:
     """``df`` with running sums over the order of ``key``, then of the columns in ``ties``.
 
     ``sums`` maps new columns to what they add up; with ``inclusive`` a row's
     own value counts.  Rows that tie in everything are ordered arbitrarily.
+    ``cuts`` (from ``cut_points``) spares a pass where the keys are known.
     """
-    cut, b = _bucketed(df, key, buckets)
+    cut, b = _bucketed(df, key, buckets, cuts)
     totals = cut.groupBy(b).agg(*[F.sum(c).alias(f"{n}__t") for n, c in sums.items()])
     over = Window.orderBy(F.col(b).desc() if descending else F.col(b)).rowsBetween(Window.unboundedPreceding, -1)
     # A row for each bucket: this window is small whatever the table.

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from causeway.functions.distributions import chisq_tail, normal_cdf, t_cdf
 from causeway.functions.statistics import known
 from causeway.operators.moments import Covariance, gram_matrix
-from causeway.operators.ordering import running
+from causeway.operators.ordering import cut_points, running
 
 
 @dataclass
@@ -182,6 +182,7 @@ def cox(df: DataFrame, time: str, event: str, regressors: list[str], steps: int
     p = len(regressors)
     centre = rows.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)], F.count("*").alias("n")).first()
     beta, n = np.zeros(p), centre.n
+    cuts = cut_points(rows, "t")
 
     def likelihood(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         xs = [F.col(f"x{i}") - F.lit(centre[f"m{i}"] or 0.0) for i in range(p)]
@@ -195,14 +196,15 @@ def cox(df: DataFrame, time: str, event: str, regressors: list[str], steps: int
             *[F.sum(F.when(dead, xs[i]).otherwise(0.0)).alias(f"s{i}") for i in range(p)],
             F.sum(F.col("e")).alias("m"),
         )
-        risk = running(groups, "t", {f"r_{k}": F.col(f"a_{k}") for k in pieces}, descending=True).filter("m > 0")
+        risk = running(groups, "t", {f"r_{k}": F.col(f"a_{k}") for k in pieces}, descending=True, cuts=cuts).filter("m > 0")
         each = risk.withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).withColumn("f", F.col("l") / F.col("m"))
         left = {k: F.col(f"r_{k}") - F.col("f") * F.col(f"d_{k}") for k in pieces}
         out = [F.sum(F.log(left["w"])).alias("ll")]
         out += [F.sum(left[f"w{i}"] / left["w"]).alias(f"g{i}") for i in range(p)]
         out += [F.sum(left[f"w{i}_{j}"] / left["w"] - left[f"w{i}"] * left[f"w{j}"] / (left["w"] * left["w"])).alias(f"h{i}_{j}") for i in range(p) for j in range(i, p)]
-        a = each.agg(*out).first()
-        b = risk.agg(F.sum("s").alias("s"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)]).first()
+        once = F.col("l") == 0
+        out += [F.sum(F.when(once, F.col(c))).alias(c) for c in ["s", *[f"s{i}" for i in range(p)]]]
+        a = b = each.agg(*out).first()
         if a.ll is None:
             return 0.0, np.zeros(p), np.eye(p)
         hess = np.zeros((p, p))

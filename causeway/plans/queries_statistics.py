@@ -280,7 +280,7 @@ def distribution_functions(spark, sf):
     """Every distribution function on a grid of arguments."""
     base = spark.range(1, 20).select((F.col("id") / 20).alias("u"), F.col("id").cast("double").alias("k"))
     args = {1: lambda: [F.col("u")], 2: lambda: [F.col("u"), F.lit(3.0)], 3: lambda: [F.col("u"), F.lit(4.0), F.lit(0.6)]}
-    return base.select("u", *[column(n, *args[a]()).alias(n) for n, (_, a) in FUNCTIONS.items()])
+    return base.select("u", *[column(n, *(args[a]()[::-1] if n in ("gamma_quantile", "gamma_cdf") else args[a]())).alias(n) for n, (_, a) in FUNCTIONS.items()])
 
 
 @query("select p_partkey, round(p_retailprice * 1.1 - p_size ^ 2 / (1 + p_size), 6) as a, ln(p_retailprice) > 7 as b, floor(p_size / 7.0 + 0.5) as c, case when p_size >= 25 then greatest(p_size, 30) else least(p_size, 10) end as d, 1 / (1 + exp(-(p_size - 25) / 10.0)) as e from part".replace("ln(p_retailprice) > 7 as b", "cast(ln(p_retailprice) > 7 as double) as b").replace("as d", "::double as d").replace("1 / (1 + exp(-(p_size - 25) / 10.0)) as e", "round(1 / (1 + exp(-(p_size - 25) / 10.0)), 9) as e").replace("end ::double", "end::double"))
