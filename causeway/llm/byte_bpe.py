@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding (operator 8).
 
-The distinct pieces of a block of texts form one corpus.  An inverted index
+The distinct new pieces of a block of texts form a corpus.  An inverted index
 lists, for the token each adjacent pair would make, the positions of such
 pairs; merges are replayed over the whole corpus in rank order, each touching
 the listed positions and their two neighbours only.
@@ -9,8 +9,10 @@ the listed positions and their two neighbours only.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a worker remembers; beyond it the older half is forgotten (and encoded anew when met).
-REMEMBERED = 400_000
+#: Pieces that a task remembers; beyond it the older half is forgotten (and encoded anew when met).
+REMEMBERED = 300_000
+#: Pieces, short ones, that a worker keeps from one task to the next, and their length.
+KEPT, SHORT = 120_000, 9
+#: Pieces of one corpus; its index then stays in the processor's cache.
+CORPUS = 3_000
 #: Documents encoded at a time.
 BLOCK_DOCS = 256
 
@@ -32,9 +38,9 @@ class Codec:
     def __init__(self, lines: bytes, pattern: str) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         self.tokens = {r: t for t, r in self.ranks.items()}
-        size = max(self.tokens) + 1
+        self.size = size = max(self.tokens) + 1
         self.pieces = regex.compile(pattern)
-        self.made: dict[tuple[int, int], int] = {}
+        self.made: dict[int, int] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         every = [self.tokens.get(i, b"") for i in range(size)]
@@ -42,13 +48,12 @@ class Codec:
         self.length = np.array([len(t) for t in every], np.int64)
         self.start = np.cumsum(self.length) - self.length
 
-    def _merged(self, a: int, b: int) -> int:
-        """The rank of the token that a pair makes, or -1."""
-        found = self.made.get((a, b))
-        if found is None:
-            if len(self.made) > REMEMBERED:
-                self.made.clear()
-            found = self.made[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+    def _merged(self, pair: int) -> int:
+        """The rank of the token that a pair (left * size + right) makes, or -1; worked out when first met."""
+        if len(self.made) > KEPT:
+            self.made.clear()
+        left, right = divmod(pair, self.size)
+        found = self.made[pair] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return found
 
     def replay(self, pieces: list[bytes]) -> list[list[int]]:
@@ -59,22 +64,34 @@ class Codec:
         heads: list[int] = []
         at: dict[int, list[int]] = {}
         single = [self.ranks.get(bytes([x]), -1) for x in range(256)]
-        merged = self._merged
+        known, merged, size, ranks = self.made.get, self._merged, self.size, self.ranks
         for piece in pieces:
             first = len(token)
             heads.append(first)
-            if (whole := self.ranks.get(piece)) is not None:
+            whole = ranks.get(piece)
+            if whole is not None:
                 token.append(whole)
                 after.append(-1)
                 before.append(-1)
                 continue
             token += [single[x] for x in piece]
             last = len(token) - 1
-            after += [*range(first + 1, last + 1), -1]
-            before += [-1, *range(first, last)]
+            after += range(first + 1, last + 1)
+            after.append(-1)
+            before.append(-1)
+            before += range(first, last)
+            left = token[first]
             for p in range(first, last):
-                if (r := merged(token[p], token[p + 1])) >= 0:
-                    at.setdefault(r, []).append(p)
+                right = token[p + 1]
+                r = known(pair := left * size + right)
+                if r is None:
+                    r = merged(pair)
+                if r >= 0:
+                    if r in at:
+                        at[r].append(p)
+                    else:
+                        at[r] = [p]
+                left = right
         todo = list(at)
         heapify(todo)
         while todo:
@@ -85,19 +102,37 @@ class Codec:
             places.sort()
             for k, p in enumerate(places):
                 q = after[p]
-                if token[p] < 0 or q < 0 or merged(token[p], token[q]) != r:
-                    continue  # an earlier merge took one of the two
+                if q < 0 or token[p] < 0:
+                    continue
+                # An earlier merge may have taken one of the two.
+                now = known(pair := token[p] * size + token[q])
+                if (merged(pair) if now is None else now) != r:
+                    continue
                 token[p], token[q] = r, -1
                 after[p] = end = after[q]
                 lower = False
                 if end >= 0:
                     before[end] = p
-                    if (new := merged(r, token[end])) >= 0:
-                        _list(at, todo, new, p)
-                        lower |= new < r
-                if (left := before[p]) >= 0 and (new := merged(token[left], r)) >= 0:
-                    _list(at, todo, new, left)
-                    lower |= new < r
+                    new = known(pair := r * size + token[end])
+                    if new is None:
+                        new = merged(pair)
+                    if new >= 0:
+                        if new in at:
+                            at[new].append(p)
+                        else:
+                            _list(at, todo, new, p)
+                        lower = new < r
+                left = before[p]
+                if left >= 0:
+                    new = known(pair := token[left] * size + r)
+                    if new is None:
+                        new = merged(pair)
+                    if new >= 0:
+                        if new in at:
+                            at[new].append(left)
+                        else:
+                            _list(at, todo, new, left)
+                        lower = lower or new < r
                 if lower:  # that merge comes first, before the other places of this one
                     for rest in places[k + 1 :]:
                         _list(at, todo, r, rest)
@@ -114,21 +149,30 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (unsigned 32 bit) of each text."""
         split = [self.pieces.findall(t) for t in texts]
-        new = [p for p in set().union(*split) if p not in self.young]
+        parts = [list(map(self.young.get, s)) for s in split]
+        short = [k for k, p in enumerate(parts) if None in p]
         todo = []
-        for p in new:
-            if p in self.old:
-                self.young[p] = self.old[p]
+        for piece in {x for k in short for x, v in zip(split[k], parts[k]) if v is None}:
+            if piece in self.old:
+                self.young[piece] = self.old[piece]
             else:
-                todo.append(p)
-        for p, ids in zip(todo, self.replay([p.encode("utf-8") for p in todo])):
-            self.young[p] = np.array(ids, "<u4").tobytes()
-        get = self.young.__getitem__
-        out = [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
+                todo.append(piece)
+        for i in range(0, len(todo), CORPUS):
+            part = todo[i : i + CORPUS]
+            for piece, ids in zip(part, self.replay([x.encode("utf-8") for x in part])):
+                self.young[piece] = array("I", ids).tobytes()
+        for k in short:
+            parts[k] = map(self.young.__getitem__, split[k])
+        out = [np.frombuffer(b"".join(p), "<u4") for p in parts]
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
         return out
 
+    def trim(self) -> None:
+        """Give back what a task remembered, but for short pieces, which most texts have."""
+        short = (x for x in self.young.items() if len(x[0]) <= SHORT)
+        self.young, self.old = dict(islice(short, KEPT)), {}
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of all tokens, one after the other."""
         out = []
@@ -157,16 +201,19 @@ def codec(path: str, pattern: str) -> Codec:
     return _loaded[path, pattern]
 
 
-def _run(df: DataFrame, step, name: str, kind: pa.DataType, spark_type: str) -> DataFrame:
-    """``df`` with one more column, computed for each batch by ``step``."""
+def _run(df: DataFrame, step, name: str, kind: pa.DataType, spark_type: str, after=lambda: None) -> DataFrame:
+    """``df`` with one more column, computed for each batch by ``step``; ``after`` runs at the end of each task."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` {spark_type}"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, BLOCK_DOCS):
-                part = batch.slice(i, BLOCK_DOCS)
-                values = pa.array(step(part.column(part.num_columns - 1)), type=kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, values], names=[*part.schema.names, name])
+        try:
+            for batch in batches:
+                for i in range(0, batch.num_rows, BLOCK_DOCS):
+                    part = batch.slice(i, BLOCK_DOCS)
+                    values = pa.array(step(part.column(part.num_columns - 1)), type=kind)
+                    yield pa.RecordBatch.from_arrays([*part.columns, values], names=[*part.schema.names, name])
+        finally:
+            after()
 
     return df.mapInArrow(rows, schema)
 
@@ -184,7 +231,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", d
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32), pa.int32()))
 
-    return _run(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__cw_text")), step, out, pa.list_(pa.int32()), "array<int>").drop("__cw_text")
+    return _run(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__cw_text")), step, out, pa.list_(pa.int32()), "array<int>", lambda: codec(vocabulary, pattern).trim()).drop("__cw_text")
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
