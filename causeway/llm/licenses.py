@@ -120,9 +120,10 @@ def scan(files: DataFrame, least: float = 0.6, path: str = "path", text: str = "
     # Few lines are left; they are written once, as texts would be read again for each use below.
     looked_at = F.array_distinct(F.concat(F.when(F.col("text").rlike(vectors.heavy), lines).otherwise(F.array().cast("array<string>")), whole))
     units = written(narrow.select("path", F.explode_outer(looked_at).alias("unit")), "license-lines")
-    found = match_texts(units.filter("unit is not null"), least, templates)
-    best = F.max(F.when(F.col("score").isNotNull(), F.struct("score", "license")))
-    own = units.join(found, "unit", "left").groupBy("path").agg(best.alias("best")).select("path", F.col("best.license").alias("own_license"), F.col("best.score").alias("score"))
+    # Files without such a line have a null unit; only the others take part in the join, whose other side is written so that Spark knows its size and can split a frequent line's partition.
+    found = written(match_texts(units.filter("unit is not null"), least, templates), "license-matches")
+    hits = units.filter("unit is not null").join(found, "unit").groupBy("path").agg(F.max(F.struct("score", "license")).alias("best"))
+    own = units.select("path").distinct().join(hits, "path", "left").select("path", F.col("best.license").alias("own_license"), F.col("best.score").alias("score"))
     placed = own.withColumn("directory", directory_of(F.col("path")))
     holders = placed.filter(F.col("own_license").isNotNull() & F.col("path").rlike(LICENCE_FILE)).groupBy("directory").agg(F.min(F.struct(-F.col("score"), "path", "own_license")).alias("holder")).select(F.col("directory").alias("above"), F.col("holder.path").alias("inherited_from"), F.col("holder.own_license").alias("inherited_license"))
     # Each directory looks upwards once, however many files it has.
