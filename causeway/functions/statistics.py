@@ -99,7 +99,7 @@ def two_pass(df: DataFrame, column: str, by: list[str] | None = None) -> DataFra
     by = by or []
     x = known(column)
     first = df.groupBy(*by).agg(F.avg(x).alias("__m"), F.stddev_samp(x).alias("__s"))
-    joined = df.join(F.broadcast(first), by) if by else df.crossJoin(F.broadcast(first))
+    joined = df.join(first, by) if by else df.crossJoin(F.broadcast(first))
     z = (x - F.col("__m")) / F.col("__s")
     return joined.groupBy(*by).agg(
         F.avg(F.abs(x - F.col("__m"))).alias("average_deviation"),
