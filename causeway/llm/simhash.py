@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     nodes = connected_components(linked(classes.select("fp"), max_bits))
     rooted = classes.join(nodes, classes.fp == nodes.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join below reads plain exchanges, whose large partitions Spark can split: a component may hold a third of all fingerprints.
+    roots = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     labels = rooted.select("fp", "root").join(roots, "root").select("fp", "component_id")
     return marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
