@@ -80,14 +80,16 @@ def match_texts(texts: DataFrame, least: float = 0.6, templates: list[tuple[str,
     spark = texts.sparkSession
     table = spark.createDataFrame(vectors.rows, "template int, license string, term string, share double, idf double")
     idf = table.select("term", "idf").distinct()
-    units = texts.select(F.col(text).alias("unit")).distinct().withColumn("key", F.xxhash64("unit"))
-    terms = units.select("unit", F.explode(F.split(F.translate("unit", UPPER, LOWER), "[^a-z0-9]+")).alias("term")).filter((F.col("term") != "") & ~F.col("term").isin(COMMON)).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    # Terms carry 128 bits of hash in place of their text.
+    units = texts.select(F.col(text).alias("unit")).distinct().select("unit", F.xxhash64("unit").alias("h"), F.xxhash64(F.lit("second"), "unit").alias("g"))
+    split = units.select("h", "g", F.explode(F.split(F.translate("unit", UPPER, LOWER), "[^a-z0-9]+")).alias("term"))
+    terms = split.filter((F.col("term") != "") & ~F.col("term").isin(COMMON)).groupBy("h", "g", "term").agg(F.count("*").alias("tf"))
     weighed = terms.join(F.broadcast(idf), "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(vectors.unknown))).drop("idf")
-    norms = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = weighed.join(F.broadcast(table.drop("idf")), "term").groupBy("unit", "template", "license").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
-    scored = dots.join(norms, "unit").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("score") >= least)
-    best = scored.groupBy("unit").agg(F.max(F.struct("score", -F.col("template"), "license")).alias("best"))
-    return best.select("unit", "best.license", "best.score")
+    norms = weighed.groupBy("h", "g").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    dots = weighed.join(F.broadcast(table.drop("idf")), "term").groupBy("h", "g", "template", "license").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
+    scored = dots.join(norms, ["h", "g"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("score") >= least)
+    best = scored.groupBy("h", "g").agg(F.max(F.struct("score", -F.col("template"), "license")).alias("best"))
+    return units.join(best, ["h", "g"]).select("unit", "best.license", "best.score")
 
 
 def directory_of(path: Column) -> Column:
@@ -118,7 +120,7 @@ def scan(files: DataFrame, least: float = 0.6, path: str = "path", text: str = "
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(vectors.heavy))
     whole = F.when(F.col("path").rlike(LICENCE_FILE), F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
     # Few lines are left; they are written once, as texts would be read again for each use below.
-    looked_at = F.array_distinct(F.concat(F.when(F.col("text").rlike(vectors.heavy), lines).otherwise(F.array().cast("array<string>")), whole))
+    looked_at = F.when(F.col("text").rlike(vectors.heavy), F.array_distinct(F.concat(lines, whole)))
     units = written(narrow.select("path", F.explode_outer(looked_at).alias("unit")), "license-lines")
     # Files without such a line have a null unit; only the others take part in the join, whose other side is written so that Spark knows its size and can split a frequent line's partition.
     found = written(match_texts(units.filter("unit is not null"), least, templates), "license-matches")
