@@ -159,7 +159,7 @@ def update(fit: SemFit, evidence: dict[str, float], target: str) -> tuple[float,
     return float(w @ np.array(list(evidence.values()))), float(s[at[target], at[target]] - w @ s[z, at[target]])
 
 
-def tetrad_test(cov: Covariance, a: str, b: str, c: str, d: str) -> tuple[float, float]:
+def quartet_test(cov: Covariance, a: str, b: str, c: str, d: str) -> tuple[float, float]:
     """The difference s_ab s_cd - s_ac s_bd and Wishart's p-value that it vanishes."""
     i = [cov.index(v) for v in (a, b, c, d)]
     s = cov.matrix[np.ix_(i, i)]
@@ -170,21 +170,21 @@ def tetrad_test(cov: Covariance, a: str, b: str, c: str, d: str) -> tuple[float,
     return float(diff), float(2 * (1 - normal_cdf(abs(diff) / spread)))
 
 
-def vanishing_tetrads(cov: Covariance, names: list[str], alpha: float = 0.05) -> bool:
-    """Whether all three tetrads of four variables vanish."""
+def quartet_vanishes(cov: Covariance, names: list[str], alpha: float = 0.05) -> bool:
+    """Whether all three differences of covariance products of four variables vanish."""
     a, b, c, d = names
-    return all(tetrad_test(cov, *v)[1] > alpha for v in ((a, b, c, d), (a, b, d, c), (a, c, d, b)))
+    return all(quartet_test(cov, *v)[1] > alpha for v in ((a, b, c, d), (a, b, d, c), (a, c, d, b)))
 
 
 def one_factor_clusters(cov: Covariance, alpha: float = 0.05) -> list[list[str]]:
-    """Pure clusters of indicators of one factor: quartets whose tetrads all vanish, grown by variables that keep them so."""
+    """Pure clusters of indicators of one factor: quartets whose differences all vanish, grown by variables that keep them so."""
     left, out = list(cov.names), []
     for quartet in combinations(cov.names, 4):
-        if not set(quartet) <= set(left) or not vanishing_tetrads(cov, list(quartet), alpha):
+        if not set(quartet) <= set(left) or not quartet_vanishes(cov, list(quartet), alpha):
             continue
         cluster = list(quartet)
         for n in left:
-            if n not in cluster and all(vanishing_tetrads(cov, [*t, n], alpha) for t in combinations(cluster, 3)):
+            if n not in cluster and all(quartet_vanishes(cov, [*t, n], alpha) for t in combinations(cluster, 3)):
                 cluster.append(n)
         out.append(sorted(cluster))
         left = [n for n in left if n not in cluster]
@@ -192,18 +192,18 @@ def one_factor_clusters(cov: Covariance, alpha: float = 0.05) -> list[list[str]]
 
 
 def purify(cov: Covariance, clusters: list[list[str]], alpha: float = 0.05) -> list[list[str]]:
-    """Clusters without the indicators that break most tetrads within them or across two of them."""
+    """Clusters without the indicators that break most such constraints within them or across two of them."""
     held = [list(c) for c in clusters]
     while True:
         bad: dict[str, int] = {}
         for c in held:
             for q in combinations(c, 4):
-                if not vanishing_tetrads(cov, list(q), alpha):
+                if not quartet_vanishes(cov, list(q), alpha):
                     for n in q:
                         bad[n] = bad.get(n, 0) + 1
         for c, d in combinations(held, 2):
             for p, q in ((p, q) for p in combinations(c, 2) for q in combinations(d, 2)):
-                if tetrad_test(cov, p[0], q[0], p[1], q[1])[1] <= alpha and tetrad_test(cov, p[0], q[0], q[1], p[1])[1] <= alpha:
+                if quartet_test(cov, p[0], q[0], p[1], q[1])[1] <= alpha and quartet_test(cov, p[0], q[0], q[1], p[1])[1] <= alpha:
                     for n in (*p, *q):
                         bad[n] = bad.get(n, 0) + 1
         if not bad:
