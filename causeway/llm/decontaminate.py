@@ -1,9 +1,10 @@
 """Benchmark decontamination by seeds and local alignment (operator 9).
 
 The rare word 3-grams of each benchmark item are its seeds: those in few
-items, and an item's least frequent ones where it has no others.  Frequency in
-the training texts doesn't count, as a leaked passage may stand in a third of
-them.  Texts and items meet by equality of seeds; where several seeds of an
+items, and an item's next least frequent ones until it has so many that two
+are left wherever a fifth of its words are changed (items of one template
+share most of theirs).  Frequency in the training texts doesn't count, as a
+leaked passage may stand in a third of them.  Texts and items meet by equality of seeds; where several seeds of an
 item stand close together, Smith-Waterman alignment of the words around them
 with the whole item scores the copy, edited or not.
 """
@@ -63,12 +64,14 @@ class Items:
         self.words = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for _, ws in items for w in ws))}
         self.items = [(i, np.array([self.words[w] for w in ws], np.int64)) for i, ws in items]
         self.base = len(self.words) + 1
-        held = [{self._key(ids[k : k + self.size]) for k in range(max(1, len(ids) - self.size + 1))} for _, ids in self.items]
-        found = Counter(k for keys in held for k in keys)
+        held = [[self._key(ids[k : k + self.size]) for k in range(max(1, len(ids) - self.size + 1))] for _, ids in self.items]
+        found = Counter(k for keys in held for k in set(keys))
         self.by_seed: dict[tuple, list[int]] = defaultdict(list)
         for k, keys in enumerate(held):
-            limit = max(RARE_ITEMS, min(map(found.__getitem__, keys)))
-            for key in keys:
+            # A changed word touches as many seeds as a seed has words.
+            enough = min(len(keys), 2 + self.size * -(-len(self.items[k][1]) // 5))
+            limit = max(RARE_ITEMS, sorted(map(found.__getitem__, keys))[enough - 1])
+            for key in set(keys):
                 if found[key] <= limit:
                     self.by_seed[key].append(k)
         self.short = sorted({len(ids) for _, ids in self.items if len(ids) < size})

@@ -199,6 +199,21 @@ def test_decontamination(spark):
     assert decontaminate.drop_contaminated(df, bench.limit(0)).count() == df.count()
 
 
+def test_decontamination_of_templated_items(spark):
+    """Items that differ in the last word alone: each is found in exact and in edited copies of any of them."""
+    stem = [f"stem{k}" for k in range(22)]
+    items = [[*stem, f"end{k}"] for k in range(5)]
+    edited = [w if k not in (4, 11, 18, 22) else "changed" for k, w in enumerate(items[3])]
+    pad = [f"pad{k}" for k in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    docs = {1: items[2], 2: pad + items[0] + pad, 3: pad + edited + pad, 4: pad + stem[:8] + pad}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_copies(df, bench).collect()}
+    assert set(got) == {(d, i) for d in (1, 2, 3) for i in range(5)}
+    assert got[1, 2] == got[2, 0] == 1 and all(got[1, i] == pytest.approx(22 / 23) for i in (0, 1, 3, 4))
+    assert [r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()] == [4]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
