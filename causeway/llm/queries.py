@@ -27,7 +27,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch_path(spark, "wavelet")
-    wavelet.write_shards(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    wavelet.write_shards(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), END_ID, added_tokens=True)
     return wavelet.read_shards(spark, folder).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 

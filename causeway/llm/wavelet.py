@@ -176,10 +176,12 @@ class _Encoder:
     on both sides of it, so each blank-separated word is encoded on its own
     and remembered.  Capitals A-Z are lowered first, as its normalizer does.
     New words are normalized and split here as the vocabulary file says, and
-    their pieces handed to the tokenizers library's model.
+    their pieces handed to the tokenizers library's model.  With
+    ``added_tokens``, the vocabulary's added tokens are taken out of the raw
+    texts before, each as its one id.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -189,10 +191,17 @@ class _Encoder:
         steps, parts = held["normalizer"]["normalizers"], held["pre_tokenizer"]["pretokenizers"]
         if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in parts] != ["Split", "ByteLevel"] or parts[1]["add_prefix_space"]:
             raise ValueError("a vocabulary with another normalizer or splitter")
+        added = held["added_tokens"] if added_tokens else []
+        if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that aren't matched as they stand")
         self.pattern = regex.compile(parts[0]["pattern"]["Regex"])
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.code = "H" if self.bits <= 16 else "I"
+        # After a line break, which no word holds: a word may be a token's lower case.
+        self.added = {b"\n" + x["content"].encode(): array(self.code, [x["id"]]).tobytes() for x in added}
+        self.contents = sorted((k[1:] for k in self.added), key=len, reverse=True)
+        self.border = regex.compile(b"(" + b"|".join(map(regex.escape, self.contents)) + b")")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -218,17 +227,25 @@ class _Encoder:
             return self._piece(text[:-1]) + self._piece(text[-1])
         return b"".join(map(self._piece, self.pattern.findall(text)))
 
+    def _words(self, text: bytes) -> list[bytes]:
+        if not any(x in text for x in self.contents):
+            return text.lower().split()
+        words = []
+        for i, part in enumerate(self.border.split(text)):
+            words += [b"\n" + part] if i % 2 else part.lower().split()
+        return words
+
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of UTF-8 texts."""
         out = []
         for t in texts:
-            words = (t or b"").lower().split()
+            words = self._words(t or b"")
             parts = list(map(self.young.get, words))
             if None in parts:
                 for i, p in enumerate(parts):
                     if p is None:
                         w = words[i]
-                        found = self.young.get(w) or self.old.get(w) or self._word(w)
+                        found = self.young.get(w) or self.old.get(w) or self.added.get(w) or self._word(w)
                         parts[i] = self.young[w] = found
             out.append(np.frombuffer(b"".join(parts), self.kind))
             if len(self.young) > REMEMBERED:
@@ -243,13 +260,13 @@ def _visible_bytes() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
 
 
-_encoders: dict[str, _Encoder] = {}
+_encoders: dict[tuple[str, bool], _Encoder] = {}
 
 
-def _encoder(path: str) -> _Encoder:
-    if path not in _encoders:
-        _encoders[path] = _Encoder(path)
-    return _encoders[path]
+def _encoder(path: str, added_tokens: bool) -> _Encoder:
+    if (path, added_tokens) not in _encoders:
+        _encoders[path, added_tokens] = _Encoder(path, added_tokens)
+    return _encoders[path, added_tokens]
 
 
 def _store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -266,13 +283,16 @@ def _put(folder: str, name: str, data: bytes) -> None:
     store.move(own, f"{base}/{name}")
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, text: str = "text", doc_id: str = "doc_id", partitions: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, text: str = "text", doc_id: str = "doc_id", partitions: int | None = None, added_tokens: bool = False) -> DataFrame:
     """Encode ``docs`` into shard files in ascending order of ``doc_id``; return their manifest.
 
     The manifest, a table at ``<folder>/manifest``, has a row for each shard:
     part, seq, file, docs, tokens.  Nulls come first; rows of the same id are
     ordered by text; null texts are empty and have the end id alone; an empty
-    table gives an empty manifest.  A shard's name depends on its place alone,
+    table gives an empty manifest.  Added tokens of the vocabulary that stand
+    in a text are text like any other (the tokenizers library with
+    ``encode_special_tokens``) or, with ``added_tokens``, have their own id (the
+    library's default).  A shard's name depends on its place alone,
     so a task that is tried again writes the same files.
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
@@ -284,7 +304,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, tex
         from pyspark import TaskContext
 
         part, seq, held, count = TaskContext.get().partitionId(), 0, ([], []), 0
-        encoder = _encoder(vocabulary)
+        encoder = _encoder(vocabulary, added_tokens)
         end = np.array([end_id], encoder.kind)
 
         def close() -> list[tuple]:

@@ -104,6 +104,24 @@ def test_wavelet_shards(spark, texts, tmp_path, monkeypatch):
     assert wavelet.read_shards(spark, str(empty)).count() == 0
 
 
+def test_wavelet_query_knows_added_tokens(spark, tmp_path):
+    """The query against the library at its defaults."""
+    from tokenizers import Tokenizer
+
+    from causeway.llm import queries
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    special = ["a<|endoftext|>b", "<|ENDOFTEXT|> <|endoftext|><|endoftext|>s", "X <|startoftext|> y<|EndOfText|>", "e<|endoftext|>\u0301x", "don<|endoftext|>'t", "<|endoftext|", "<|<|endoftext|>|>"]
+    every = ODD + special
+    spark.createDataFrame([(i, t) for i, t in enumerate(every)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op2_wavelet_shards(spark, str(tmp_path)).collect()}
+    at = 0
+    for i, t in enumerate(every):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, queries.END_ID], "<u4")
+        assert got[i] == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def _fingerprint(text, k=4):
     w = (text or "").encode().lower().split()
     if not w:
