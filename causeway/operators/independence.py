@@ -7,10 +7,11 @@ test has ``names``, ``alpha``, ``p_value(x, y, z)`` and ``independent``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -320,6 +321,107 @@ class ConditionalCorrelation(IndependenceTest):
         return float(min(1.0, min(ps) * len(ps)))
 
 
+class _WholeTable(IndependenceTest):
+    """Base of tests over all complete rows, with kernels as random Fourier features: cosines whose products' mean is a Gaussian kernel.  Sums of products of the features are all that is gathered."""
+
+    #: Features of the variables tested, and of those conditioned on.
+    OWN, GIVEN = 20, 200
+
+    def __init__(self, df: DataFrame, names: list[str], alpha: float = 0.05, seed: int = 42) -> None:
+        super().__init__(names, alpha)
+        rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(names)]).dropna()
+        found = rows.agg(F.count("*"), *[f(F.col(f"v{i}")) for i in range(len(names)) for f in (F.avg, F.stddev_pop)]).first()
+        self.n, self.seed = int(found[0]), seed
+        self.rows = rows.select(*[((F.col(f"v{i}") - F.lit(found[1 + 2 * i])) / F.lit(found[2 + 2 * i])).alias(f"v{i}") for i in range(len(names))])
+
+    def _features(self, label: str, cols: list[int], count: int, width: float) -> Callable[[np.ndarray], np.ndarray]:
+        g = np.random.default_rng([self.seed, *label.encode(), *cols])
+        w, b = g.standard_normal((len(cols), count)) / (width * np.sqrt(len(cols))), g.uniform(0, 2 * np.pi, count)
+        return lambda v: np.cos(v[:, cols] @ w + b) * np.sqrt(2 / count)
+
+    def _given(self, k: list[int]) -> Callable[[np.ndarray], np.ndarray]:
+        wide, narrow = self._features("z", k, self.GIVEN // 2, 1.0), self._features("w", k, self.GIVEN // 2, 0.3)
+        return lambda v: np.hstack([v[:, k], wide(v), narrow(v)])
+
+    def _sums(self, features: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Mean products of features of a row: a partial matrix per task, added up by cell."""
+        schema = pa.schema([("cell", pa.int32()), ("value", pa.float64())])
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for i in range(0, batch.num_rows, 4096):
+                    part = batch.slice(i, 4096)
+                    f = features(np.column_stack([c.to_numpy() for c in part.columns]))
+                    total = f.T @ f if total is None else total + f.T @ f
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], schema=schema)
+
+        cells = self.rows.mapInArrow(partial, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+        out = np.zeros(cells.num_rows)
+        out[cells.column("cell").to_numpy()] = cells.column("value").to_numpy()
+        return out.reshape(int(np.sqrt(len(out))), -1) / self.n
+
+
+def _ones(*parts: np.ndarray) -> np.ndarray:
+    return np.hstack([np.ones((len(parts[0]), 1)), *parts])
+
+
+class WholeKernelTest(_WholeTable):
+    """``KernelTest`` over all rows of a table (gamma approximation)."""
+
+    def p_value(self, x, y, z):
+        i, j, k = self.names.index(x), self.names.index(y), [self.names.index(c) for c in z]
+        width, d = 0.8 if self.n <= 200 else 0.5 if self.n <= 1200 else 0.3, self.OWN
+        fx, fy, fz = self._features("x", [i, *k], d, width), self._features("y", [j], d, width), self._given(k) if k else None
+        s = self._sums(lambda v: _ones(fx(v), fy(v), *([fz(v)] if fz else [])))
+        s = (s[1:, 1:] - np.outer(s[0, 1:], s[0, 1:])) * self.n
+        own = s[: 2 * d, : 2 * d]
+        if k:
+            szz, szo = s[2 * d :, 2 * d :], s[2 * d :, : 2 * d]
+            b = np.linalg.solve(szz + 1e-6 * self.n * np.eye(len(szz)), szo)
+            own = own - szo.T @ b - b.T @ szo + b.T @ szz @ b
+        xx, yy, xy = own[:d, :d], own[d:, d:], own[:d, d:]
+        mean, var = np.trace(xx) * np.trace(yy) / self.n, 2 * (xx * xx).sum() * (yy * yy).sum() / self.n**2
+        return float(1 - gamma_cdf(mean**2 / var, float((xy * xy).sum()) / (var / mean)))
+
+
+class WholeConditionalCorrelation(_WholeTable):
+    """``ConditionalCorrelation`` over all rows of a table: residuals of ridge regression on the features of z, then their joint moments."""
+
+    def __init__(self, df: DataFrame, names: list[str], alpha: float = 0.05, seed: int = 42, degree: int = 3) -> None:
+        super().__init__(df, names, alpha, seed)
+        self.degree = degree
+
+    def p_value(self, x, y, z):
+        i, j, k = self.names.index(x), self.names.index(y), [self.names.index(c) for c in z]
+        fz, top = self._given(k) if k else None, 2 * self.degree
+        beta = mean = None
+        if k:
+            s = self._sums(lambda v: _ones(v[:, [i, j]], fz(v)))
+            mean = s[0, 1:]
+            c = s[1:, 1:] - np.outer(mean, mean)
+            beta = np.linalg.solve(c[2:, 2:] + 1e-6 * np.eye(len(c) - 2), c[2:, :2])
+
+        def powers(v: np.ndarray) -> np.ndarray:
+            r = v[:, [i, j]]
+            if fz:
+                r = r - mean[:2] - (fz(v) - mean[2:]) @ beta
+            return np.hstack([r[:, :1] ** np.arange(top + 1), r[:, 1:] ** np.arange(top + 1)])
+
+        m, ps = self._sums(powers)[: top + 1, top + 1 :], []
+        for p in range(1, self.degree + 1):
+            for q in range(1, self.degree + 1):
+                ma, mb = m[p, 0], m[0, q]
+                va, vb = m[2 * p, 0] - ma * ma, m[0, 2 * q] - mb * mb
+                r = (m[p, q] - ma * mb) / np.sqrt(va * vb)
+                # The mean of the product of both squares, multiplied out.
+                square = sum(ca * cb * m[pa, qb] for ca, pa in ((1, 2 * p), (-2 * ma, p), (ma * ma, 0)) for cb, qb in ((1, 2 * q), (-2 * mb, q), (mb * mb, 0)))
+                spread = np.sqrt(max(square / (va * vb), 1e-12))
+                ps.append(2 * (1 - normal_cdf(np.sqrt(self.n) * abs(np.arctanh(np.clip(r, -0.999999, 0.999999))) / spread)))
+        return float(min(1.0, min(ps) * len(ps)))
+
+
 class Probabilistic(IndependenceTest):
     """Posterior probability of independence from Dirichlet marginal likelihoods of counts; independent from one half on."""
 

@@ -206,3 +206,27 @@ def test_mixed_model():
     z = g.standard_normal(1500)
     found = mixed_graphical_model(pd.DataFrame({"x": x, "y": y, "z": z, "d": d}), ["d"], (0.1, 0.1, 0.1)).graph(1e-3)
     assert found.adjacent("x", "y") and found.adjacent("x", "d") and not found.neighbours("z")
+
+
+def test_kernel_and_conditional_correlation_over_all_rows(spark, monkeypatch):
+    """A dependence too weak for 150 rows is seen; none is seen given the common cause."""
+    from causeway.operators.independence import WholeConditionalCorrelation, WholeKernelTest
+    from causeway.plans import nongaussian, queries_search
+
+    g = np.random.default_rng(3)
+    x, z = g.standard_normal((2, 6000))
+    y, u, v = 0.15 * x * x + g.standard_normal(6000), z + g.standard_normal(6000), z * z + 0.5 * z + g.standard_normal(6000)
+    rows = np.column_stack([x, y, z, u, v]).tolist() + [[None] * 5]
+    df = spark.createDataFrame(rows, "x double, y double, z double, u double, v double")
+    for kind in (WholeKernelTest, WholeConditionalCorrelation):
+        t = kind(df, df.columns)
+        assert t.n == 6000
+        p = {(a, b, *c): t.p_value(a, b, c) for a, b, c in (("x", "y", []), ("x", "z", []), ("u", "v", []), ("u", "v", ["z"]), ("x", "y", ["z", "u"]))}
+        assert p["x", "y"] < 1e-3 and p["u", "v"] < 1e-3 and p["x", "y", "z", "u"] < 0.02 and p["x", "z"] > 0.01 and p["u", "v", "z"] > 0.01
+
+    def no_sample(*args, **kw):
+        raise AssertionError("a sample of rows")
+
+    monkeypatch.setattr(nongaussian, "sample_rows", no_sample)
+    out = queries_search.independence_tests(spark, "/root/testdata/sf0.001").collect()
+    assert len(out) == 18 and all(0 <= r.p <= 1 for r in out)
