@@ -1,305 +1,354 @@
 """Language-model scores from a probabilistic suffix tree over words (operator 7).
 
-Symbols are the words with at least ``symbol_share`` of all training tokens,
-the end of a text, and one class for all rarer words.  A state is a context of
-up to two symbols with at least ``context_share`` of the tokens whose
-next-symbol distribution diverges from that of its suffix by at least
-``divergence`` nats (corrected for the divergence that chance alone brings);
-suffixes of states are states.  A state keeps the next symbols that make at
-least ``joint_share`` of all tokens together with it; the rest of its mass,
-smoothed by ``smoothing`` more counts, goes to the other symbols in proportion
-to the suffix's distribution.  A rarer word's probability is that of the class
-times its own share of the class.
-
-All four shares are relative, so the tree is bounded whatever the corpus:
-``1/symbol_share`` symbols, ``1/context_share`` states of each length and
-``1/joint_share`` kept probabilities of each length.  Counts cover all
-training texts; the exact counts of rarer words stay in a table, which the
-tokens to be scored meet in a join.
+A state of the tree is a context of up to ``depth`` words that stands
+``least`` times or more in the training texts and whose next-token
+distribution diverges from that of its suffix: coding each of its occurrences
+by its own distribution, with that occurrence left out, saves ``divergence``
+nats a token or more.  A state takes ``discount`` off the count of each of its
+next tokens and deals what that makes by the distribution of its suffix; the
+root's are add-0.1 word probabilities.  A token is scored by the longest state
+that ends before it.
+
+Both thresholds are absolute, so the tree grows with the corpus.  No task and
+no driver holds it: texts are kept as blocks of hashed words (files in the
+shared folder), and for each length in turn a block asks for the counts of its
+distinct contexts and next tokens.  Requests are dealt by the hash of the
+context (in pieces, if it stands very often) to tasks that add them up, test
+the divergence and answer each block.  A request or an answer is one packed
+row for a block and a part, in place of a row for each n-gram.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from causeway.llm.common import map_rows, written
+from causeway.llm.common import drop_path, get_file, id_column, map_rows, put_file, scratch_path, text_column, written
 
 #: Stands for the end of a text among the words; no word holds a blank.
 END = b"\n"
-#: Distinct keys that a task counts before it hands them on.
-FLUSH = 200_000
-
-
-@dataclass
-class Tree:
-    """A fitted suffix tree; everything in it is bounded by the shares."""
-
-    symbols: dict[bytes, int]  # word -> symbol; END has one as well
-    counts: np.ndarray  # training count of each symbol, the class of rarer words last
-    tokens: int  # N
-    distinct: int  # V
-    root: np.ndarray = field(default=None)  # log10 of each symbol's probability
-    state1: np.ndarray = field(default=None)  # state of each symbol as context, 0 (the root) for none
-    state2: np.ndarray = field(default=None)  # sorted keys of the contexts of two
-    state2_id: np.ndarray = field(default=None)
-    parent: np.ndarray = field(default=None)  # of each state
-    other: np.ndarray = field(default=None)  # log10 factor for symbols that a state doesn't keep
-    kept: np.ndarray = field(default=None)  # sorted keys state * symbols + symbol
-    kept_log: np.ndarray = field(default=None)
-
-    @property
-    def size(self) -> int:
-        return len(self.counts)
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        rare = self.size - 1
-        get = self.symbols.get
-        return np.array([get(w, rare) for w in words], np.int64)
-
-
-def _tokens(text: str | None) -> list[bytes]:
-    words = (text or "").encode("utf-8").lower().split()
-    words.append(END)
-    return words
-
-
-def _texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            yield batch.slice(i, 256)
-
-
-def count_words(train: DataFrame, text: str) -> DataFrame:
-    """``(word binary, n)`` over all training texts, ends included."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        counts: Counter = Counter()
-        for part in _texts(batches):
-            for t in part.column(0).to_pylist():
-                counts.update(_tokens(t))
-            if len(counts) >= FLUSH:
-                yield list(counts.items())
-                counts.clear()
-        yield list(counts.items())
-
-    return map_rows(train.select(F.col(text).cast("string")), rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _symbol_arrays(tree: Tree, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Symbols of all texts in a row, the two before each (-1 at a text's start), and the words."""
-    words = [_tokens(t) for t in texts]
-    ids = tree.ids([w for ws in words for w in ws])
-    n = np.array([len(ws) for ws in words])
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-    one = np.where(place >= 1, np.roll(ids, 1), -1)
-    two = np.where(place >= 2, np.roll(ids, 2), -1)
-    return ids, one, two, words
-
-
-def count_next(train: DataFrame, text: str, tree: Tree, contexts: np.ndarray, depth: int) -> DataFrame:
-    """``(context, symbol, n)``: next symbols of the given contexts (sorted keys) of one or two symbols."""
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast((tree, contexts))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        tree, contexts = shared.value
-        size = tree.size
-        held: list[np.ndarray] = []
-        for part in _texts(batches):
-            ids, one, two, _ = _symbol_arrays(tree, part.column(0).to_pylist())
-            key = one if depth == 1 else np.where(two >= 0, two * size + one, -1)
-            at = np.searchsorted(contexts, key)
-            known = (at < len(contexts)) & (contexts[np.minimum(at, len(contexts) - 1)] == key) & (key >= 0)
-            held.append(at[known] * size + ids[known])
-            if sum(map(len, held)) > 5 * FLUSH:
-                yield _counted(held, contexts, size)
-                held = []
-        if held:
-            yield _counted(held, contexts, size)
-
-    def _counted(held: list[np.ndarray], contexts: np.ndarray, size: int) -> list[tuple]:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return list(zip(contexts[keys // size].tolist(), (keys % size).tolist(), n.tolist()))
-
-    return map_rows(train.select(F.col(text).cast("string")), rows, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-
-
-def fit(train: DataFrame, text: str = "text", symbol_share: float = 1e-6, context_share: float = 1e-4, joint_share: float = 1e-6, divergence: float = 0.02, smoothing: float = 50.0) -> tuple[Tree, DataFrame]:
-    """The tree, and the table ``(word, n)`` of all training counts (written to the shared folder)."""
-    counts = written(count_words(train, text), "words")
-    total = counts.agg(F.sum("n"), F.count("*")).first()
-    tokens, distinct = int(total[0] or 0), int(total[1])
-    frequent = counts.filter(F.col("n") >= F.lit(max(1.0, tokens * symbol_share))).orderBy(F.desc("n"), "word").toArrow()
-    words, n = frequent.column("word").to_pylist(), frequent.column("n").to_numpy()
-    tree = Tree({w: k for k, w in enumerate(words)}, np.append(n, tokens - n.sum()).astype(np.int64), tokens, distinct)
-    size = tree.size
-    p_root = (tree.counts + 0.1) / (tokens + 0.1 * size)
-    tree.root = np.log10(p_root)
-    log_root = np.log(p_root)
-    states = [((), p_root, {})]  # context, distribution's source, kept probabilities
-    least = max(1.0, tokens * context_share)
-    joint = max(1.0, tokens * joint_share)
-
-    def nexts(contexts: np.ndarray, depth: int) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
-        """Total, kept symbols and their counts of each context."""
-        if not len(contexts):
-            return {}
-        table = written(count_next(train, text, tree, contexts, depth), "next")
-        sums = {r[0]: r[1] for r in table.groupBy("context").agg(F.sum("n")).collect()}
-        kept = table.filter(F.col("n") >= F.lit(joint)).toArrow()
-        c, s, k = (kept.column(x).to_numpy() for x in ("context", "symbol", "n"))
-        order = np.lexsort((s, c))
-        c, s, k = c[order], s[order], k[order]
-        bounds = np.searchsorted(c, sorted(sums)).tolist() + [len(c)]
-        return {x: (sums[x], s[i:j], k[i:j]) for x, i, j in zip(sorted(sums), bounds[:-1], bounds[1:])}
-
-    def diverges(total: int, s: np.ndarray, k: np.ndarray, p_parent: np.ndarray) -> bool:
-        rest, rest_parent = max(total - k.sum(), 0) / total, max(1 - p_parent.sum(), 1e-12)
-        p = k / total
-        d = float((p * np.log(p / p_parent)).sum()) + (rest * np.log(rest / rest_parent) if rest else 0.0)
-        return d - len(k) / (2 * total) >= divergence
-
-    singles = np.flatnonzero(tree.counts >= least).astype(np.int64)
-    singles = singles[singles != tree.symbols.get(END, -1)]
-    next1 = nexts(singles, 1)
-    pairs = np.array(sorted(int(a) * size + int(b) for a, (_, s, k) in next1.items() for b, m in zip(s, k) if m >= least and b != tree.symbols.get(END, -1)), np.int64)
-    next2 = nexts(pairs, 2)
-
-    def distribution(base_log: np.ndarray, entry: tuple[int, np.ndarray, np.ndarray], p_parent: np.ndarray) -> tuple[np.ndarray, float]:
-        """Probabilities of the kept symbols and the factor for all others."""
-        total, s, k = entry
-        taken = p_parent.sum()
-        if 1 - taken < 1e-9:
-            return (k + smoothing * p_parent) / (total + smoothing), 1.0
-        return k / (total + smoothing), max(total - k.sum() + smoothing, 1e-9) / ((total + smoothing) * (1 - taken))
-
-    p1: dict[int, tuple[np.ndarray, float]] = {}
-    for a, entry in next1.items():
-        p1[a] = distribution(log_root, entry, p_root[entry[1]])
-
-    def parent2(b: int, s: np.ndarray) -> np.ndarray:
-        if b not in p1:
-            return p_root[s]
-        _, kept_s, _ = next1[b]
-        p, factor = p1[b]
-        at = np.minimum(np.searchsorted(kept_s, s), max(len(kept_s) - 1, 0))
-        known = kept_s[at] == s if len(kept_s) else np.zeros(len(s), bool)
-        return np.where(known, p[at] if len(kept_s) else 0.0, factor * p_root[s])
-
-    chosen2 = [x for x, (t, s, k) in next2.items() if diverges(t, s, k, parent2(x % size, s))]
-    chosen1 = sorted({a for a, (t, s, k) in next1.items() if diverges(t, s, k, p_root[s])} | {x % size for x in chosen2 if x % size in next1})
-    number = {a: i + 1 for i, a in enumerate(chosen1)}
-    tree.state1 = np.zeros(size, np.int64)
-    tree.state1[chosen1] = np.arange(1, len(chosen1) + 1)
-    tree.state2 = np.array(sorted(chosen2), np.int64)
-    tree.state2_id = np.arange(len(chosen2), dtype=np.int64) + len(chosen1) + 1
-    tree.parent = np.array([0] + [0] * len(chosen1) + [number.get(x % size, 0) for x in sorted(chosen2)], np.int64)
-    other, keys, logs = [0.0], [], []
-    for i, a in enumerate(chosen1):
-        p, factor = p1[a]
-        other.append(np.log10(factor))
-        keys.append((i + 1) * size + next1[a][1])
-        logs.append(np.log10(p))
-    for i, x in enumerate(sorted(chosen2)):
-        entry = next2[x]
-        p, factor = distribution(log_root, entry, parent2(x % size, entry[1]))
-        other.append(np.log10(factor))
-        keys.append((i + 1 + len(chosen1)) * size + entry[1])
-        logs.append(np.log10(p))
-    tree.other = np.array(other)
-    tree.kept = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    tree.kept_log = np.concatenate(logs) if logs else np.zeros(0)
-    return tree, counts
-
-
-def log_probabilities(tree: Tree, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """log10 of each symbol's probability in the longest state that is a suffix of what stands before it."""
-    state = np.where(one >= 0, tree.state1[np.maximum(one, 0)], 0)
-    if len(tree.state2):
-        key = np.where(two >= 0, two * tree.size + one, -1)
-        at = np.minimum(np.searchsorted(tree.state2, key), len(tree.state2) - 1)
-        state = np.where(tree.state2[at] == key, tree.state2_id[at], state)
-    out = np.zeros(len(ids))
-    left = np.flatnonzero(state)
-    out[state == 0] = tree.root[ids[state == 0]]
-    while len(left):
-        s = state[left]
-        key = s * tree.size + ids[left]
-        at = np.minimum(np.searchsorted(tree.kept, key), max(len(tree.kept) - 1, 0))
-        known = tree.kept[at] == key if len(tree.kept) else np.zeros(len(left), bool)
-        out[left[known]] += tree.kept_log[at[known]]
-        rest = left[~known]
-        out[rest] += tree.other[state[rest]]
-        state[rest] = tree.parent[state[rest]]
-        ended = rest[state[rest] == 0]
-        out[ended] += tree.root[ids[ended]]
-        left = rest[state[rest] > 0]
-    return out
-
-
-def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str = "doc_id", **shares: float) -> DataFrame:
+#: Tokens of a block (whole texts), and of a part of the requests.
+BLOCK, PART = 1 << 21, 1 << 21
+#: Occurrences of a context whose continuations go to one part; those of a more frequent one are dealt to several.
+HOT = 1 << 23
+#: Bits by which a part knows a continuation within its context.
+LOW = np.uint64((1 << 48) - 1)
+ANSWER = "block long, part int, level int, totals binary, states binary"
+
+_squeeze, _expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of 64-bit numbers."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _pack(numbers: np.ndarray, width: int = 0) -> bytes:
+    """Numbers as byte planes, compressed; ``width`` bytes of each, or as many as the largest needs."""
+    raw = np.ascontiguousarray(numbers).astype("<u8")
+    width = width or max(1, -(-int(raw.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + _squeeze.compress(np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_expand.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _bundle(parts: list[bytes]) -> bytes:
+    return b"".join([np.array([len(parts), *map(len, parts)], "<u8").tobytes(), *parts])
+
+
+def _unbundle(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data[:8], "<u8")[0])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(data[8 : 8 * (n + 1)], "<u8")).astype(np.int64)
+    return [data[a:b] for a, b in zip([8 * (n + 1), *ends[:-1].tolist()], ends.tolist())]
+
+
+class _Writer:
+    """Collects texts and writes a block of them whenever it is full."""
+
+    def __init__(self, folder: str, task: int) -> None:
+        self.folder, self.task, self.seq = folder, task, 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.docs, self.known, self.training, self.tokens, self.size = [], [], [], [], 0
+
+    def add(self, doc_id: int | None, text: str | None, training: bool) -> list[tuple]:
+        words = (text or "").encode("utf-8").lower().split()
+        words.append(END)
+        known = self.words
+        for w in set(words).difference(known):
+            known[w] = len(known)
+        self.tokens.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+        self.docs.append(doc_id or 0)
+        self.known.append(doc_id is not None)
+        self.training.append(training)
+        self.size += len(words)
+        return self.close() if self.size >= BLOCK else []
+
+    def close(self) -> list[tuple]:
+        if not self.docs:
+            return []
+        block, lengths, tokens = self.task << 24 | self.seq, np.array(list(map(len, self.tokens)), np.uint64), np.concatenate(self.tokens)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+        order = np.argsort(hashes)
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        put_file(self.folder, str(block), _bundle([_pack(np.array(self.docs, "<i8").view("<u8"), 8), _pack(np.array(self.known)), _pack(np.array(self.training)), _pack(lengths), _pack(hashes[order], 8), _pack(place[tokens])]))
+        row = (block, self.size, int(lengths[np.array(self.training)].sum()))
+        self.seq += 1
+        self._clear()
+        return [row]
+
+
+class _Block:
+    """A block of texts, and what is known of its tokens so far."""
+
+    def __init__(self, data: bytes, parts: int, least: int, discount: float) -> None:
+        docs, known, training, lengths, self.words, tokens = map(_unpack, _unbundle(data))
+        self.parts, self.least, self.discount = parts, least, discount
+        self.docs = [d if k else None for d, k in zip(docs.view("<i8").tolist(), known.tolist())]
+        self.training, self.lengths, self.tokens = training.astype(bool), lengths.astype(np.int64), tokens.astype(np.int64)
+        self.ends = np.cumsum(self.lengths) - 1  # places of the ends of texts
+        self.inner = np.ones(len(self.tokens), bool)
+        self.inner[self.ends] = False
+        self.train = np.repeat(self.training, self.lengths)
+        self.level = 0
+
+    # Contexts of no word: every distinct token.
+    def ask(self) -> Iterator[tuple[int, bytes]]:
+        """``(part, request)`` of the next level; what it asks for stays in order."""
+        if self.level == 0:
+            self.keys, self.counts = self.words, np.bincount(self.tokens[self.train], minlength=len(self.words))
+            part = (_mixed(self.keys, np.uint64(self.parts)) % np.uint64(self.parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            self.back = np.empty(len(order), np.int64)
+            self.back[order] = np.arange(len(order))
+            bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
+            for p in np.unique(part).tolist():
+                mine = order[bounds[p] : bounds[p + 1]]
+                yield p, _bundle([_pack(self.keys[mine], 8), _pack(self.counts[mine])])
+            return
+        # One entry for each distinct (context, next token) at the active places.
+        self.gram = _mixed(self.context, self.words[self.tokens[self.active]])
+        _, first, self.entry = np.unique(self.gram, return_index=True, return_inverse=True)
+        context, gram, n = self.context[first], self.gram[first], self.n[first]
+        counts = np.bincount(self.entry, self.train[self.active], minlength=len(first))
+        parent = np.rint(-1000 * np.log10(self.p[self.active[first]])).astype(np.uint64)
+        pieces = -(-n // HOT)
+        piece = (gram % pieces.astype(np.uint64)).astype(np.uint64)
+        part = (_mixed(context, piece) % np.uint64(self.parts)).astype(np.int64)
+        order = np.lexsort((gram, context, part))
+        self.back = np.empty(len(order), np.int64)
+        self.back[order] = np.arange(len(order))
+        bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
+        heads = []
+        for p in range(self.parts):
+            mine = order[bounds[p] : bounds[p + 1]]
+            if not len(mine):
+                continue
+            c = context[mine]
+            new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            heads.append(np.repeat(np.arange(len(new)), np.diff(np.append(new, len(c)))) + (heads[-1][-1] + 1 if heads else 0))
+            yield p, _bundle([_pack(c[new], 8), _pack(np.diff(np.append(new, len(c)))), _pack(n[mine][new]), _pack(gram[mine] & LOW, 6), _pack(counts[mine]), _pack(parent[mine])])
+        self.head = np.concatenate(heads) if heads else np.zeros(0, np.int64)
+
+    def take(self, answers: list[tuple[bytes, bytes]], hot: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int) -> None:
+        """The answers of a level in order of their parts; ``hot``: the states among the contexts that were dealt to several parts, and their numbers of next tokens."""
+        totals = np.concatenate([_unpack(t) for t, _ in answers]).astype(np.int64)[self.back] if answers else np.zeros(0, np.int64)
+        if self.level == 0:
+            self.total = totals[self.tokens]
+            self.p = (self.total + 0.1) / (tokens + 0.1 * (distinct + 1))
+            self.base = np.log10(self.p)
+            self.seen = self.total > 0
+            before, counts, hashes = np.arange(len(self.tokens)), self.total, self.words[self.tokens]
+        else:
+            # Different next tokens of each context; 0 if it is no state.
+            nexts = np.concatenate([_unpack(k) for _, k in answers]).astype(np.int64)[self.head][self.back][self.entry] if answers else np.zeros(0, np.int64)
+            if len(hot[0]):
+                place = np.minimum(np.searchsorted(hot[0], self.context), len(hot[0]) - 1)
+                nexts = np.where((hot[0][place] == self.context) & (self.n > HOT), hot[1][place], nexts)
+            counts, before, hashes = totals[self.entry], self.active, self.gram
+            kept = nexts > 0
+            at = self.active[kept]
+            self.p[at] = (np.maximum(counts[kept] - self.discount, 0) + self.discount * nexts[kept] * self.p[at]) / self.n[kept]
+        # What stands often enough is a context of the token after it.
+        on = counts >= self.least
+        on &= self.inner[before]
+        self.active, self.context, self.n = before[on] + 1, hashes[on], counts[on]
+        self.level += 1
+
+    def rows(self, tokens: int) -> list[tuple]:
+        """Figures of each text."""
+        start = self.ends + 1 - self.lengths
+        total = lambda x: np.add.reduceat(x, start)
+        return list(zip(self.docs, self.training.tolist(), self.lengths.tolist(), total(self.seen.astype(np.int64)).tolist(), [tokens] * len(start), total(self.base).tolist(), total(np.log10(self.p)).tolist()))
+
+
+def _add_up(blocks: list[int], requests: list[bytes], level: int, discount: float, divergence: float) -> tuple[list[tuple[int, bytes, bytes]], int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Answers to the requests of one part, its number of distinct tokens (level 0), and frequent contexts with their savings and next tokens here."""
+    held = [list(map(_unpack, _unbundle(r))) for r in requests]
+    if level == 0:
+        keys, counts = (np.concatenate([h[k] for h in held]) for k in range(2))
+        distinct, entry = np.unique(keys, return_inverse=True)
+        total = np.bincount(entry, counts).astype(np.int64)
+        ends = np.cumsum([len(h[0]) for h in held])
+        return [(b, _pack(total[entry[e - len(h[0]) : e]]), b"") for b, h, e in zip(blocks, held, ends.tolist())], int((total > 0).sum()), (np.zeros(0), np.zeros(0), np.zeros(0))
+    sizes = [h[1].astype(np.int64) for h in held]
+    context = np.concatenate([np.repeat(h[0], s) for h, s in zip(held, sizes)])
+    n_of = np.concatenate([np.repeat(h[2], s) for h, s in zip(held, sizes)]).astype(np.int64)
+    low, counts, parent = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5))
+    _, first, entry = np.unique(_mixed(context, low), return_index=True, return_inverse=True)
+    total = np.bincount(entry, counts)
+    q, n = 10.0 ** (-parent[first].astype(float) / 1000), n_of[first]
+    contexts, one, owner = np.unique(context[first], return_index=True, return_inverse=True)
+    nexts = np.bincount(owner, total > 0)
+    often = n[one] > HOT
+    # A frequent context's next tokens are dealt evenly: here are as many as in each other piece.
+    every = (nexts * np.where(often, -(-n[one] // HOT), 1))[owner]
+    left = np.maximum(total - 1 - discount, 0) + discount * (every - (total == 1)) * q
+    saved = np.bincount(owner, np.where(total > 0, total * np.log(np.maximum(left, 1e-300) / (np.maximum(n - 1, 1) * q)), 0.0))
+    n = n[one]
+    states = np.where(~often & (saved >= divergence * n), nexts, 0)
+    out, at = [], 0
+    for b, h, s in zip(blocks, held, sizes):
+        size = int(s.sum())
+        out.append((b, _pack(total[entry[at : at + size]]), _pack(states[np.searchsorted(contexts, h[0])])))
+        at += size
+    return out, 0, (contexts[often], saved[often] / n[often], nexts[often])
+
+
+class _Levels:
+    """Runs the exchange of requests and answers level by level."""
+
+    def __init__(self, spark: SparkSession, folder: str, manifest: DataFrame, least: int, discount: float, divergence: float) -> None:
+        self.spark, self.folder, self.least, self.discount, self.divergence = spark, folder, max(2, least), discount, divergence
+        self.manifest = manifest
+        size, self.tokens, self.blocks = (int(x or 0) for x in manifest.agg(F.sum("size"), F.sum("training"), F.count("*")).first())
+        self.tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.blocks)
+        self.parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+        self.distinct, self.hot, self.answers = 0, [], []
+
+    def _opened(self, block: int, answers: pa.Table, hot: list[tuple[np.ndarray, np.ndarray]], tokens: int, distinct: int) -> _Block:
+        out = _Block(get_file(self.folder, str(block)), self.parts, self.least, self.discount)
+        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("level", "part", "totals", "states"))), key=lambda r: r[:2])
+        for level, states in enumerate(hot):
+            for _ in out.ask():
+                pass
+            out.take([(t, k) for at, _, t, k in rows if at == level], states, tokens, distinct)
+        return out
+
+    def _by_block(self, step, schema: str) -> DataFrame:
+        """``step`` of each block with all answers to it so far."""
+        rows = self.manifest.select("block", F.lit(-1).alias("part"), F.lit(-1).alias("level"), F.lit(b"").alias("totals"), F.lit(b"").alias("states"))
+        for a in self.answers:
+            rows = rows.union(a.filter("block >= 0"))
+        hot, tokens, distinct, opened = list(self.hot), self.tokens, self.distinct, self._opened_with()
+        arrow = _arrow_schema(self.spark, schema)
+
+        def run(table: pa.Table) -> pa.Table:
+            block = table.column("block")[0].as_py()
+            return _table(list(step(block, opened(block, table, hot, tokens, distinct))), arrow)
+
+        # A fixed number of tasks: rows are few, but each block is much work.
+        return rows.repartition(self.tasks, "block").groupBy("block").applyInArrow(run, schema)
+
+    def _opened_with(self):
+        light = _Levels.__new__(_Levels)
+        light.folder, light.parts, light.least, light.discount = self.folder, self.parts, self.least, self.discount
+        return light._opened
+
+    def exchange(self, level: int) -> None:
+        """Requests of all blocks for contexts of ``level`` words, and the answers."""
+        requests = self._by_block(lambda b, block: ((b, p, r) for p, r in block.ask()), "block long, part int, request binary")
+        discount, divergence, arrow = self.discount, self.divergence, _arrow_schema(self.spark, ANSWER)
+
+        def run(table: pa.Table) -> pa.Table:
+            part = table.column("part")[0].as_py()
+            out, distinct, (often, saved, nexts) = _add_up(table.column("block").to_pylist(), table.column("request").to_pylist(), level, discount, divergence)
+            # The part's own row: its number of distinct tokens, or the frequent contexts, their savings and their next tokens.
+            own = _bundle([_pack(np.array([distinct])), _pack(often.astype(np.uint64), 8), saved.astype("<f8").tobytes(), _pack(nexts)])
+            return _table([(b, part, level, t, k) for b, t, k in out] + [(-1, part, level, own, b"")], arrow)
+
+        answers = written(requests.repartition(self.parts, "part").groupBy("part").applyInArrow(run, ANSWER), "answers")
+        said = [_unbundle(bytes(r.totals)) for r in answers.filter("block < 0").select("totals").toLocalIterator()]
+        self.answers.append(answers)
+        if level == 0:
+            self.distinct = sum(int(_unpack(s[0])[0]) for s in said)
+        contexts = np.concatenate([_unpack(s[1]) for s in said]) if said else np.zeros(0, np.uint64)
+        found, owner = np.unique(contexts, return_inverse=True)
+        saved, nexts = (np.bincount(owner, np.concatenate(x)) if len(found) else np.zeros(0) for x in ([np.frombuffer(s[2], "<f8") for s in said], [_unpack(s[3]) for s in said]))
+        self.hot.append((found[saved >= self.divergence], nexts[saved >= self.divergence].astype(np.int64)))
+
+    def scores(self) -> DataFrame:
+        tokens = self.tokens
+        return self._by_block(lambda _, block: block.rows(tokens), SCORES)
+
+
+SCORES = "doc_id long, in_training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+    return to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str = "doc_id", depth: int = 3, least: int = 50, divergence: float = 0.02, discount: float = 0.75) -> DataFrame:
     """Scores of all whole texts under a tree that is fitted to those where ``in_training`` holds.
 
     Returns doc_id, in_training, n_tokens, n_known, train_tokens, base_score
-    (add-0.1 word probabilities) and score, one row per row of ``docs``.  Null
-    texts are empty and consist of the end alone; a table without training
-    rows gives every token the probability of an unknown one; null
-    ``in_training`` counts as false; other columns are not read.
+    (add-0.1 word probabilities) and score, one row per row of ``docs``.
+    Words are lower-cased (A-Z); a text's end is a token.  Null and empty
+    texts consist of the end alone; a very long text is a block of its own and
+    must fit in a task's memory, some hundred bytes a word; repeated rows count
+    and are scored each; a table without training rows gives every token the
+    probability of an unknown one; an empty table gives an empty result; null
+    ``in_training`` counts as false; ids are whole numbers or null; other
+    columns are not read.
+
+    ``depth``: words of the longest context; ``least`` (2 at least),
+    ``divergence`` and ``discount`` (between 0 and 1): see above.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(in_training, F.lit(False)).alias("in_training"))
-    tree, counts = fit(narrow.filter("in_training"), "text", **shares)
-    shared = spark.sparkContext.broadcast(tree)
-    tokens, distinct, rare_tokens = tree.tokens, tree.distinct, int(tree.counts[-1])
-    rare_distinct = distinct - (tree.size - 1)
-
-    # A row for each rarer word of a document; the document's own figures are in its first row.
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    folder = scratch_path(spark, "suffix-tree")
+    narrow = docs.select(id_column(docs, doc_id).alias("doc_id"), text_column(docs, text).alias("text"), F.coalesce(in_training, F.lit(False)).alias("in_training"))
+
+    # A block's name depends on its place alone, so a task that is tried again writes the same files.
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         from pyspark import TaskContext
 
-        tree, part, number = shared.value, TaskContext.get().partitionId(), 0
-        base = np.log10((tree.counts + 0.1) / (tree.tokens + 0.1 * (tree.distinct + 1)))
-        base[-1] = 0.0
-        rare, some = tree.size - 1, tree.counts > 0
-        for piece in _texts(batches):
-            doc_ids, texts, flags = (piece.column(c).to_pylist() for c in range(3))
-            ids, one, two, words = _symbol_arrays(tree, texts)
-            logs, out, at = log_probabilities(tree, ids, one, two), [], 0
-            for d, flag, ws in zip(doc_ids, flags, words):
-                mine = ids[at : at + len(ws)]
-                away = np.flatnonzero(mine == rare)
-                own = (d, flag, len(ws), int(some[mine[mine != rare]].sum()), float(base[mine].sum()), float(logs[at : at + len(ws)].sum()), len(away))
-                at += len(ws)
-                row = (part << 40) | number
-                number += 1
-                met = list(Counter([ws[i] for i in away.tolist()]).items()) or [(None, 0)]
-                for k, (w, n) in enumerate(met):
-                    out.append((row, w, n, *(own if k == 0 else (None,) * 7)))
-            yield out
-
-    met = map_rows(narrow, rows, "row long, word binary, times int, doc_id long, in_training boolean, n_tokens long, known long, base double, logs double, rare long")
-    own = F.coalesce(F.col("n"), F.lit(0))
-    # Only words below the symbols' share can be met; none of them is a hot key.
-    looked_up = met.join(counts.filter(F.col("n") < F.lit(max(1.0, tokens * shares.get("symbol_share", 1e-6)))).withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left").select(
-        "row", "doc_id", "in_training", "n_tokens", "known", "base", "logs", "rare", (F.col("times") * (own > 0).cast("int")).alias("found"), (F.col("times") * F.log10(own + 0.1)).alias("rare_logs")
-    )
-    per_doc = looked_up.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "in_training", "n_tokens", "known", "base", "logs", "rare")], F.sum("found").alias("found"), F.sum("rare_logs").alias("rare_logs"))
-    all_mass = float(np.log10(tokens + 0.1 * (distinct + 1)))
-    rare_mass = float(np.log10(rare_tokens + 0.1 * (rare_distinct + 1)))
-    return per_doc.select(
-        "doc_id",
-        "in_training",
-        "n_tokens",
-        (F.col("known") + F.col("found")).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rare_logs") - F.col("rare") * all_mass).alias("base_score"),
-        (F.col("logs") + F.col("rare_logs") - F.col("rare") * rare_mass).alias("score"),
-    )
+        writer = _Writer(folder, TaskContext.get().partitionId())
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                piece = batch.slice(i, 256)
+                for row in zip(*(piece.column(c).to_pylist() for c in range(3))):
+                    yield writer.add(*row)
+        yield writer.close()
+
+    manifest = written(map_rows(narrow, blocks, "block long, size long, training long"), "suffix-tree-blocks")
+    levels = _Levels(spark, folder, manifest, least, discount, divergence)
+    for level in range(depth + 1):
+        levels.exchange(level)
+    out = written(levels.scores(), "suffix-tree-scores")
+    for path in [folder, manifest._scratch_path, *(a._scratch_path for a in levels.answers)]:
+        drop_path(spark, path)
+    return out
