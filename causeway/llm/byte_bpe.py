@@ -19,6 +19,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+from causeway.llm.common import column, text_column
 
 #: Pieces that a task remembers; beyond it the older half is forgotten (and encoded anew when met).
 REMEMBERED = 300_000
@@ -203,7 +206,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def _run(df: DataFrame, step, name: str, kind: pa.DataType, spark_type: str, after=lambda: None) -> DataFrame:
     """``df`` with one more column, computed for each batch by ``step``; ``after`` runs at the end of each task."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` {spark_type}"
+    schema = StructType([*df.schema, StructField(name, _parse_datatype_string(spark_type))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -221,9 +224,11 @@ def _run(df: DataFrame, step, name: str, kind: pa.DataType, spark_type: str, aft
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id", out: str = "token_ids") -> DataFrame:
     """``(doc_id, token_ids array<int>)`` of each whole text, without special tokens.
 
-    Null texts count as empty and have no tokens; every row gives a row;
-    other columns are not read.  The vocabulary file is read by path on each
-    executor and must hold all 256 single bytes.
+    Null and empty texts have no tokens; very long ones are encoded whole;
+    every row, repeated or not, gives a row; null ids and ids of any type pass
+    through; an empty table gives an empty result; other columns are not read.
+    The vocabulary file is read by path on each executor and must hold all 256
+    single bytes.
     """
 
     def step(texts: pa.Array) -> pa.Array:
@@ -231,17 +236,23 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", d
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32), pa.int32()))
 
-    return _run(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__cw_text")), step, out, pa.list_(pa.int32()), "array<int>", lambda: codec(vocabulary, pattern).trim()).drop("__cw_text")
+    return _run(docs.select(column(doc_id).alias("doc_id"), text_column(docs, text).alias("__cw_text")), step, out, pa.list_(pa.int32()), "array<int>", lambda: codec(vocabulary, pattern).trim()).drop("__cw_text")
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes of its ids in one more (binary) column; null ids count as none."""
+    """``encoded`` with the bytes of its ids in one more (binary) column.
+
+    A null list of ids decodes to no bytes, as an empty one; lists of any
+    length are decoded whole; repeated rows give a row each; an empty table
+    gives an empty result; other columns pass through, but one named ``out``
+    is replaced.
+    """
 
     def step(lists: pa.Array) -> list[bytes]:
         coder = codec(vocabulary, pattern)
         values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         return [coder.decode(values[i:j]) for i, j in zip(ends[:-1], ends[1:])]
 
-    others = [c for c in encoded.columns if c != ids]
-    filled = encoded.select(*others, F.coalesce(ids, F.array().cast("array<int>")).alias(ids))
+    others = [column(c) for c in encoded.columns if c not in (ids, out)]
+    filled = encoded.select(*others, F.coalesce(column(ids), F.array().cast("array<int>")).alias(ids))
     return _run(filled, step, out, pa.binary(), "binary")

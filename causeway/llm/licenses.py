@@ -1,8 +1,9 @@
 """License scans (operator 10), in DataFrame functions alone.
 
-Lines of files (and the whole of licence files) are compared with templates by
-the cosine of sparse TF-IDF vectors.  Files without a licence of their own
-inherit that of the licence file in their nearest directory upwards.
+The lines of files, the openings of licence files and the whole texts of
+licence files are compared with templates by the cosine of sparse TF-IDF
+vectors.  Files without a licence of their own inherit that of the licence
+file in their nearest directory upwards.
 """
 
 from __future__ import annotations
@@ -14,34 +15,22 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import written
+from causeway.llm.common import BLANKS, column, fresh_prefix, text_column, written
+from causeway.llm.license_texts import GENERIC, NOTICES, TEXTS
 from causeway.llm.url_filter import LOWER, UPPER
 
-#: Short notices by licence; a licence may have several.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC0-1.0", "dedicated to the public domain under CC0 1.0 Universal"),
-]
 #: Names of licence files.
-LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)[^/]*$"
-
-
+LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice|unlicense)[^/]*$"
+#: A tag that names the licence.
+TAG = r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?: (?:AND|OR|WITH) [A-Za-z0-9.+-]+)*)"
 #: Words that any text may have; they are no terms.
 COMMON = ["a", "an", "and", "any", "are", "as", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with"]
+#: What decides first: a tag, a whole text, a line or an opening, a line that several licences share.
+BY_TAG, BY_TEXT, BY_NOTICE, BY_GENERIC = 4, 3, 2, 1
+
+Template = tuple[str, str, int]  # licence, text, rank
+LINE_TEMPLATES: list[Template] = [(name, t, BY_NOTICE) for name, t in NOTICES] + [(name, t, BY_GENERIC) for name, t in GENERIC]
+TEXT_TEMPLATES: list[Template] = [(name, t, BY_TEXT) for name, t in TEXTS]
 
 
 def _terms(text: str) -> list[str]:
@@ -51,45 +40,47 @@ def _terms(text: str) -> list[str]:
 class Templates:
     """TF-IDF vectors of the templates; terms in none of them weigh as much as a term in none can."""
 
-    def __init__(self, templates: list[tuple[str, str]], least: float) -> None:
+    def __init__(self, templates: list[Template], least: float) -> None:
         n = len(templates)
-        held = [Counter(_terms(t)) for _, t in templates]
+        held = [Counter(_terms(t)) for _, t, _ in templates]
         df = Counter(t for h in held for t in h)
         self.idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items()}
         self.unknown = math.log(1 + n) + 1
         self.rows, heavy = [], set()
-        for k, ((name, _), counts) in enumerate(zip(templates, held)):
+        for k, ((name, _, rank), counts) in enumerate(zip(templates, held)):
             weight = {t: c * self.idf[t] for t, c in counts.items()}
             norm = math.sqrt(sum(w * w for w in weight.values()))
-            self.rows += [(k, name, t, w / norm, self.idf[t]) for t, w in weight.items()]
+            self.rows += [(k, name, rank, t, w / norm, self.idf[t]) for t, w in weight.items()]
             # A text that has only terms whose weights together stay under ``least`` can't reach it.
             light = 0.0
             for t, w in sorted(weight.items(), key=lambda x: (x[1], x[0])):
                 light += (w / norm) ** 2
                 if light >= least * least * (1 - 1e-9):
                     heavy.add(t)
-        self.heavy = rf"(?i)(?<![A-Za-z0-9])(?:{'|'.join(sorted(heavy))})(?![A-Za-z0-9])"
+        by_letter = {t[0]: sorted(x[1:] for x in heavy if x[0] == t[0]) for t in sorted(heavy)}
+        self.heavy = rf"(?i)(?<![A-Za-z0-9])(?:{'|'.join(f'{a}(?:{"|".join(rest)})' for a, rest in by_letter.items())})(?![A-Za-z0-9])"
 
 
-def match_texts(texts: DataFrame, least: float = 0.6, templates: list[tuple[str, str]] | None = None, text: str = "unit") -> DataFrame:
-    """``(unit, license, score)``: the best template of each distinct text, if its cosine is ``least`` or more.
+def match_texts(texts: DataFrame, least: float = 0.6, templates: list[Template] | None = None, text: str = "unit") -> DataFrame:
+    """``(unit, rank, license, score)``: the best template of each distinct text among those with a cosine of ``least`` or more.
 
-    Ties go to the first template.
+    Templates of a higher rank go first, then those of a higher cosine, then
+    the first.  Null texts match nothing.
     """
-    vectors = Templates(templates or TEMPLATES, least)
+    vectors = Templates(templates or LINE_TEMPLATES, least)
     spark = texts.sparkSession
-    table = spark.createDataFrame(vectors.rows, "template int, license string, term string, share double, idf double")
+    table = spark.createDataFrame(vectors.rows, "template int, license string, rank int, term string, share double, idf double")
     idf = table.select("term", "idf").distinct()
     # Terms carry 128 bits of hash in place of their text.
-    units = texts.select(F.col(text).alias("unit")).distinct().select("unit", F.xxhash64("unit").alias("h"), F.xxhash64(F.lit("second"), "unit").alias("g"))
+    units = texts.select(F.col(text).alias("unit")).filter("unit is not null").distinct().select("unit", F.xxhash64("unit").alias("h"), F.xxhash64(F.lit("second"), "unit").alias("g"))
     split = units.select("h", "g", F.explode(F.split(F.translate("unit", UPPER, LOWER), "[^a-z0-9]+")).alias("term"))
     terms = split.filter((F.col("term") != "") & ~F.col("term").isin(COMMON)).groupBy("h", "g", "term").agg(F.count("*").alias("tf"))
     weighed = terms.join(F.broadcast(idf), "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(vectors.unknown))).drop("idf")
     norms = weighed.groupBy("h", "g").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = weighed.join(F.broadcast(table.drop("idf")), "term").groupBy("h", "g", "template", "license").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
+    dots = weighed.join(F.broadcast(table.drop("idf")), "term").groupBy("h", "g", "template", "license", "rank").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
     scored = dots.join(norms, ["h", "g"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("score") >= least)
-    best = scored.groupBy("h", "g").agg(F.max(F.struct("score", -F.col("template"), "license")).alias("best"))
-    return units.join(best, ["h", "g"]).select("unit", "best.license", "best.score")
+    best = scored.groupBy("h", "g").agg(F.max(F.struct("rank", "score", -F.col("template"), "license")).alias("best"))
+    return units.join(best, ["h", "g"]).select("unit", "best.rank", "best.license", "best.score")
 
 
 def directory_of(path: Column) -> Column:
@@ -105,32 +96,55 @@ def _ancestors(directory: Column) -> Column:
     return F.when(directory == "", top).otherwise(F.concat(top, below))
 
 
-def scan(files: DataFrame, least: float = 0.6, path: str = "path", text: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``(path, own_license, score, inherited_license, inherited_from, license)``, a row for each distinct path.
-
-    A file's own licence is the best match of any of its lines; a licence
-    file's, also of its whole text.  The licence file of a directory with
-    several is that of the best score, then of the smallest path.  ``license``
-    is the file's own, else the inherited one, else null.  Null and empty
-    texts have no licence of their own; rows of a null path are left out;
-    repeated rows of a path count as one file; other columns are not read.
+def _units(text: Column, holder: Column, heavy: str) -> Column:
+    """What is compared of a file, as ``(rank, unit)``: its tag, lines with a term heavy enough and, of a licence file, its opening (the first two lines with a word) and the whole text."""
+    lines = F.split(text, "\n")
+    worded = F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    opening = F.when(holder & (F.size(worded) > 1), F.array(F.array_join(F.slice(worded, 1, 2), " "))).otherwise(F.array().cast("array<string>"))
+    notices = F.filter(F.array_distinct(F.concat(lines, opening)), lambda x: x.rlike(heavy))
+    tag = F.filter(F.array(F.regexp_extract(text, TAG, 1)), lambda x: x != "")
+    whole = F.when(holder & (F.size(worded) > 0), F.array(text)).otherwise(F.array().cast("array<string>"))
+    ranked = lambda units, rank: F.transform(units, lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("unit")))
+    return F.when(holder | text.rlike(heavy) | text.contains("SPDX-License-Identifier:"), F.concat(ranked(tag, BY_TAG), ranked(whole, BY_TEXT), ranked(notices, BY_NOTICE)))
+
+
+def scan(files: DataFrame, least: float = 0.6, path: str = "path", text: str = "text", notices: list[Template] | None = None, texts: list[Template] | None = None) -> DataFrame:
+    """``files`` with own_license, score, inherited_license, inherited_from and license; a row for each row.
+
+    A file's own licence is that of its first tag (score 1), else that of the
+    whole text if it is a licence file, else the best match of its lines and,
+    in a licence file, of its opening.  The licence file of a directory with
+    several is that of the highest rank and score, then of the smallest path.
+    ``license`` is the file's own, else the inherited one, else null.
+
+    Null and empty texts have no licence of their own; texts of any length are
+    looked at whole.  Rows of one path are one file with all their texts.  A
+    row of a null path is a file of its own text in no directory: nothing is
+    inherited to or from it, and rows of the same text are alike.  An empty
+    table gives an empty result.  Other columns pass through; those named like
+    a result are replaced.
     """
-    vectors = Templates(templates or TEMPLATES, least)
-    narrow = files.select(F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text")).filter("path is not null")
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(vectors.heavy))
-    whole = F.when(F.col("path").rlike(LICENCE_FILE), F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    vectors = Templates(notices or LINE_TEMPLATES, least)
+    own = fresh_prefix(files)
+    results = ["own_license", "score", "inherited_license", "inherited_from", "license"]
+    # A file is its path or, without one, a hash of its text.
+    named = files.withColumns({f"{own}path": column(path).cast("string"), f"{own}text": text_column(files, text)}).withColumn(f"{own}key", F.when(column(path).isNull(), F.concat(F.lit("\0"), F.xxhash64(text_column(files, text)).cast("string"))).otherwise(F.col(f"{own}path")))
+    narrow = named.select(F.col(f"{own}key").alias("file"), F.col(f"{own}path").alias("path"), F.col(f"{own}text").alias("text"))
+    holder = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
     # Few lines are left; they are written once, as texts would be read again for each use below.
-    looked_at = F.when(F.col("text").rlike(vectors.heavy), F.array_distinct(F.concat(lines, whole)))
-    units = written(narrow.select("path", F.explode_outer(looked_at).alias("unit")), "license-lines")
-    # Files without such a line have a null unit; only the others take part in the join, whose other side is written so that Spark knows its size and can split a frequent line's partition.
-    found = written(match_texts(units.filter("unit is not null"), least, templates), "license-matches")
-    hits = units.filter("unit is not null").join(found, "unit").groupBy("path").agg(F.max(F.struct("score", "license")).alias("best"))
-    own = units.select("path").distinct().join(hits, "path", "left").select("path", F.col("best.license").alias("own_license"), F.col("best.score").alias("score"))
-    placed = own.withColumn("directory", directory_of(F.col("path")))
-    holders = placed.filter(F.col("own_license").isNotNull() & F.col("path").rlike(LICENCE_FILE)).groupBy("directory").agg(F.min(F.struct(-F.col("score"), "path", "own_license")).alias("holder")).select(F.col("directory").alias("above"), F.col("holder.path").alias("inherited_from"), F.col("holder.own_license").alias("inherited_license"))
+    units = written(narrow.select("file", "path", F.explode_outer(_units(F.col("text"), holder, vectors.heavy)).alias("u")).select("file", "path", "u.rank", "u.unit"), "license-lines")
+    # Files without such a line have a null unit; only the others take part in the joins, whose other side is written so that Spark knows its size and can split a frequent line's partition.
+    some = lambda rank: units.filter((F.col("rank") == rank) & F.col("unit").isNotNull())
+    found = written(match_texts(some(BY_NOTICE), least, notices).union(match_texts(some(BY_TEXT), least, texts or TEXT_TEMPLATES)).withColumn("as", F.when(F.col("rank") == BY_TEXT, BY_TEXT).otherwise(BY_NOTICE)), "license-matches")
+    matched = units.filter(F.col("rank").isin(BY_TEXT, BY_NOTICE)).withColumnRenamed("rank", "as").join(found, ["as", "unit"]).select("file", "rank", "score", "license")
+    tagged = some(BY_TAG).select("file", "rank", F.lit(1.0).alias("score"), F.col("unit").alias("license"))
+    hits = matched.union(tagged).groupBy("file").agg(F.max(F.struct("rank", "score", "license")).alias("best"))
+    placed = units.select("file", "path").distinct().join(hits, "file", "left").select("file", "path", F.col("best.rank").alias("rank"), F.col("best.license").alias("own_license"), F.col("best.score").alias("score"), directory_of(F.col("path")).alias("directory"))
+    holders = placed.filter(F.col("own_license").isNotNull() & F.col("path").rlike(LICENCE_FILE)).groupBy("directory").agg(F.min(F.struct(-F.col("rank"), -F.col("score"), "path", "own_license")).alias("holder")).select(F.col("directory").alias("above"), F.col("holder.path").alias("inherited_from"), F.col("holder.own_license").alias("inherited_license"))
     # Each directory looks upwards once, however many files it has.
     nearest = (
-        placed.select("directory")
+        placed.filter("path is not null")
+        .select("directory")
         .distinct()
         .select("directory", F.explode(_ancestors(F.col("directory"))).alias("a"))
         .select("directory", "a.depth", "a.above")
@@ -139,4 +153,6 @@ def scan(files: DataFrame, least: float = 0.6, path: str = "path", text: str = "
         .agg(F.max(F.struct("depth", "inherited_from", "inherited_license")).alias("n"))
         .select(F.col("directory").alias("d"), "n.inherited_from", "n.inherited_license")
     )
-    return placed.join(nearest, F.col("directory") == F.col("d"), "left").select("path", "own_license", "score", "inherited_license", "inherited_from", F.coalesce("own_license", "inherited_license").alias("license"))
+    judged = placed.join(nearest, F.col("directory") == F.col("d"), "left").select(F.col("file").alias(f"{own}file"), *[F.col(c).alias(own + c) for c in results[:4]], F.coalesce("own_license", "inherited_license").alias(f"{own}license"))
+    kept = [c for c in files.columns if c.lower() not in results]
+    return named.select(*[column(c) for c in kept], F.col(f"{own}key")).join(judged, F.col(f"{own}key") == F.col(f"{own}file"), "left").select(*[column(c) for c in kept], *[F.col(own + c).alias(c) for c in results])

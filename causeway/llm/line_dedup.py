@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import BLANKS, let
+from causeway.llm.common import BLANKS, column, fresh_prefix, id_column, let, text_column
 
 WINDOW = 3
 
@@ -39,24 +39,27 @@ def _without(lines: Column, places: Column) -> Column:
     return F.transform(keep, lambda i: F.get(lines, i))
 
 
-def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with repeated lines removed from the text, and ``n_lines`` / ``n_removed`` in ``__cw_lines`` / ``__cw_removed``.
+def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", figures: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with repeated lines removed from the text; ``figures`` names two more columns, the numbers of lines and of removed ones.
 
     Lines are split at ``\\n`` and compared without surrounding blanks.  Of
     the occurrences of a window that of the smallest (doc_id, place) stays;
     windows of blank lines alone are never repeated.  Texts of fewer than
-    three lines have no window and stay as they are.  Rows with the same id
-    and text count as one document; a null text stays null; a document of a
-    null id is never the first if any other has the window.
+    three lines have no window and stay as they are; a very long text is taken
+    whole.  Rows with the same id and text count as one document; a null text
+    stays null, an empty one empty; a document of a null id is never the first
+    if any other has the window, other ids must be whole numbers; an empty
+    table gives an empty result; columns of any other names pass through.
     """
-    raw = F.col(text).cast("string")
-    keyed = docs.withColumn("__cw_doc", F.col(doc_id).cast("long")).withColumn("__cw_text", F.xxhash64(raw))
-    windows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(raw).alias("text"), F.explode(_windows(F.split(raw, "\n"))).alias("w")).select("doc", "text", "w.*")
+    raw, own = text_column(docs, text), fresh_prefix(docs)
+    doc = F.coalesce(id_column(docs, doc_id), F.lit(2**63 - 1))
+    windows = docs.select(doc.alias("doc"), F.xxhash64(raw).alias("text"), F.explode(_windows(F.split(raw, "\n"))).alias("w")).select("doc", "text", "w.*")
     first = windows.groupBy("h", "g").agg(F.min(F.struct("doc", "place", "text")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "g", "first")
     later = windows.join(first, ["h", "g"]).filter(~((F.col("doc") == F.col("first.doc")) & (F.col("place") == F.col("first.place")) & (F.col("text") == F.col("first.text"))))
-    removed = later.groupBy("doc", "text").agg(F.collect_set("place").alias("places")).select(F.col("doc").alias("__cw_d"), F.col("text").alias("__cw_t"), F.col("places").alias("__cw_places"))
-    lines = F.split(raw, "\n")
-    met = keyed.join(removed, (F.coalesce("__cw_doc", F.lit(2**63 - 1)) == F.col("__cw_d")) & (F.col("__cw_text") == F.col("__cw_t")), "left")
-    left = F.when(F.col("__cw_places").isNull(), lines).otherwise(_without(lines, F.col("__cw_places")))
-    out = met.withColumn("__cw_left", left).withColumn("__cw_lines", F.size(lines).cast("long")).withColumn("__cw_removed", (F.size(lines) - F.size("__cw_left")).cast("long"))
-    return out.select(*[F.when(F.col("__cw_places").isNull(), F.col(c)).otherwise(F.array_join("__cw_left", "\n")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], "__cw_lines", "__cw_removed")
+    names = {x: own + x for x in ("d", "t", "places", "left")}
+    removed = later.groupBy("doc", "text").agg(F.collect_set("place").alias("places")).select(F.col("doc").alias(names["d"]), F.col("text").alias(names["t"]), F.col("places").alias(names["places"]))
+    lines, places, kept = F.split(raw, "\n"), F.col(names["places"]), F.col(names["left"])
+    met = docs.join(removed, (doc == F.col(names["d"])) & (F.xxhash64(raw) == F.col(names["t"])), "left")
+    out = met.withColumn(names["left"], F.when(places.isNull(), lines).otherwise(_without(lines, places)))
+    more = [F.size(lines).cast("long").alias(figures[0]), (F.size(lines) - F.size(kept)).cast("long").alias(figures[1])] if figures else []
+    return out.select(*[F.when(places.isNull(), column(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else column(c) for c in docs.columns], *more)

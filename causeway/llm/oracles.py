@@ -37,33 +37,36 @@ f as (select k, min(struct_pack(doc := doc, place := place)) as first from w gro
 g as (select distinct r, unnest([place, place + 1, place + 2]) as p from w join f on f.k = w.k where doc <> first.doc or place <> first.place),
 l as (select r, unnest(range(0, len(ls))) as p, unnest(ls) as x from d),
 k as (select l.r, count(*) as n_lines, count(g.p) as n_removed, string_agg(l.x, chr(10) order by l.p) filter (where g.p is null) as kept from l left join g on g.r = l.r and g.p = l.p group by l.r)
-select doc_id, n_lines, n_removed, case when n_removed = 0 then text else coalesce(kept, '') end as text from d left join k on k.r = d.r""",
+select doc_id, n_lines, n_removed, case when text is null or n_removed = 0 then text else coalesce(kept, '') end as text from d left join k on k.r = d.r""",
 }
 
 
 def _license_sql() -> str:
-    from causeway.llm.licenses import COMMON, TEMPLATES
+    from causeway.llm.licenses import COMMON, LINE_TEMPLATES, TAG, TEXT_TEMPLATES
 
-    rows = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {kind}, {quoted(name)}, {rank}, {quoted(text)})" for kind, held in ((2, LINE_TEMPLATES), (3, TEXT_TEMPLATES)) for k, (name, text, rank) in enumerate(held))
     terms = "list_filter(regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '' and not list_contains(" + str(COMMON) + ", x))"
     return f"""
-with t as (select * from (values {rows}) as v(k, license, body)),
-tt as (select k, license, term, count(*) as tf from (select k, license, unnest({terms.format("body")}) as term from t) group by all),
-idf as (select term, ln((1 + (select count(*) from t)) / (1 + count(distinct k))::double) + 1 as idf from tt group by term),
-tw as (select k, license, term, tf * idf as w, sqrt(sum(tf * idf * tf * idf) over (partition by k)) as norm from tt join idf using (term)),
-d as (select doc_id, source, lang, coalesce(text, '') as text, len({_words("coalesce(text, '')")}) as n from documents),
-f as (select doc_id, text, case when n <= 30 then source || '/LICENSE-' || doc_id when n <= 60 then source || '/' || lang || '/LICENSE-' || doc_id else source || '/' || lang || '/' || doc_id || '.txt' end as path, n <= 60 as holder from d),
-u as (select path, unnest(string_split(text, chr(10))) as unit from f union select path, text from f where holder),
-ut as (select unit, term, count(*) as tf from (select unit, unnest({terms.format("unit")}) as term from (select distinct unit from u)) group by all),
-uw as (select unit, term, tf * coalesce(idf, ln(1 + (select count(*) from t)) + 1) as w from ut left join idf using (term)),
-un as (select unit, sqrt(sum(w * w)) as norm from uw group by unit),
-s as (select uw.unit, k, license, round(sum(uw.w * tw.w / tw.norm) / any_value(un.norm), 9) as score from uw join tw using (term) join un on un.unit = uw.unit group by uw.unit, k, license),
-best as (select unit, max(struct_pack(score := score, k := -k, license := license)) as b from s where score >= 0.6 group by unit),
-own as (select path, max(struct_pack(score := b.score, license := b.license)) as b from u join best using (unit) group by path),
-p as (select doc_id, path, holder, regexp_extract(path, '^(.*)/', 1) as dir, b.license as own_license, b.score as score from f left join own using (path)),
-h as (select dir, min(struct_pack(s := -score, path := path, license := own_license)) as h from p where holder and own_license is not null group by dir),
-n as (select doc_id, max(struct_pack(depth := len(string_split(h.dir, '/')), path := h.h.path, license := h.h.license)) as n from p join h on p.dir = h.dir or starts_with(p.dir, h.dir || '/') group by doc_id)
-select p.doc_id, path, own_license, score, n.license as inherited_license, n.path as inherited_from, coalesce(own_license, n.license) as license from p left join n on n.doc_id = p.doc_id"""
+with t as (select * from (values {rows}) as v(k, kind, license, rank, body)),
+tt as (select k, kind, license, rank, term, count(*) as tf from (select k, kind, license, rank, unnest({terms.format("body")}) as term from t) group by all),
+size as (select kind, count(*) as n from t group by kind),
+idf as (select kind, term, ln((1 + any_value(n)) / (1 + count(distinct k))::double) + 1 as idf from tt join size using (kind) group by kind, term),
+tw as (select k, kind, license, rank, term, tf * idf as w, sqrt(sum(tf * idf * tf * idf) over (partition by k, kind)) as norm from tt join idf using (kind, term)),
+d as (select row_number() over () as r, doc_id, source, lang, text, len({_words("coalesce(text, '')")}) as n, coalesce(doc_id::varchar, 'none') as name from documents),
+f as (select r, doc_id, text, case when n <= 30 then source || '/LICENSE-' || name when n <= 60 then source || '/' || lang || '/LICENSE-' || name else source || '/' || lang || '/' || name || '.txt' end as path, n <= 60 as holder, list_filter(string_split(text, chr(10)), lambda x: trim(x, {_BLANKS}) <> '') as worded from d),
+u as (select path, 2 as kind, unnest(worded) as unit from f union select path, 2, worded[1] || ' ' || worded[2] from f where holder and len(worded) > 1 union select path, 3, text from f where holder and len(worded) > 0),
+ut as (select kind, unit, term, count(*) as tf from (select kind, unit, unnest({terms.format("unit")}) as term from (select distinct kind, unit from u)) group by all),
+uw as (select kind, unit, term, tf * coalesce(idf, ln(1 + n) + 1) as w from ut join size using (kind) left join idf using (kind, term)),
+un as (select kind, unit, sqrt(sum(w * w)) as norm from uw group by kind, unit),
+s as (select uw.kind, uw.unit, k, license, rank, round(sum(uw.w * tw.w / tw.norm) / any_value(un.norm), 9) as score from uw join tw using (kind, term) join un on un.unit = uw.unit and un.kind = uw.kind group by uw.kind, uw.unit, k, license, rank),
+best as (select kind, unit, max(struct_pack(rank := rank, score := score, k := -k, license := license)) as b from s where score >= 0.6 group by kind, unit),
+hits as (select path, b.rank as rank, b.score as score, b.license as license from u join best using (kind, unit) union all select path, 4, 1.0, regexp_extract(text, {quoted(TAG)}, 1) from f where regexp_extract(text, {quoted(TAG)}, 1) <> ''),
+own as (select path, max(struct_pack(rank := rank, score := score, license := license)) as b from hits group by path),
+p as (select r, doc_id, path, holder, regexp_extract(path, '^(.*)/', 1) as dir, b.license as own_license, b.score as score, b.rank as rank from f left join own using (path)),
+h as (select dir, min(struct_pack(a := -rank, s := -score, path := path, license := own_license)) as h from p where holder and own_license is not null group by dir),
+n as (select r, max(struct_pack(depth := len(string_split(h.dir, '/')), path := h.h.path, license := h.h.license)) as n from p join h on p.dir = h.dir or starts_with(p.dir, h.dir || '/') group by r)
+select p.doc_id, path, own_license, score, n.license as inherited_license, n.path as inherited_from, coalesce(own_license, n.license) as license from p left join n on n.r = p.r"""
 
 
 ORACLE_SQL["op10_license_scan"] = _license_sql()

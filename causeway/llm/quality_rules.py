@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import BLANKS, let, words_of
+from causeway.llm.common import BLANKS, column, fresh_prefix, let, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Marks that end a sentence, possibly within quotes or brackets.
@@ -137,14 +137,21 @@ def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_lost:
     clean_text.  ``kept`` is false for under 50 words, for more than half of
     the words in repeated windows, or if the lines that fail hold over
     ``max_lost`` of the text's characters.  A null text counts as empty (and
-    is not kept); null ids and repeated rows pass through; other columns are
+    is not kept); a text of any length is judged whole; null ids and repeated
+    rows pass through; an empty table gives an empty result; other columns are
     not read.
     """
-    return docs.select(F.col(doc_id).alias("doc_id"), verdict(F.col(text), max_lost).alias("v")).select("doc_id", "v.*")
+    return docs.select(column(doc_id).alias("doc_id"), verdict(column(text), max_lost).alias("v")).select("doc_id", "v.*")
 
 
 def clean(docs: DataFrame, text: str = "text", max_lost: float = 0.3) -> DataFrame:
-    """The documents that ``judge`` keeps, with all their columns and their cleaned text in place of the text."""
+    """The documents that ``judge`` keeps, with all their columns and their cleaned text in place of the text.
+
+    Null and empty texts are not kept; other columns, nulls in them included,
+    pass through whatever their names; repeated rows are judged each; an empty
+    table gives an empty result.
+    """
     # A filter on the verdict would be pushed below it and work it out twice.
-    kept = let(verdict(F.col(text), max_lost), lambda v: F.when(v["kept"], F.array(v["clean_text"])).otherwise(F.array().cast("array<string>")))
-    return docs.select("*", F.explode(kept).alias("__cw_text")).select(*[F.col("__cw_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    own = f"{fresh_prefix(docs)}text"
+    kept = let(verdict(column(text), max_lost), lambda v: F.when(v["kept"], F.array(v["clean_text"])).otherwise(F.array().cast("array<string>")))
+    return docs.select("*", F.explode(kept).alias(own)).select(*[F.col(own).alias(c) if c == text else column(c) for c in docs.columns])

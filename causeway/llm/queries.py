@@ -28,7 +28,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch_path(spark, "wavelet")
     wavelet.write_shards(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), END_ID, added_tokens=True)
-    return wavelet.read_shards(spark, folder).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    out = common.written(wavelet.read_shards(spark, folder).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")), "wavelet-digests")
+    common.drop_path(spark, folder)
+    return out
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +49,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__cw_lines").alias("n_lines"), F.col("__cw_removed").alias("n_removed"), "text")
+    return line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), figures=("n_lines", "n_removed")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +81,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     60 words, ``source/LICENSE-<doc_id>`` up to 30.
     """
     words = F.size(common.words_of(F.col("text")))
-    name = F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))
-    path = F.when(words <= 30, F.concat_ws("/", "source", name)).when(words <= 60, F.concat_ws("/", "source", "lang", name)).otherwise(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
-    files = _table(spark, sf_dir, "documents").select(path.alias("path"), "text")
-    return licenses.scan(files).select(F.regexp_extract("path", r"([0-9]+)(?:\.txt)?$", 1).cast("long").alias("doc_id"), "path", "own_license", "score", "inherited_license", "inherited_from", "license")
+    name = F.concat(F.lit("LICENSE-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    path = F.when(words <= 30, F.concat_ws("/", "source", name)).when(words <= 60, F.concat_ws("/", "source", "lang", name)).otherwise(F.concat_ws("/", "source", "lang", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt"))))
+    files = _table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files).drop("text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import map_rows, written
+from causeway.llm.common import column, drop_path, fresh_prefix, id_column, map_rows, text_column, written
 from causeway.llm.graph import connected_components
 
 SEED = 42
@@ -57,7 +57,9 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     """``(doc_id, fp)``: the signed 64-bit SimHash of each whole text's word shingles, repeats included.
 
     Words are lower-cased (A-Z).  Fewer words than a shingle: the whole
-    sequence is one shingle.  Null and blank texts: 0.
+    sequence is one shingle.  Null and blank texts: 0.  Very long texts are
+    hashed whole, a block of shingles at a time.  Ids are whole numbers or
+    null; a row gives a row; an empty table gives an empty result.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -66,7 +68,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
                 part = batch.slice(i, 512)
                 yield [(d, _fingerprint(t, shingle)) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
 
-    return map_rows(docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")), rows, "doc_id long, fp long")
+    return map_rows(docs.select(id_column(docs, doc_id), text_column(docs, text)), rows, "doc_id long, fp long")
 
 
 def index_triples() -> list[tuple[int, int, int]]:
@@ -202,7 +204,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     ``component_id`` is the smallest id of the documents that can be reached
     over links.  Null ids take part in linking and are never the smallest
-    (null if a component has no other); null texts count as empty; repeated
+    (null if a component has no other); other ids must be whole numbers; null
+    texts count as empty; texts of any length are hashed whole; repeated
     rows each get a row; an empty table gives an empty result.  Other columns
     are not read.
     """
@@ -213,7 +216,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # Written, so that the join below reads plain exchanges, whose large partitions Spark can split: a component may hold a third of all fingerprints.
     roots = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     labels = rooted.select("fp", "root").join(roots, "root").select("fp", "component_id")
-    return marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    out = written(marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"), "near-duplicates")
+    for table in (marked, classes, roots):
+        drop_path(docs.sparkSession, table._scratch_path)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -221,8 +227,10 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
     Rows that share that id count as one document, of which one row stays.
     Rows with a null id cannot be named as a group's one document: they stay.
+    Other columns pass through whatever their names; see ``near_duplicates``
+    for odd texts and ids.
     """
-    found = near_duplicates(docs, text, doc_id, shingle, max_bits)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__cw_keep")).distinct()
-    with_id = docs.filter(F.col(doc_id).isNotNull()).join(keep, F.col(doc_id).cast("long") == F.col("__cw_keep"), "left_semi").dropDuplicates([doc_id])
-    return with_id.select(docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))
+    found, own = near_duplicates(docs, text, doc_id, shingle, max_bits), f"{fresh_prefix(docs)}keep"
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    with_id = docs.filter(column(doc_id).isNotNull()).join(keep, column(doc_id).cast("long") == F.col(own), "left_semi").dropDuplicates([doc_id])
+    return with_id.unionByName(docs.filter(column(doc_id).isNull()))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm.common import column, text_column
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hexadecimal digits of the prefix that the join compares.
 PREFIX = 8
@@ -55,15 +57,17 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: s
     rule (host and path) wins, then that of the longest host, then block.
     Null URLs and those without ``://`` have an empty host and path, which no
     rule with a host fits; they and all URLs without a rule get ``default``.
-    Null ids and repeated rows pass through.  Rules with a null host or path
-    are ignored; an empty rule table is allowed.  Other columns are not read.
+    Null ids and repeated rows pass through; URLs of any length are judged
+    whole; an empty table gives an empty result.  Rules with a null host or path
+    are ignored, as are those with an empty host; an empty rule table is
+    allowed.  Other columns are not read.
     """
-    ruled = rules.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"), "verdict").filter(F.col("rule_host").isNotNull() & F.col("rule_path").isNotNull())
+    ruled = rules.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"), "verdict").filter((F.col("rule_host") != "") & F.col("rule_path").isNotNull())
     # As many labels and slashes as the rules have: longer expressions can meet none.
     most = ruled.agg(F.max(F.size(F.split("rule_host", r"\."))).alias("labels"), F.max(F.length("rule_path") - F.length(F.replace("rule_path", F.lit("/"), F.lit("")))).alias("slashes")).first()
     indexed = ruled.withColumn("digest", F.sha2(F.concat("rule_host", _up_to_slash(F.col("rule_path"))), 256)).withColumn("short", F.substring("digest", 1, PREFIX))
 
-    split = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url).cast("string")).alias("host"), path_of(F.col(url).cast("string")).alias("path"))
+    split = pages.select(column(page_id).alias("page_id"), host_of(text_column(pages, url)).alias("host"), path_of(text_column(pages, url)).alias("path"))
     places = split.select("host", "path").distinct()
     expressions = (
         places.filter("host != ''")
@@ -71,7 +75,10 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: s
         .select("host", "path", F.explode(F.transform(_prefixes(F.col("path"), most.slashes or 0), lambda p: F.concat("suffix", p))).alias("expression"))
         .withColumn("full", F.sha2("expression", 256))
     )
-    met = expressions.join(indexed, (F.substring("full", 1, PREFIX) == F.col("short")) & (F.col("full") == F.col("digest")) & F.col("path").startswith(F.col("rule_path")))
+    # Only the short prefix is a join key.  The digests, of one length, are compared afterwards, in a form that the optimizer doesn't take for another key.
+    met = expressions.join(indexed, F.substring("full", 1, PREFIX) == F.col("short")).filter(F.col("full").startswith(F.col("digest")) & F.col("path").startswith(F.col("rule_path")))
     rank = F.struct(F.length(F.concat("rule_host", "rule_path")), F.length("rule_host"), (F.col("verdict") == "block").cast("int"), F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict").alias("verdict"))
     decided = met.groupBy("host", "path").agg(F.max(rank).alias("best")).select(F.col("host").alias("h"), F.col("path").alias("p"), "best.rule", "best.verdict")
-    return split.join(decided, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # URLs without a host can have no rule: they stay out of the join, where they would share one key.
+    judged = split.filter("host != ''").join(decided, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return judged.unionByName(split.filter("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}))

@@ -23,13 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causeway.llm.common import map_rows
+from causeway.llm.common import get_file, id_column, map_rows, put_file, text_column
 
 MAGIC = b"CWM1"
 #: A shard is closed when it holds so many tokens; its last document is kept whole.
@@ -269,33 +268,21 @@ def _encoder(path: str, added_tokens: bool) -> _Encoder:
     return _encoders[path, added_tokens]
 
 
-def _store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
-
-
-def _put(folder: str, name: str, data: bytes) -> None:
-    """A file that appears whole or not at all, also when a task is tried again."""
-    store, base = _store(folder)
-    store.create_dir(base, recursive=True)
-    own = f"{base}/.{name}-{os.getpid()}-{os.urandom(4).hex()}"
-    with store.open_output_stream(own) as f:
-        f.write(data)
-    store.move(own, f"{base}/{name}")
-
-
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, text: str = "text", doc_id: str = "doc_id", partitions: int | None = None, added_tokens: bool = False) -> DataFrame:
     """Encode ``docs`` into shard files in ascending order of ``doc_id``; return their manifest.
 
     The manifest, a table at ``<folder>/manifest``, has a row for each shard:
     part, seq, file, docs, tokens.  Nulls come first; rows of the same id are
-    ordered by text; null texts are empty and have the end id alone; an empty
+    ordered by text; null texts are empty and have the end id alone; a very
+    long text is a shard of its own, built in a task's memory; ids are whole
+    numbers or null; other columns are not read; an empty
     table gives an empty manifest.  Added tokens of the vocabulary that stand
     in a text are text like any other (the tokenizers library with
     ``encode_special_tokens``) or, with ``added_tokens``, have their own id (the
     library's default).  A shard's name depends on its place alone,
     so a task that is tried again writes the same files.
     """
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
+    narrow = docs.select(id_column(docs, doc_id).alias("doc_id"), text_column(docs, text).cast("binary").alias("text"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = narrow.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     shards = f"{folder}/shards"
@@ -309,7 +296,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, tex
 
         def close() -> list[tuple]:
             name = f"{part:06d}-{seq:06d}.cwm"
-            _put(shards, name, pack(*held, encoder.bits))
+            put_file(shards, name, pack(*held, encoder.bits))
             return [(part, seq, name, len(held[0]), count)]
 
         for batch in batches:
@@ -343,17 +330,20 @@ def open_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """``(doc_id, start, ids)`` of every document, read back from its shard; ids: unsigned 32 bit, little-endian."""
+    """``(doc_id, start, ids)`` of every document, read back from its shard; ids: unsigned 32 bit, little-endian.
+
+    Null ids, empty texts (the end id alone) and repeated rows come back as
+    they were written, a very long text as one value; an empty folder gives an
+    empty result.
+    """
     shards = f"{folder}/shards"
     # A fixed number of partitions: rows are few, but each stands for a shard.
     files = open_shards(spark, folder).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("file"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        store, base = _store(shards)
         for batch in batches:
             for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with store.open_input_stream(f"{base}/{file}") as f:
-                    doc_ids, lengths, matrix = unpack(f.read())
+                doc_ids, lengths, matrix = unpack(get_file(shards, file))
                 ids = matrix.all().astype("<u4")
                 ends = np.cumsum(lengths)
                 yield [(d, start + e - n, ids[e - n : e].tobytes()) for d, n, e in zip(doc_ids, lengths.tolist(), ends.tolist())]

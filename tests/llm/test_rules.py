@@ -115,10 +115,12 @@ def test_line_dedup(spark):
 
 def test_licenses(spark):
     mit, apache = "# Released under the MIT License.", "// Licensed under the Apache License, Version 2.0."
-    files = [("a/LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software"), ("a/b/c/x.py", "code"), ("a/b/y.py", f"{apache}\ncode"), ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("z/q.py", None), ("q.py", ""), ("m.py", f"text\n{mit}"), ("a/b/y.py", f"{apache}\ncode"), (None, mit), ("n.py", "The public was free to work with general terms of this version.")]
-    df = spark.createDataFrame([(p, t, "v") for p, t in files], "path string, text string, license string")
-    got = {r.path: r for r in licenses.scan(df).collect()}
-    assert len(got) == 8
+    files = [("a/LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software"), ("a/b/c/x.py", "code"), ("a/b/y.py", f"{apache}\ncode"), ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("z/q.py", None), ("q.py", ""), ("m.py", f"text\n{mit}"), ("a/b/y.py", f"{apache}\ncode"), (None, mit), (None, mit), (None, None), ("n.py", "The public was free to work with general terms of this version.")]
+    df = spark.createDataFrame([(p, t, "v", k) for k, (p, t) in enumerate(files)], "path string, text string, license string, `a.b` int")
+    rows = licenses.scan(df).collect()
+    assert sorted(r["a.b"] for r in rows) == list(range(len(files)))
+    assert sorted((r.license or "") for r in rows if r.path is None) == ["", "MIT", "MIT"]
+    got = {r.path: r for r in rows}
     assert got["a/LICENSE"].own_license == "MIT" and got["m.py"].own_license == "MIT"
     assert got["a/b/y.py"].own_license == "Apache-2.0" == got["a/b/y.py"].license and got["a/b/y.py"].inherited_license == "GPL-3.0"
     assert got["a/b/c/x.py"].license == "GPL-3.0" and got["a/b/c/x.py"].inherited_from == "a/b/COPYING"
@@ -126,10 +128,69 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_files(spark):
+    """Full texts, their openings and tags."""
+    from causeway.llm.license_texts import TEXTS
+
+    own = [(f"full{k}/LICENSE", f"Copyright (c) 2024 Somebody Else\n\n{t}", name) for k, (name, t) in enumerate(TEXTS)]
+    own += [
+        ("g3/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy and distribute", "GPL-3.0"),
+        ("ag/LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n", "AGPL-3.0"),
+        ("l2/LICENSE.txt", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n", "LGPL-2.1"),
+        ("ap/LICENSE", "\n                              Apache License\n                        Version 2.0, January 2004\n", "Apache-2.0"),
+        ("s/one.c", "/* SPDX-License-Identifier: GPL-2.0-only */\nint x;", "GPL-2.0-only"),
+        ("s/two.py", "# SPDX-License-Identifier: (MIT OR Apache-2.0)\n# Licensed under CC BY 4.0", "MIT OR Apache-2.0"),
+        ("s/three.c", TEXTS[1][1], "BSD-2-Clause"),
+        ("s/four.c", TEXTS[2][1], "BSD-3-Clause"),
+    ]
+    got = {r.path: r.own_license for r in licenses.scan(spark.createDataFrame([x[:2] for x in own], "path string, text string")).collect()}
+    assert got == {p: name for p, _, name in own}
+
+
+@pytest.mark.parametrize("table", ["given", "odd", "empty"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op4_url_filter", "op6_line_dedup", "op10_license_scan"])
+def test_native_queries_match_their_sql(spark, tmp_path, name, table):
+    import duckdb
+
+    from causeway.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    if table != "given":
+        folder, many = str(tmp_path), "\n".join(f"Sentence w{i} of u{i} a v{i} long x{i} text y{i} until z{i} end." for i in range(2000))
+        texts = [None, "", " \n ", "one", PROSE, PROSE, many, "Released under the MIT License.", "// SPDX-License-Identifier: ISC\n" + PROSE, "x\nx\nx\nx"]
+        docs = spark.createDataFrame([(None if k == 3 else k, t, "en", f"s{k % 2}", "z") for k, t in enumerate(texts)] * 2, "doc_id long, text string, lang string, source string, __cw_text string")
+        pages = spark.createDataFrame([(None if k == 2 else k, u, 1) for k, u in enumerate([None, "", "x", "http://net/a", "http://NET/a", "http://q.example.net/en/" + "y" * 20000, "http://net/a"])], "page_id long, url string, host int")
+        for t, df in (("documents", docs), ("pages", pages)):
+            (df.limit(0) if table == "empty" else df).coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+    duck = duckdb.connect()
+    for t in ("documents", "pages"):
+        duck.sql(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet{'' if table == 'given' else '/*.parquet'}')")
+    df, sql = queries.QUERIES[name](spark, folder), duck.sql(queries.ORACLE_SQL[name])
+    assert sorted(df.columns) == sorted(sql.columns)
+    at = [sql.columns.index(c) for c in df.columns]
+    shown = lambda v: repr(round(v, 6) + 0.0) if isinstance(v, float) else repr(v)
+    assert sorted(tuple(map(shown, r)) for r in df.collect()) == sorted(tuple(shown(r[i]) for i in at) for r in sql.fetchall())
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    from causeway.llm import simhash, suffix_tree, wavelet
+
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for f in (line_dedup.drop_repeated_lines, simhash.near_duplicates, lambda d: suffix_tree.score(d, F.lit(True)), lambda d: wavelet.write_shards(d, "/nowhere", "/none", 2)):
+        with pytest.raises(TypeError, match="whole numbers"):
+            f(df)
+
+
+def test_own_columns_never_clash(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc\nd", "p", "q", "r")], "doc_id long, text string, __cw_places string, `__cw_.x` string, `t.u` string")
+    assert line_dedup.drop_repeated_lines(df).collect() == df.collect()
+    assert quality_rules.clean(df).columns == df.columns
+
+
 def test_license_prefilter_loses_nothing(spark):
     """No line without a heavy term can reach the threshold."""
-    v = licenses.Templates(licenses.TEMPLATES, 0.6)
+    v = licenses.Templates(licenses.LINE_TEMPLATES, 0.6)
     heavy = re.compile(v.heavy)
     for k in {r[0] for r in v.rows}:
-        light = sum(w * w for j, _, t, w, _ in v.rows if j == k and not heavy.search(t))
+        light = sum(w * w for j, _, _, t, w, _ in v.rows if j == k and not heavy.search(t))
         assert light < 0.36
