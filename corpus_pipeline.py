@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm import byte_bpe, decontaminate, line_dedup, quality_rules, simhash
-from causeway.llm.common import written
+from causeway.llm.common import drop_path, written
 from causeway.llm.queries import digest
 
 
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            drop_path(spark, before)
+        before = docs._scratch_path
     return docs
