@@ -77,6 +77,11 @@ def _unbundle(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([8 * (n + 1), *ends[:-1].tolist()], ends.tolist())]
 
 
+def _stable(parts: np.ndarray) -> np.ndarray:
+    """An order by small numbers; those under 2**16 are sorted in linear time."""
+    return np.argsort(parts.astype(np.uint16) if parts.max(initial=0) < 1 << 16 else parts, kind="stable")
+
+
 class _Writer:
     """Collects texts and writes a block of them whenever it is full."""
 
@@ -130,43 +135,46 @@ class _Block:
         self.train = np.repeat(self.training, self.lengths)
         self.level = 0
 
-    # Contexts of no word: every distinct token.
-    def ask(self) -> Iterator[tuple[int, bytes]]:
-        """``(part, request)`` of the next level; what it asks for stays in order."""
+    def sort(self) -> None:
+        """Put in order, by parts, what the next level asks for: one entry for each distinct token or, below the root, for each distinct (context, next token) at the active places."""
         if self.level == 0:
-            self.keys, self.counts = self.words, np.bincount(self.tokens[self.train], minlength=len(self.words))
-            part = (_mixed(self.keys, np.uint64(self.parts)) % np.uint64(self.parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            self.back = np.empty(len(order), np.int64)
-            self.back[order] = np.arange(len(order))
-            bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
-            for p in np.unique(part).tolist():
-                mine = order[bounds[p] : bounds[p + 1]]
-                yield p, _bundle([_pack(self.keys[mine], 8), _pack(self.counts[mine])])
-            return
-        # One entry for each distinct (context, next token) at the active places.
-        self.gram = _mixed(self.context, self.words[self.tokens[self.active]])
-        _, first, self.entry = np.unique(self.gram, return_index=True, return_inverse=True)
-        context, gram, n = self.context[first], self.gram[first], self.n[first]
-        counts = np.bincount(self.entry, self.train[self.active], minlength=len(first))
-        parent = np.rint(-1000 * np.log10(self.p[self.active[first]])).astype(np.uint64)
-        pieces = -(-n // HOT)
-        piece = (gram % pieces.astype(np.uint64)).astype(np.uint64)
-        part = (_mixed(context, piece) % np.uint64(self.parts)).astype(np.int64)
-        order = np.lexsort((gram, context, part))
-        self.back = np.empty(len(order), np.int64)
+            part, self.entry = _mixed(self.words, np.uint64(self.parts)) % np.uint64(self.parts), self.tokens
+            order = _stable(part)
+        else:
+            gram = self.gram = _mixed(self.context, self.words[self.tokens[self.active]])
+            _, self.first, self.entry = np.unique(gram, return_index=True, return_inverse=True)
+            context = self.context[self.first]
+            pieces = -(-self.n[self.first] // HOT)
+            piece = gram[self.first] % pieces.astype(np.uint64) if pieces.max(initial=1) > 1 else np.uint64(0)
+            part = _mixed(context, piece) % np.uint64(self.parts)
+            order = np.argsort(context, kind="stable")
+            order = order[_stable(part[order])]
+            c, p = context[order], part[order]
+            self.new = np.ones(len(c), bool)
+            self.new[1:] = (c[1:] != c[:-1]) | (p[1:] != p[:-1])
+            self.head = np.cumsum(self.new) - 1
+        self.order, self.back = order, np.empty(len(order), np.int64)
         self.back[order] = np.arange(len(order))
-        bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
-        heads = []
-        for p in range(self.parts):
-            mine = order[bounds[p] : bounds[p + 1]]
-            if not len(mine):
-                continue
-            c = context[mine]
-            new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            heads.append(np.repeat(np.arange(len(new)), np.diff(np.append(new, len(c)))) + (heads[-1][-1] + 1 if heads else 0))
-            yield p, _bundle([_pack(c[new], 8), _pack(np.diff(np.append(new, len(c)))), _pack(n[mine][new]), _pack(gram[mine] & LOW, 6), _pack(counts[mine]), _pack(parent[mine])])
-        self.head = np.concatenate(heads) if heads else np.zeros(0, np.int64)
+        self.bounds = np.searchsorted(part[order], np.arange(self.parts + 1, dtype=np.uint64))
+
+    def ask(self) -> Iterator[tuple[int, bytes]]:
+        """``(part, request)`` of the next level."""
+        self.sort()
+        if self.level == 0:
+            counts = np.bincount(self.tokens[self.train], minlength=len(self.words))
+        else:
+            counts = np.bincount(self.entry, self.train[self.active], minlength=len(self.first)).astype(np.int64)
+            context, low, n = self.context[self.first], self.gram[self.first] & LOW, self.n[self.first]
+            parent = np.rint(-1000 * np.log10(self.p[self.active[self.first]])).astype(np.int64)
+        for p in np.flatnonzero(np.diff(self.bounds)).tolist():
+            start, end = self.bounds[p], self.bounds[p + 1]
+            mine = self.order[start:end]
+            if self.level == 0:
+                yield p, _bundle([_pack(self.words[mine], 8), _pack(counts[mine])])
+            else:
+                new = np.flatnonzero(self.new[start:end])
+                heads = mine[new]
+                yield p, _bundle([_pack(context[heads], 8), _pack(np.diff(np.append(new, len(mine)))), _pack(n[heads]), _pack(low[mine], 6), _pack(counts[mine]), _pack(parent[mine])])
 
     def take(self, answers: list[tuple[bytes, bytes]], hot: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int) -> None:
         """The answers of a level in order of their parts; ``hot``: the states among the contexts that were dealt to several parts, and their numbers of next tokens."""
@@ -176,7 +184,7 @@ class _Block:
             self.p = (self.total + 0.1) / (tokens + 0.1 * (distinct + 1))
             self.base = np.log10(self.p)
             self.seen = self.total > 0
-            before, counts, hashes = np.arange(len(self.tokens)), self.total, self.words[self.tokens]
+            before, counts, hashes, on = np.arange(len(self.tokens)), self.total, self.words[self.tokens], self.inner
         else:
             # Different next tokens of each context; 0 if it is no state.
             nexts = np.concatenate([_unpack(k) for _, k in answers]).astype(np.int64)[self.head][self.back][self.entry] if answers else np.zeros(0, np.int64)
@@ -187,9 +195,9 @@ class _Block:
             kept = nexts > 0
             at = self.active[kept]
             self.p[at] = (np.maximum(counts[kept] - self.discount, 0) + self.discount * nexts[kept] * self.p[at]) / self.n[kept]
+            on = self.inner[before]
         # What stands often enough is a context of the token after it.
-        on = counts >= self.least
-        on &= self.inner[before]
+        on = on & (counts >= self.least)
         self.active, self.context, self.n = before[on] + 1, hashes[on], counts[on]
         self.level += 1
 
@@ -248,8 +256,7 @@ class _Levels:
         out = _Block(get_file(self.folder, str(block)), self.parts, self.least, self.discount)
         rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("level", "part", "totals", "states"))), key=lambda r: r[:2])
         for level, states in enumerate(hot):
-            for _ in out.ask():
-                pass
+            out.sort()
             out.take([(t, k) for at, _, t, k in rows if at == level], states, tokens, distinct)
         return out
 
@@ -312,7 +319,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str = "doc_id", depth: int = 3, least: int = 50, divergence: float = 0.02, discount: float = 0.75) -> DataFrame:
+def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str = "doc_id", depth: int = 3, least: int = 100, divergence: float = 0.02, discount: float = 0.75) -> DataFrame:
     """Scores of all whole texts under a tree that is fitted to those where ``in_training`` holds.
 
     Returns doc_id, in_training, n_tokens, n_known, train_tokens, base_score
