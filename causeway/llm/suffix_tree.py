@@ -39,7 +39,7 @@ BLOCK, PART = 1 << 21, 1 << 21
 #: Occurrences of a context whose continuations go to one part; those of a more frequent one are dealt to several.
 HOT = 1 << 23
 #: Bits by which a part knows a continuation within its context.
-LOW = np.uint64((1 << 48) - 1)
+LOW = np.uint64((1 << 40) - 1)
 ANSWER = "block long, part int, level int, totals binary, states binary"
 
 _squeeze, _expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -174,7 +174,7 @@ class _Block:
             else:
                 new = np.flatnonzero(self.new[start:end])
                 heads = mine[new]
-                yield p, _bundle([_pack(context[heads], 8), _pack(np.diff(np.append(new, len(mine)))), _pack(n[heads]), _pack(low[mine], 6), _pack(counts[mine]), _pack(parent[mine])])
+                yield p, _bundle([_pack(context[heads], 8), _pack(np.diff(np.append(new, len(mine)))), _pack(n[heads]), _pack(low[mine], 5), _pack(counts[mine]), _pack(parent[mine])])
 
     def take(self, answers: list[tuple[bytes, bytes]], hot: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int) -> None:
         """The answers of a level in order of their parts; ``hot``: the states among the contexts that were dealt to several parts, and their numbers of next tokens."""
@@ -319,7 +319,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str = "doc_id", depth: int = 3, least: int = 100, divergence: float = 0.02, discount: float = 0.75) -> DataFrame:
+def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str = "doc_id", depth: int = 3, least: int = 500, divergence: float = 0.02, discount: float = 0.75) -> DataFrame:
     """Scores of all whole texts under a tree that is fitted to those where ``in_training`` holds.
 
     Returns doc_id, in_training, n_tokens, n_known, train_tokens, base_score

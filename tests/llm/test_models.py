@@ -385,7 +385,7 @@ def _one_block(words):
 
 def test_suffix_tree_beats_single_words_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = suffix_tree.score(docs, common.crc32_of_id(F.col("doc_id")) % 10 != 0).filter("not in_training").collect()
+    rows = suffix_tree.score(docs, common.crc32_of_id(F.col("doc_id")) % 10 != 0, least=50).filter("not in_training").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) and np.mean([r.score > r.base_score for r in rows]) > 0.9
 
 
