@@ -1,7 +1,8 @@
 """Language-model scores from a probabilistic suffix tree over words (operator 7).
 
 A state of the tree is a context of up to ``depth`` words that stands
-``least`` times or more in the training texts and whose next-token
+``least`` times or more (a single word: ``least_word``) in the training texts
+and whose next-token
 distribution diverges from that of its suffix: coding each of its occurrences
 by its own distribution, with that occurrence left out, saves ``divergence``
 nats a token or more.  A state takes ``discount`` off the count of each of its
@@ -124,7 +125,7 @@ class _Writer:
 class _Block:
     """A block of texts, and what is known of its tokens so far."""
 
-    def __init__(self, data: bytes, parts: int, least: int, discount: float) -> None:
+    def __init__(self, data: bytes, parts: int, least: tuple[int, int], discount: float) -> None:
         docs, known, training, lengths, self.words, tokens = map(_unpack, _unbundle(data))
         self.parts, self.least, self.discount = parts, least, discount
         self.docs = [d if k else None for d, k in zip(docs.view("<i8").tolist(), known.tolist())]
@@ -197,7 +198,7 @@ class _Block:
             self.p[at] = (np.maximum(counts[kept] - self.discount, 0) + self.discount * nexts[kept] * self.p[at]) / self.n[kept]
             on = self.inner[before]
         # What stands often enough is a context of the token after it.
-        on = on & (counts >= self.least)
+        on = on & (counts >= self.least[self.level > 0])
         self.active, self.context, self.n = before[on] + 1, hashes[on], counts[on]
         self.level += 1
 
@@ -244,8 +245,8 @@ def _add_up(blocks: list[int], requests: list[bytes], level: int, discount: floa
 class _Levels:
     """Runs the exchange of requests and answers level by level."""
 
-    def __init__(self, spark: SparkSession, folder: str, manifest: DataFrame, least: int, discount: float, divergence: float) -> None:
-        self.spark, self.folder, self.least, self.discount, self.divergence = spark, folder, max(2, least), discount, divergence
+    def __init__(self, spark: SparkSession, folder: str, manifest: DataFrame, least: tuple[int, int], discount: float, divergence: float) -> None:
+        self.spark, self.folder, self.least, self.discount, self.divergence = spark, folder, (max(2, least[0]), max(2, least[1])), discount, divergence
         self.manifest = manifest
         size, self.tokens, self.blocks = (int(x or 0) for x in manifest.agg(F.sum("size"), F.sum("training"), F.count("*")).first())
         self.tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.blocks)
@@ -319,7 +320,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str = "doc_id", depth: int = 3, least: int = 500, divergence: float = 0.02, discount: float = 0.75) -> DataFrame:
+def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str = "doc_id", depth: int = 3, least_word: int = 2, least: int = 1000, divergence: float = 0.02, discount: float = 0.75) -> DataFrame:
     """Scores of all whole texts under a tree that is fitted to those where ``in_training`` holds.
 
     Returns doc_id, in_training, n_tokens, n_known, train_tokens, base_score
@@ -332,8 +333,8 @@ def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str
     ``in_training`` counts as false; ids are whole numbers or null; other
     columns are not read.
 
-    ``depth``: words of the longest context; ``least`` (2 at least),
-    ``divergence`` and ``discount`` (between 0 and 1): see above.
+    ``depth``: words of the longest context; ``least_word`` and ``least`` (2 at
+    least), ``divergence`` and ``discount`` (between 0 and 1): see above.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "suffix-tree")
@@ -352,7 +353,7 @@ def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str
         yield writer.close()
 
     manifest = written(map_rows(narrow, blocks, "block long, size long, training long"), "suffix-tree-blocks")
-    levels = _Levels(spark, folder, manifest, least, discount, divergence)
+    levels = _Levels(spark, folder, manifest, (least_word, least), discount, divergence)
     for level in range(depth + 1):
         levels.exchange(level)
     out = written(levels.scores(), "suffix-tree-scores")
