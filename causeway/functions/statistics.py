@@ -152,19 +152,21 @@ def rank_correlation(df: DataFrame, x: str, y: str) -> float | None:
     return ranked.select(F.corr("rx", "ry")).first()[0]
 
 
-def kendalls_tau(df: DataFrame, x: str, y: str, grid: int = 64) -> float | None:
+def kendalls_tau(df: DataFrame, x: str, y: str, most_cells: int = 256) -> float | None:
     """Tau-a: (concordant - discordant) / pairs, without a correction for ties.
 
     Pairs aren't listed.  Points become average ranks; a grid of rank cells
-    gives the pairs of different rows and columns of cells from counts, and
-    pairs that share a row or column of cells are compared within it.
+    gives the pairs of different rows and columns of cells from counts (at most
+    ``most_cells`` squared of them reach the driver).  Pairs that share a row or
+    a column of cells are counted within it by merging, so a strip of m distinct
+    points costs m log(m)**2.
     """
     both = df.select(known(x).alias("x"), known(y).alias("y")).dropna()
     counted = both.groupBy("x", "y").agg(F.count("*").alias("n"))
-    n = counted.agg(F.sum("n")).first()[0]
+    n, distinct = counted.agg(F.sum("n"), F.count("*")).first()
     if not n or n < 2:
         return None
-    # Merge counting in blocks: order by x in blocks of bounded size; a Fenwick tree per task needs all ranks of y, so blocks meet pairwise through value counts.
+    grid = max(1, min(most_cells, distinct // 1000))
     ranked = average_ranks(average_ranks(counted, "x", "rx"), "y", "ry").select((F.col("rx") * 2).cast("long").alias("rx"), (F.col("ry") * 2).cast("long").alias("ry"), "n")
     edge = ranked.agg(F.max("rx"), F.max("ry")).first()
     sx, sy = max(1, -(-(edge[0] + 1) // grid)), max(1, -(-(edge[1] + 1) // grid))
@@ -179,35 +181,51 @@ def kendalls_tau(df: DataFrame, x: str, y: str, grid: int = 64) -> float | None:
         for j in range(grid):
             total += table[i, j] * (right_up[i + 1, j + 1] - (right_down[i + 1, j - 1] if j else 0))
 
-    def strip(rows, first: str) -> float:
-        """Pairs within one row (or column) of cells: exact, by a sorted sweep in each group."""
-        out = rows.groupBy(first).applyInPandas(_strip_pairs(first), "s double")
-        return out.agg(F.sum("s")).first()[0] or 0.0
-
-    inside = strip(cells.select("cx", "rx", "ry", "n"), "cx") + strip(cells.select("cy", "rx", "ry", "n", "cx"), "cy")
+    # Pairs of one cell are in its column and in its row: rows leave them out.
+    inside = sum(cells.groupBy(own).applyInPandas(_strip(other), "s double").agg(F.sum("s")).first()[0] or 0.0 for own, other in (("cx", None), ("cy", "cx")))
     return (total + inside) / (0.5 * n * (n - 1))
 
 
-def _strip_pairs(first: str):
+def _strip(without: str | None):
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["rx", "ry"])
-        s = 0.0
-        rx, ry, n = (pdf[c].to_numpy() for c in ("rx", "ry", "n"))
-        cx = pdf["cx"].to_numpy() if first == "cy" else None
-        for k in range(0, len(pdf), 512):
-            a = slice(k, k + 512)
-            dx, dy = np.sign(rx[None, k:] - rx[a][:, None]), np.sign(ry[None, k:] - ry[a][:, None])
-            w = n[a][:, None] * n[None, k:] * np.triu(np.ones((len(rx[a]), len(rx) - k)), 1)
-            if cx is not None:
-                w = w * (cx[None, k:] != cx[a][:, None])
-            s += float((dx * dy * w).sum())
-        return pd.DataFrame({"s": [s]})
+        every = [pdf, *([] if without is None else [part for _, part in pdf.groupby(without)])]
+        sums = [concordance(*(part[c].to_numpy() for c in ("rx", "ry", "n"))) for part in every]
+        return pd.DataFrame({"s": [sums[0] - sum(sums[1:])]})
 
     return run
 
 
+def concordance(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Concordant less discordant pairs of distinct points of ``n`` copies each; ties are neither."""
+    order = np.lexsort((y, x))
+    x, y, n = x[order], y[order], n[order].astype(float)
+    total, place = 0.0, np.arange(len(x))
+    by_y = np.argsort(y, kind="stable")
+    size = 1
+    while size < len(x):
+        # Blocks of two halves, each sorted by y: what of the left half is below and above each point of the right.
+        at = by_y[np.argsort(place[by_y] // (2 * size), kind="stable")]
+        block, left = at // (2 * size), (at // size) % 2 == 0
+        w = np.where(left, n[at], 0.0)
+        upto = np.cumsum(w)
+        tied = np.concatenate([[0], np.cumsum((block[1:] != block[:-1]) | (y[at][1:] != y[at][:-1]))])
+        starts = np.flatnonzero(np.concatenate([[True], tied[1:] != tied[:-1]]))
+        ends = np.append(starts[1:], len(at)) - 1
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        last = np.append(first[1:], len(at)) - 1
+        number = np.cumsum(np.concatenate([[0], block[1:] != block[:-1]]))
+        before, whole = (upto - w)[first][number], upto[last][number]
+        below, above = (upto - w)[starts][tied] - before, whole - upto[ends][tied]
+        total += float((np.where(left, 0.0, n[at]) * (below - above)).sum())
+        size *= 2
+    # Points of one x stand in the order of y, so their pairs were counted as concordant.
+    new = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
+    sums, squares = (np.add.reduceat(v, new) if len(new) else np.zeros(0) for v in (n, n * n))
+    return total - float(((sums * sums - squares) / 2).sum())
+
+
 def log_sum(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """``log_sum`` of each group: log of the sum of exponentials, without overflow; two aggregations."""
     by = by or []

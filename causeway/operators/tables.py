@@ -232,6 +232,24 @@ def combinations_of(df: DataFrame, column: str, size: int) -> DataFrame:
     return out
 
 
+def permutations_of(df: DataFrame, column: str, size: int) -> DataFrame:
+    """Ordered selections of ``size`` distinct values, each taken once, as self-joins of the value table."""
+    values = df.select(F.col(column).alias("v")).distinct()
+    out = values.select(F.array("v").alias("permutation"))
+    for _ in range(size - 1):
+        out = out.join(values, ~F.array_contains("permutation", F.col("v"))).select(F.concat("permutation", F.array("v")).alias("permutation"))
+    return out
+
+
+def selections_of(df: DataFrame, column: str, size: int, ordered: bool = True) -> DataFrame:
+    """Selections of ``size`` distinct values that may repeat; unordered ones ascend."""
+    values = df.select(F.col(column).alias("v")).distinct()
+    out = values.select(F.array("v").alias("selection"))
+    for _ in range(size - 1):
+        out = out.join(values, F.lit(True) if ordered else F.element_at("selection", -1) <= F.col("v")).select(F.concat("selection", F.array("v")).alias("selection"))
+    return out
+
+
 def power_set(df: DataFrame, column: str) -> DataFrame:
     """All subsets of the distinct values of a small column, as arrays."""
     values = F.array_sort(F.collect_set(column))

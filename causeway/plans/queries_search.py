@@ -6,22 +6,71 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from causeway.functions import distributions
 from causeway.operators import independence, moments, preparation, scores
 from causeway.operators.ordering import with_row_number
 from causeway.plans import bayes, compare, graphs, nongaussian, search, sem, simulate, stability
 from causeway.plans.catalog import query, table
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-CODES = ["l_returnflag", "l_linestatus", "l_linenumber", "l_shipmonth"]
 EDGES = "n1 string, n2 string, end1 string, end2 string"
 
 
+def _values(rows, columns: str) -> str:
+    """SQL of rows that are known beforehand: the structure that data were drawn from."""
+    return f"select * from (values {', '.join('(' + ', '.join(repr(v) for v in r) + ')' for r in rows)}) as t({columns})"
+
+
 def _cov(spark, sf):
     return moments.covariance_matrix(table(spark, sf, "lineitem"), NUMBERS)
 
 
-def _chi(spark, sf):
-    return independence.ChiSquare.of(table(spark, sf, "lineitem").withColumn("l_shipmonth", F.month("l_shipdate")), CODES, 0.01)
+#: Columns of a known structure, a -> c <- b and c -> d: each sum has a column of the table as noise that nothing else has.
+LINEAR = {"a": "l_quantity / 14", "b": "l_extendedprice / 28000", "c": "l_quantity / 14 + l_extendedprice / 28000 + l_discount * 30", "d": "l_quantity / 14 + l_extendedprice / 28000 + l_discount * 30 + l_tax * 60"}
+#: The same structure in categories: a third of the rows of c and d have a number that depends on nothing.
+DISCRETE = {
+    "a": "case when l_quantity > 25 then 1 else 0 end",
+    "b": "case when l_discount > 0.045 then 1 else 0 end",
+    "c": "case when l_tax > 0.055 then l_linenumber % 3 else case when l_quantity > 25 then 1 else 0 end + case when l_discount > 0.045 then 1 else 0 end end",
+    "d": "case when month(l_shipdate) <= 4 then day(l_shipdate) % 3 else case when l_tax > 0.055 then l_linenumber % 3 else case when l_quantity > 25 then 1 else 0 end + case when l_discount > 0.045 then 1 else 0 end end end",
+}
+ALPHA = 1e-4
+
+
+def _columns(spark, sf, columns):
+    return table(spark, sf, "lineitem").selectExpr(*[f"{e} as {c}" for c, e in columns.items()])
+
+
+def _separations() -> str:
+    """SQL: partial correlations of each pair given every set of the others, and who is adjacent: no set separates them."""
+    names, crit = list(LINEAR), float(abs(distributions.normal_quantile(ALPHA / 2)))
+    pairs = [(x, y) for x in names for y in names if x != y]
+    return f"""
+with v as (select {", ".join(f"{e} as {c}" for c, e in LINEAR.items())} from lineitem), n as (select count(*) as n from v),
+r as ({" union all ".join(f"select '{x}' as x, '{y}' as y, corr({x}, {y}) as r from v" for x, y in pairs)}),
+p1 as (select i.x, i.y, k.y as z, (i.r - k.r * l.r) / sqrt((1 - k.r * k.r) * (1 - l.r * l.r)) as r from r i join r k on k.x = i.x and k.y <> i.y join r l on l.x = i.y and l.y = k.y),
+p2 as (select i.x, i.y, i.z, k.y as w, (i.r - k.r * l.r) / sqrt((1 - k.r * k.r) * (1 - l.r * l.r)) as r from p1 i join p1 k on k.x = i.x and k.z = i.z and k.y <> i.y join p1 l on l.x = i.y and l.z = i.z and l.y = k.y),
+s as (select x, y, [] as given, r from r union all select x, y, [z], r from p1 union all select x, y, [z, w], r from p2),
+sep as (select x, y, given from s, n where abs(atanh(r)) * sqrt(n - len(given) - 3) <= {crit!r}),
+adj as (select x, y from r where not exists (select 1 from sep where sep.x = r.x and sep.y = r.y)),
+first as (select x, y, min(len(given)) as k from sep group by x, y),
+collider as (select i.x, i.y as z, j.x as y from adj i join adj j on i.y = j.y and i.x <> j.x join first f on f.x = i.x and f.y = j.x where not exists (select 1 from sep where sep.x = i.x and sep.y = j.x and len(given) = f.k and list_contains(given, i.y))),
+away as (select distinct c.z as x, a.y from collider c join adj a on a.x = c.z where a.y <> c.x and a.y <> c.y and not exists (select 1 from adj o where o.x = c.x and o.y = a.y) and not exists (select 1 from collider d where d.z = c.z and (d.x = a.y or d.y = a.y))),
+pointed as (select distinct x, z as y from collider union select x, y from away)"""
+
+
+def _edges_sql(plain: str, tail: str, away: bool = True) -> str:
+    """SQL of the edges: ``>`` where something points, ``tail`` at the other end of a collider's edge, ``plain`` where nothing is known."""
+    arrows = "pointed" if away else "(select distinct x, z as y from collider)"
+    mark = lambda here, there: f"case when exists (select 1 from {arrows} i where i.x = e.{there} and i.y = e.{here}) then '>' when exists (select 1 from away w where w.x = e.{here} and w.y = e.{there}) and {'true' if away else 'false'} then '-' when exists (select 1 from {arrows} i where i.x = e.{here} and i.y = e.{there}) then '{tail}' else '{plain}' end"
+    return f"{_separations()} select e.x as n1, e.y as n2, {mark('x', 'y')} as end1, {mark('y', 'x')} as end2 from adj e where e.x < e.y"
+
+
+def _inverse_sql(threshold: float) -> str:
+    return f"{_separations()} select distinct x as n1, y as n2, '-' as end1, '-' as end2 from p2 where x < y and abs(r) > {threshold}"
+
+
+_PATTERN, _PAG, _CYCLIC = _edges_sql("-", "-"), _edges_sql("o", "o"), _edges_sql("o", "-", away=False)
 
 
 def _frame(spark, g):
@@ -35,6 +84,12 @@ def _model(spark, nodes=8, edges=10, rows=5000, errors="normal"):
     return m, data, moments.covariance_matrix(data, m.graph.nodes)
 
 
+_SQL_OF = {
+    **dict.fromkeys(("pc_stable", "pc", "cpc", "pc_majority", "pc_max", "pc_deterministic", "pc_fdr", "fges", "gpc", "mmhc"), _PATTERN),
+    **dict.fromkeys(("fci", "rfci", "cfci", "fci_max", "gfci"), _PAG),
+    "ccd": _CYCLIC,
+    "inverse_correlation": _inverse_sql(0.05),
+}
 _ON_COVARIANCES = {
     "pc_stable": lambda t, s: search.pc_stable(t),
     "pc": lambda t, s: search.pc(t, stable=False),
@@ -42,7 +97,7 @@ _ON_COVARIANCES = {
     "pc_majority": lambda t, s: search.pc_majority(t),
     "pc_max": lambda t, s: search.pc_max(t),
     "pc_deterministic": lambda t, s: search.pcd(t),
-    "pc_fdr": lambda t, s: search.pc_fdr(t, 0.05),
+    "pc_fdr": lambda t, s: search.pc_fdr(t, 0.001),
     "fci": lambda t, s: search.fci(t),
     "rfci": lambda t, s: search.rfci(t),
     "cfci": lambda t, s: search.cfci(t),
@@ -65,10 +120,10 @@ def _precision_graph(cov):
 
 def _search_query(name, f):
     def on_lineitem(spark, sf):
-        cov = _cov(spark, sf)
-        return _frame(spark, f(independence.FisherZ(cov, 0.01), scores.SemBic(cov)))
+        cov = moments.covariance_matrix(_columns(spark, sf, LINEAR), list(LINEAR))
+        return compare.canonical(_frame(spark, f(independence.FisherZ(cov, ALPHA), scores.SemBic(cov))))
 
-    query(name=f"{name}_lineitem")(on_lineitem)
+    query(_SQL_OF.get(name), name=f"{name}_lineitem")(on_lineitem)
 
 
 for _name, _f in _ON_COVARIANCES.items():
@@ -87,22 +142,29 @@ def search_accuracy(spark, sf):
     return spark.createDataFrame(rows, "search string, ap double, ar double, ahp double, ahr double, shd double")
 
 
-@query()
+@query(_values([(s, *e) for s in ("pc", "fges_bdeu", "fges_bic") for e in (("a", "c", "-", ">"), ("b", "c", "-", ">"), ("c", "d", "-", ">"))], "search, n1, n2, end1, end2"))
 def discrete_search(spark, sf):
-    chi = _chi(spark, sf)
+    """Searches of categories whose structure is known (``DISCRETE``)."""
+    chi = independence.ChiSquare.of(_columns(spark, sf, DISCRETE), list(DISCRETE), ALPHA)
     rows = [("pc", *e) for e in search.pc_stable(chi).edges()] + [("fges_bdeu", *e) for e in search.fges(scores.BDeu(chi)).edges()] + [("fges_bic", *e) for e in search.fges(scores.DiscreteBic(chi)).edges()]
     return spark.createDataFrame(rows, "search string, " + EDGES)
 
 
-@query()
+_BLANKETS = {"grow_shrink": search.grow_shrink, "iamb": search.iamb, "inter_iamb": search.inter_iamb, "iamb_pc": search.iamb_pc, "mmpc": search.mmpc, "mmmb": search.mmmb, "hiton_mb": search.hiton_mb}
+_BLANKET_GRAPH = simulate.random_forward(8, 8, 7)
+
+
+def _blanket(search_name: str, n: str) -> str:
+    """What a search should find around a node: its neighbours, or its whole Markov blanket."""
+    g = _BLANKET_GRAPH
+    return ",".join(sorted(g.neighbours(n) if search_name in ("iamb_pc", "mmpc") else g.markov_blanket(n)))
+
+
+@query(_values([(n, name, _blanket(name, n)) for n in _BLANKET_GRAPH.nodes for name in _BLANKETS], "target, search, found"))
 def markov_blankets(spark, sf):
-    m, _, cov = _model(spark)
-    test = independence.FisherZ(cov, 0.01)
-    rows = []
-    for n in m.graph.nodes:
-        for name, f in (("grow_shrink", search.grow_shrink), ("iamb", search.iamb), ("inter_iamb", search.inter_iamb), ("iamb_pc", search.iamb_pc), ("mmpc", search.mmpc), ("mmmb", search.mmmb), ("hiton_mb", search.hiton_mb)):
-            rows.append((n, name, ",".join(f(test, n)), ",".join(m.graph.markov_blanket(n))))
-    return spark.createDataFrame(rows, "target string, search string, found string, truth string")
+    m = simulate.linear_model(_BLANKET_GRAPH, 4)
+    test = independence.FisherZ(moments.covariance_matrix(simulate.simulate_linear(spark, m, 50_000, 5), m.graph.nodes), 1e-5)
+    return spark.createDataFrame([(n, name, ",".join(sorted(f(test, n)))) for n in m.graph.nodes for name, f in _BLANKETS.items()], "target string, search string, found string")
 
 
 @query()
@@ -180,7 +242,7 @@ def nearest_in_category(spark, sf):
     return stability.nearest_in_category(table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice"), "p_retailprice", "p_brand").select("p_partkey", F.round("nearest", 8).alias("nearest"))
 
 
-@query()
+@query(f"with r as ({' union all '.join(f'select {a!r} as v, abs(corr({a}, {b})) as r from lineitem' for a in NUMBERS for b in NUMBERS)}), i as (select v, sum(r) as s, max(r) filter (where r < 0.999) as m from r group by v) select cast(row_number() over (order by s desc) - 1 as int) as place, v as variable from i where m < 0.5 order by s desc limit 3")
 def diverse_selection(spark, sf):
     cov = moments.correlation_matrix(table(spark, sf, "lineitem"), NUMBERS)
     picked = stability.diverse_top([(n, float(abs(cov.matrix[cov.index(n)]).sum())) for n in NUMBERS], lambda a, b: cov.matrix[cov.index(a), cov.index(b)], 3, 0.5)
@@ -220,7 +282,7 @@ def mixed_model(spark, sf):
     return _frame(spark, stability.mixed_graphical_model(pdf, discrete, (0.1, 0.1, 0.1)).graph(1e-3))
 
 
-@query()
+@query(_values([(a, b, "-", ">") for a, b, *_ in simulate.random_forward(5, 5, 3).edges()], "n1, n2, end1, end2"))
 def lingam_search(spark, sf):
     m, data, _ = _model(spark, 5, 5, 5000, "uniform")
     return _frame(spark, nongaussian.lingam(nongaussian.sample_rows(data, m.graph.nodes), m.graph.nodes)[0])
@@ -233,7 +295,7 @@ def structural_model(spark, sf):
     return spark.createDataFrame([(a, b, m.coefficients[a, b], w, fit.p_values[a, b], fit.p, fit.rmsea, fit.cfi) for (a, b), w in fit.coefficients.items()], "cause string, effect string, truth double, estimate double, p double, model_p double, rmsea double, cfi double")
 
 
-@query()
+@query(_values([(k, f"X{4 * k + i}") for k in range(2) for i in range(1, 5)], "cluster, variable"))
 def factor_clusters(spark, sf):
     g = simulate.multiple_indicator(2, 4, 1, 5)
     m = simulate.linear_model(g, 6, 0.8, 1.2, (0.3, 0.6))
@@ -241,13 +303,20 @@ def factor_clusters(spark, sf):
     return spark.createDataFrame([(k, n) for k, c in enumerate(sem.one_factor_clusters(cov, 0.001)) for n in c], "cluster int, variable string")
 
 
-@query()
+@query("""
+with d as (select l_returnflag f, l_linestatus s, month(l_shipdate) m from lineitem), fs as (select distinct f from d), ss as (select distinct s from d), k as (select count(distinct f) kf, count(distinct s) ks, count(distinct m) km, count(*) n from d),
+g as (select f, s from fs, ss), pf as (select f, (count(*) + 1) / any_value(n + kf)::double p from d, k group by f),
+ps as (select g.f, g.s, (select count(*) + 1 from d where d.f = g.f and d.s = g.s) / ((select count(*) from d where d.f = g.f) + ks)::double p from g, k),
+pm as (select g.f, g.s, (select count(*) + 1 from d where d.f = g.f and d.s = g.s and d.m = 6) / ((select count(*) from d where d.f = g.f and d.s = g.s) + km)::double p from g, k),
+j as (select f, sum(pf.p * ps.p * pm.p) w from pf join ps using (f) join pm using (f, s) group by f)
+select f as category, round(w / sum(w) over (), 9) as probability from j""")
 def bayes_net(spark, sf):
+    """The flag given the sixth month (category 5)."""
     g = graphs.from_spec("l_returnflag-->l_linestatus,l_returnflag-->l_shipmonth,l_linestatus-->l_shipmonth")
     df = table(spark, sf, "lineitem").withColumn("l_shipmonth", F.month("l_shipdate"))
     net = bayes.estimate(df, g, 1.0)
     p = bayes.posterior(net, "l_returnflag", {"l_shipmonth": 5})
-    return spark.createDataFrame([(str(c), float(v)) for c, v in zip(net.categories["l_returnflag"], p)], "category string, probability double")
+    return spark.createDataFrame([(str(c), round(float(v), 9)) for c, v in zip(net.categories["l_returnflag"], p)], "category string, probability double")
 
 
 @query()
@@ -270,13 +339,13 @@ def random_graph(spark, sf):
     return simulate.random_forward_distributed(spark, 50_000, 50_000, 42)
 
 
-@query()
+@query(_values([("A", "B", ">", ">"), ("A", "C", ">", "o"), ("B", "D", ">", "o")], "n1, n2, end1, end2"))
 def pag_of_dag(spark, sf):
     g = graphs.from_spec("Latent(L),L-->A,L-->B,C-->A,D-->B")
     return _frame(spark, graphs.dag_to_pag(g))
 
 
-@query()
+@query(_values([(f"X{i + 1}", f"X{j + 1}:1", ">", "-") for i, j in ((0, 0), (1, 0), (1, 1), (2, 1), (2, 2))], "n1, n2, end1, end2"))
 def time_series_search(spark, sf):
     from causeway.operators.series import lag_embed
 

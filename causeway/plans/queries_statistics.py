@@ -192,9 +192,32 @@ def log_sum(spark, sf):
     return st.log_sum(table(spark, sf, "supplier").select((F.col("s_acctbal") / 1000).alias("x")), "x").select(F.round("log_sum", 8).alias("log_sum"))
 
 
-@query()
+#: Hart's rational approximation of the upper normal tail, highest power first.
+_HART_ABOVE = [0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
+_HART_BELOW = [0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
+
+
+def _upper_tail(z: str) -> str:
+    """SQL of the normal probability beyond a number that isn't negative."""
+
+    def polynomial(powers: list[float]) -> str:
+        out = repr(powers[0])
+        for p in powers[1:]:
+            out = f"({out} * ({z}) + {p!r})"
+        return out
+
+    far = f"(({z}) + 1 / (({z}) + 2 / (({z}) + 3 / (({z}) + 4 / (({z}) + 0.65)))))"
+    return f"(case when ({z}) < 7.07106781186547 then exp(-({z}) * ({z}) / 2) * {polynomial(_HART_ABOVE)} / {polynomial(_HART_BELOW)} else exp(-({z}) * ({z}) / 2) / ({far} * 2.506628274631) end)"
+
+
+@query(f"""
+with m as (select avg(o_totalprice) m, stddev_samp(o_totalprice) s, count(*)::double n from orders),
+z as (select (o_totalprice - m) / s as z, n, row_number() over (order by o_totalprice) as i from orders, m),
+t as (select z, n, i, {_upper_tail("abs(z)")} as u from z), p as (select n, i, case when z < 0 then u else 1 - u end as p from t),
+a as (select n, sum((2 * i - 1) * ln(p) + (2 * (n - i) + 1) * ln(1 - p)) as s from p group by n), q as (select -n - s / n as a, (-n - s / n) * (1 + 0.75 / n + 2.25 / (n * n)) as b from a)
+select round(a, 6) as a_squared, round(b, 6) as a_squared_star, round(case when b < 0.2 then 1 - exp(-13.436 + 101.14 * b - 223.73 * b * b) when b < 0.34 then 1 - exp(-8.318 + 42.796 * b - 59.938 * b * b) when b < 0.6 then exp(0.9177 - 4.279 * b - 1.38 * b * b) else exp(1.2937 - 5.709 * b + 0.0186 * b * b) end, 9) as p from q""")
 def anderson_darling(spark, sf):
-    return spark.createDataFrame([tuple(map(float, st.anderson_darling(table(spark, sf, "orders"), "o_totalprice")))], "a_squared double, a_squared_star double, p double")
+    return spark.createDataFrame([tuple(round(float(x), d) for x, d in zip(st.anderson_darling(table(spark, sf, "orders"), "o_totalprice"), (6, 6, 9)))], "a_squared double, a_squared_star double, p double")
 
 
 @query("select round(regr_slope(l_extendedprice, l_quantity), 6) as slope, round(regr_intercept(l_extendedprice, l_quantity), 4) as intercept, round(regr_r2(l_extendedprice, l_quantity), 8) as r_squared from lineitem")
@@ -212,10 +235,24 @@ def ols_two(spark, sf):
     return spark.createDataFrame([(round(float(f.coefficients[0]), 3), round(float(f.coefficients[1]), 5), round(float(f.coefficients[2]), 3))], "intercept double, b_quantity double, b_discount double")
 
 
-@query()
+def _logistic_sql(steps: int = 6) -> str:
+    """SQL of Newton's method for two regressors: each step adds up gradient and Hessian, and solves three equations by minors."""
+    out = ["with v as (select l_quantity / 10 as q, l_discount * 10 as d, (l_linestatus = (select max(l_linestatus) from lineitem))::int as y from lineitem), b0 as (select 0.0::double as c0, 0.0::double as c1, 0.0::double as c2)"]
+    minors = "h11 * h22 - h12 * h12 as m00, h02 * h12 - h01 * h22 as m01, h01 * h12 - h02 * h11 as m02, h00 * h22 - h02 * h02 as m11, h01 * h02 - h00 * h12 as m12, h00 * h11 - h01 * h01 as m22"
+    for k in range(steps):
+        out.append(f"e{k} as (select q, d, y, c0, c1, c2, 1 / (1 + exp(-(c0 + c1 * q + c2 * d))) as p from v, b{k})")
+        sums = ", ".join(f"sum(p * (1 - p) * {x} * {z}) as h{i}{j}" for i, x in enumerate(("1", "q", "d")) for j, z in enumerate(("1", "q", "d")) if i <= j)
+        out.append(f"h{k} as (select any_value(c0) c0, any_value(c1) c1, any_value(c2) c2, sum(y - p) g0, sum((y - p) * q) g1, sum((y - p) * d) g2, {sums} from e{k})")
+        out.append(f"i{k} as (select *, {minors}, h00 * (h11 * h22 - h12 * h12) + h01 * (h02 * h12 - h01 * h22) + h02 * (h01 * h12 - h02 * h11) as det from h{k})")
+        out.append(f"b{k + 1} as (select c0 + (m00 * g0 + m01 * g1 + m02 * g2) / det as c0, c1 + (m01 * g0 + m11 * g1 + m12 * g2) / det as c1, c2 + (m02 * g0 + m12 * g1 + m22 * g2) / det as c2, sqrt(m00 / det) s0, sqrt(m11 / det) s1, sqrt(m22 / det) s2 from i{k})")
+    out.append(f"f as (select 'const' as term, c0 as b, s0 as e from b{steps} union all select 'l_quantity', c1 / 10, s1 / 10 from b{steps} union all select 'l_discount', c2 * 10, s2 * 10 from b{steps})")
+    return ", ".join(out) + f" select (select max(l_linestatus) from lineitem) as class, term, round(b, 7) as coefficient, round(e, 7) as error, round(2 * {_upper_tail('abs(b / e)')}, 6) as p from f"
+
+
+@query(_logistic_sql())
 def logistic_status(spark, sf):
     f = regression.logistic(table(spark, sf, "lineitem"), "l_linestatus", ["l_quantity", "l_discount"])
-    return spark.createDataFrame([(str(c), n, float(b), float(e), float(p)) for c, row in zip(f.classes[1:], zip(f.coefficients, f.errors, f.p)) for n, b, e, p in zip(f.names, *row)], "class string, term string, coefficient double, error double, p double")
+    return spark.createDataFrame([(str(c), n, round(float(b), 7), round(float(e), 7), round(float(p), 6)) for c, row in zip(f.classes[1:], zip(f.coefficients, f.errors, f.p)) for n, b, e, p in zip(f.names, *row)], "class string, term string, coefficient double, error double, p double")
 
 
 @query()
@@ -242,6 +279,12 @@ def fisher_z_pairs(spark, sf):
     return independence.fisher_z_frame(table(spark, sf, "lineitem"), NUMBERS).select("x", "y", F.round("r", 8).alias("r"), F.round("z", 5).alias("z"))
 
 
+@query(f"with r as ({_FZ}), n as (select count(*) n from lineitem), z as (select x, y, abs(sqrt(n - 3) * atanh(r)) as z from r, n) select x, y, round(2 * {_upper_tail('z')}, 9) as p from z")
+def fisher_z_p_values(spark, sf):
+    test = independence.FisherZ(moments.covariance_matrix(table(spark, sf, "lineitem"), NUMBERS))
+    return spark.createDataFrame([(a, b, round(float(test.p_value(a, b, [])), 9)) for k, a in enumerate(NUMBERS) for b in NUMBERS[k + 1 :]], "x string, y string, p double")
+
+
 _BIC = " union all ".join([f"select '{a}' as child, '' as parent, var_samp({a}) as s2, 1 as k from lineitem" for a in NUMBERS] + [f"select '{a}', '{b}', var_samp({a}) - pow(covar_samp({a}, {b}), 2) / var_samp({b}), 3 from lineitem" for a in NUMBERS for b in NUMBERS if a != b])
 
 
@@ -269,10 +312,21 @@ def discrete_bic_orders(spark, sf):
     return spark.createDataFrame([(round(scores.DiscreteBic(chi).local(0, [1]), 4),)], "score double")
 
 
-@query()
+_GAUSS = "-n / 2 * (ln({det}) + {k} * ln(2 * pi()) + {k})"
+_DET2 = "var_pop(l_quantity) * var_pop(l_extendedprice) - covar_pop(l_quantity, l_extendedprice) ** 2"
+
+
+@query(f"""
+with t as (select count(*)::double as t from lineitem), g as (select l_returnflag, count(*)::double as n, var_pop(l_quantity) as v, {_DET2} as w from lineitem group by 1),
+a as (select count(*)::double as n, var_pop(l_quantity) as vq, var_pop(l_extendedprice) as vp, {_DET2} as w from lineitem),
+l as (select (select {_GAUSS.format(det="vq", k=1)} from a) as q, (select {_GAUSS.format(det="vp", k=1)} from a) as p, (select {_GAUSS.format(det="w", k=2)} from a) as qp, (select sum(n * ln(n / t)) from g, t) as r,
+  (select sum(n * ln(n / t) + {_GAUSS.format(det="v", k=1)}) from g, t) as qr, (select sum(n * ln(n / t) + {_GAUSS.format(det="w", k=2)}) from g, t) as qpr, (select count(*) from g) as c, (select ln(t) from t) as ln),
+s as (select 'l_quantity' as child, '' as parents, 2 * q - 2 * ln as s from l union all select 'l_quantity', 'l_extendedprice', 2 * (qp - p) - 3 * ln from l union all select 'l_quantity', 'l_returnflag', 2 * (qr - r) - 2 * c * ln from l
+  union all select 'l_extendedprice', 'l_quantity,l_returnflag', 2 * (qpr - qr) - 3 * c * ln from l union all select 'l_returnflag', 'l_quantity', 2 * (qr - q) - (3 * c - 3) * ln from l)
+select child, parents, round(s, 3) as score from s""")
 def conditional_gaussian_scores(spark, sf):
     s = scores.ConditionalGaussian(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_returnflag"])
-    return spark.createDataFrame([(s.names[i], ",".join(s.names[j] for j in p), s.local(i, p)) for i, p in ((0, []), (0, [1]), (0, [2]), (1, [0, 2]), (2, [0]))], "child string, parents string, score double")
+    return spark.createDataFrame([(s.names[i], ",".join(s.names[j] for j in p), round(float(s.local(i, p)), 3)) for i, p in ((0, []), (0, [1]), (0, [2]), (1, [0, 2]), (2, [0]))], "child string, parents string, score double")
 
 
 @query()

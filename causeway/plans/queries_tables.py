@@ -186,6 +186,18 @@ def combinations(spark, sf):
     return tables.combinations_of(table(spark, sf, "region"), "r_name", 3).select(F.array_join("combination", ",").alias("combination"))
 
 
+@query("select a.r_regionkey || ',' || b.r_regionkey || ',' || c.r_regionkey as permutation from region a join region b on a.r_regionkey <> b.r_regionkey join region c on c.r_regionkey <> a.r_regionkey and c.r_regionkey <> b.r_regionkey")
+def permutations(spark, sf):
+    return tables.permutations_of(table(spark, sf, "region"), "r_regionkey", 3).select(F.array_join(F.col("permutation").cast("array<string>"), ",").alias("permutation"))
+
+
+@query("select true as ordered, a.r_regionkey || ',' || b.r_regionkey as selection from region a, region b union all select false, a.r_regionkey || ',' || b.r_regionkey || ',' || c.r_regionkey from region a join region b on a.r_regionkey <= b.r_regionkey join region c on b.r_regionkey <= c.r_regionkey")
+def selections(spark, sf):
+    shown = F.array_join(F.col("selection").cast("array<string>"), ",").alias("selection")
+    r = table(spark, sf, "region")
+    return tables.selections_of(r, "r_regionkey", 2).select(F.lit(True).alias("ordered"), shown).union(tables.selections_of(r, "r_regionkey", 3, ordered=False).select(F.lit(False), shown))
+
+
 @query("select sum(k) over () * 0 + 1 as n, k from (select unnest(range(0, 32)) as k)".replace("sum(k) over () * 0 + 1 as n, k", "cast(bit_count(k) as int) as size, count(*) as n").replace(")", ")", 1) + " group by 1")
 def power_set(spark, sf):
     return tables.power_set(table(spark, sf, "region"), "r_regionkey").groupBy(F.size("subset").alias("size")).agg(F.count("*").alias("n"))

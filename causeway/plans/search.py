@@ -658,32 +658,43 @@ def hiton_mb(test: IndependenceTest, target: str, depth: int = 3) -> list[str]:
     return sorted(set(held) | spouses)
 
 
-def mmhc(test: IndependenceTest, score: Score, depth: int = 3) -> Graph:
-    """Hill climbing over DAGs whose edges lie in the max-min skeleton."""
+def mmhc(test: IndependenceTest, score: Score, depth: int = 3, patience: int = 10) -> Graph:
+    """Hill climbing over DAGs whose edges lie in the max-min skeleton.
+
+    Graphs seen before are taboo; the climb goes on over ``patience`` moves
+    that raise the score no further, as equivalent graphs have equal scores.
+    """
     names, at = score.names, {n: i for i, n in enumerate(score.names)}
     near = {n: set(mmpc(test, n, depth)) for n in names}
+    local = lambda n, parents: score.local(at[n], [at[p] for p in parents])
     g = Graph(names)
-    while True:
-        best = (1e-9, None)
+    now = best = 0.0
+    found, seen, stale = g, {frozenset()}, 0
+    while stale <= patience:
+        moves = []
         for a in names:
             for b in near[a]:
-                pa = [at[p] for p in g.parents(b)]
-                if not g.adjacent(a, b) and not g.directed_path(b, a):
-                    best = max(best, (score.local(at[b], [*pa, at[a]]) - score.local(at[b], pa), ("add", a, b)), key=lambda x: x[0])
+                pa = g.parents(b)
+                if not g.adjacent(a, b):
+                    moves.append((local(b, [*pa, a]) - local(b, pa), a, b, "add"))
                 elif g.directed(a, b):
-                    drop = score.local(at[b], [p for p in pa if p != at[a]]) - score.local(at[b], pa)
-                    best = max(best, (drop, ("remove", a, b)), key=lambda x: x[0])
-                    h = g.copy()
-                    h.remove(a, b)
-                    if not h.directed_path(a, b):
-                        pb = [at[p] for p in g.parents(a)]
-                        best = max(best, (drop + score.local(at[a], [*pb, at[b]]) - score.local(at[a], pb), ("turn", a, b)), key=lambda x: x[0])
-        if best[1] is None:
-            return dag_to_pattern(g)
-        what, a, b = best[1]
-        g.remove(a, b)
-        if what != "remove":
-            g.orient(*((a, b) if what == "add" else (b, a)))
+                    drop = local(b, [p for p in pa if p != a]) - local(b, pa)
+                    moves.append((drop, a, b, "remove"))
+                    moves.append((drop + local(a, [*g.parents(a), b]) - local(a, g.parents(a)), a, b, "turn"))
+        for gain, a, b, what in sorted(moves, key=lambda m: (-m[0], *m[1:])):
+            h = g.copy()
+            h.remove(a, b)
+            if what != "remove":
+                h.orient(*((a, b) if what == "add" else (b, a)))
+            key = frozenset(h.edges())
+            if key not in seen and h.acyclic():
+                break
+        else:
+            break
+        seen.add(key)
+        g, now = h, now + gain
+        found, best, stale = (g, now, 0) if now > best + 1e-9 else (found, best, stale + 1)
+    return dag_to_pattern(found)
 
 
 def markov_blanket_search(test: IndependenceTest, target: str, depth: int = -1) -> Graph:

@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 
 from causeway.functions.distributions import chisq_tail, normal_cdf, t_cdf
+from causeway.operators.independence import FisherZ
 from causeway.operators.moments import Covariance
 from causeway.operators.regression import ols_from_covariance
 from causeway.plans.graphs import Graph
@@ -176,18 +177,32 @@ def quartet_vanishes(cov: Covariance, names: list[str], alpha: float = 0.05) ->
     return all(quartet_test(cov, *v)[1] > alpha for v in ((a, b, c, d), (a, b, d, c), (a, c, d, b)))
 
 
-def one_factor_clusters(cov: Covariance, alpha: float = 0.05) -> list[list[str]]:
-    """Pure clusters of indicators of one factor: quartets whose differences all vanish, grown by variables that keep them so."""
-    left, out = list(cov.names), []
-    for quartet in combinations(cov.names, 4):
-        if not set(quartet) <= set(left) or not quartet_vanishes(cov, list(quartet), alpha):
+def one_factor_clusters(cov: Covariance, alpha: float = 0.05, least: int = 3) -> list[list[str]]:
+    """Pure clusters of indicators of one factor.
+
+    Three correlated variables are pure if together with any fourth one their
+    differences vanish; so no fourth tells them to be of two factors.  A
+    cluster grows from pure three by variables that leave all its threes pure.
+    """
+    test, names = FisherZ(cov, alpha), list(cov.names)
+    known: dict[frozenset, bool] = {}
+
+    def pure(three: frozenset) -> bool:
+        if three not in known:
+            known[three] = not any(test.independent(a, b, []) for a, b in combinations(sorted(three), 2)) and all(quartet_vanishes(cov, [*sorted(three), o], alpha) for o in names if o not in three)
+        return known[three]
+
+    left, out = list(names), []
+    for start in combinations(names, 3):
+        if not set(start) <= set(left) or not pure(frozenset(start)):
             continue
-        cluster = list(quartet)
+        cluster = list(start)
         for n in left:
-            if n not in cluster and all(quartet_vanishes(cov, [*t, n], alpha) for t in combinations(cluster, 3)):
+            if n not in cluster and all(pure(frozenset((*two, n))) for two in combinations(cluster, 2)):
                 cluster.append(n)
-        out.append(sorted(cluster))
-        left = [n for n in left if n not in cluster]
+        if len(cluster) >= least:
+            out.append(sorted(cluster))
+            left = [n for n in left if n not in cluster]
     return out
 
 

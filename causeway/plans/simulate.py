@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +17,15 @@ from causeway.plans.graphs import Graph
 # Graphs -----------------------------------------------------------------------------
 
 
+def _shuffled(n: int, g: np.random.Generator) -> Iterator[int]:
+    """The numbers below ``n`` in a random order, each once; memory grows with how many are taken."""
+    moved: dict[int, int] = {}
+    for left in range(n, 0, -1):
+        k = int(g.integers(left))
+        yield moved.get(k, k)
+        moved[k] = moved.pop(left - 1, left - 1)
+
+
 def random_forward(nodes: int, edges: int, seed: int, latents: int = 0, max_degree: int = -1, max_in: int = -1, max_out: int = -1, connected: bool = False) -> Graph:
     """A DAG of a number of edges drawn among earlier-to-later pairs, within the limits on degrees."""
     g = np.random.default_rng(seed)
@@ -23,17 +34,12 @@ def random_forward(nodes: int, edges: int, seed: int, latents: int = 0, max_degr
     if connected:
         for j in range(1, nodes):
             out.orient(names[int(g.integers(j))], names[j])
-    pairs = [(i, j) for i in range(nodes) for j in range(i + 1, nodes)] if nodes <= 2000 else None
-    order = iter(g.permutation(len(pairs))) if pairs is not None else None
-    while out.number_of_edges() < edges:
-        if pairs is not None:
-            k = next(order, None)
-            if k is None:
-                break
-            i, j = pairs[k]
-        else:
-            i, j = sorted(g.choice(nodes, 2, replace=False))
-        a, b = names[i], names[j]
+    for k in _shuffled(nodes * (nodes - 1) // 2, g):
+        if out.number_of_edges() >= edges:
+            break
+        # The k-th pair i < j, counted by j.
+        j = (1 + math.isqrt(8 * k + 1)) // 2
+        a, b = names[k - j * (j - 1) // 2], names[j]
         full = lambda n, most, now: 0 <= most <= now(n)
         if out.adjacent(a, b) or full(a, max_degree, out.degree) or full(b, max_degree, out.degree) or full(b, max_in, out.indegree) or full(a, max_out, out.outdegree):
             continue

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.operators.ordering import cut_points
 from causeway.plans.graphs import TAIL, Graph
 
 # Resampling ---------------------------------------------------------------------------
@@ -236,11 +238,23 @@ def diverse_top(intensity: list[tuple[str, float]], correlation: Callable[[str,
     return out
 
 
-def nearest_in_category(df: DataFrame, value: str, category: str) -> DataFrame:
-    """``nearest``: the distance to the closest other value of the row's category, from its neighbours in sorted order."""
-    w = Window.partitionBy(category).orderBy(value)
-    below, above = F.col(value) - F.lag(value).over(w), F.lead(value).over(w) - F.col(value)
-    return df.withColumn("nearest", F.least(F.coalesce(below, above), F.coalesce(above, below)))
+def nearest_in_category(df: DataFrame, value: str, category: str, buckets: int = 200) -> DataFrame:
+    """``nearest``: the distance to the closest other value of the row's category, from its neighbours in sorted order.
+
+    Windows are within buckets of values, so that a category may hold any share
+    of the rows; the least and greatest value of each category's buckets give
+    the neighbours across them.
+    """
+    cuts = cut_points(df, value, buckets)
+    x, b = F.col(value), f"__cw_b{uuid.uuid4().hex[:8]}"
+    cut = df.withColumn(b, F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= x)))
+    inner, outer = Window.partitionBy(category, b).orderBy(value), Window.partitionBy(category).orderBy(b)
+    # A row for each category and bucket.
+    ends = cut.filter(x.isNotNull()).groupBy(category, b).agg(F.min(x).alias("low"), F.max(x).alias("high"))
+    ends = ends.select(F.col(category).alias(f"{b}c"), F.col(b).alias(f"{b}b"), F.lag("high").over(outer).alias(f"{b}below"), F.lead("low").over(outer).alias(f"{b}above"))
+    met = cut.join(ends, F.col(category).eqNullSafe(F.col(f"{b}c")) & (F.col(b) == F.col(f"{b}b")), "left")
+    below, above = x - F.coalesce(F.lag(value).over(inner), F.col(f"{b}below")), F.coalesce(F.lead(value).over(inner), F.col(f"{b}above")) - x
+    return met.withColumn("nearest", F.least(F.coalesce(below, above), F.coalesce(above, below))).select(*df.columns, "nearest")
 
 
 # Complementary pairs --------------------------------------------------------------------
