@@ -1,8 +1,7 @@
 """Language-model scores from a probabilistic suffix tree over words (operator 7).
 
 A state of the tree is a context of up to ``depth`` words that stands
-``least`` times or more (a single word: ``least_word``) in the training texts
-and whose next-token
+``least`` times or more in the training texts and whose next-token
 distribution diverges from that of its suffix: coding each of its occurrences
 by its own distribution, with that occurrence left out, saves ``divergence``
 nats a token or more.  A state takes ``discount`` off the count of each of its
@@ -16,7 +15,8 @@ shared folder), and for each length in turn a block asks for the counts of its
 distinct contexts and next tokens.  Requests are dealt by the hash of the
 context (in pieces, if it stands very often) to tasks that add them up, test
 the divergence and answer each block.  A request or an answer is one packed
-row for a block and a part, in place of a row for each n-gram.
+row for a block and a part, in place of a row for each n-gram.  What a block is
+told at a level it keeps beside its texts, so no answer is sent twice.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ BLOCK, PART = 1 << 21, 1 << 21
 HOT = 1 << 23
 #: Bits by which a part knows a continuation within its context.
 LOW = np.uint64((1 << 40) - 1)
-ANSWER = "block long, part int, level int, totals binary, states binary"
+ANSWER = "block long, part int, totals binary, states binary"
 
 _squeeze, _expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
@@ -125,7 +125,7 @@ class _Writer:
 class _Block:
     """A block of texts, and what is known of its tokens so far."""
 
-    def __init__(self, data: bytes, parts: int, least: tuple[int, int], discount: float) -> None:
+    def __init__(self, data: bytes, parts: int, least: int, discount: float) -> None:
         docs, known, training, lengths, self.words, tokens = map(_unpack, _unbundle(data))
         self.parts, self.least, self.discount = parts, least, discount
         self.docs = [d if k else None for d, k in zip(docs.view("<i8").tolist(), known.tolist())]
@@ -136,13 +136,17 @@ class _Block:
         self.train = np.repeat(self.training, self.lengths)
         self.level = 0
 
+    def grams(self) -> np.ndarray:
+        """Hashes of (context, next token) at the active places."""
+        return _mixed(self.context, self.words[self.tokens[self.active]])
+
     def sort(self) -> None:
         """Put in order, by parts, what the next level asks for: one entry for each distinct token or, below the root, for each distinct (context, next token) at the active places."""
         if self.level == 0:
             part, self.entry = _mixed(self.words, np.uint64(self.parts)) % np.uint64(self.parts), self.tokens
             order = _stable(part)
         else:
-            gram = self.gram = _mixed(self.context, self.words[self.tokens[self.active]])
+            gram = self.gram = self.grams()
             _, self.first, self.entry = np.unique(gram, return_index=True, return_inverse=True)
             context = self.context[self.first]
             pieces = -(-self.n[self.first] // HOT)
@@ -177,28 +181,34 @@ class _Block:
                 heads = mine[new]
                 yield p, _bundle([_pack(context[heads], 8), _pack(np.diff(np.append(new, len(mine)))), _pack(n[heads]), _pack(low[mine], 5), _pack(counts[mine]), _pack(parent[mine])])
 
-    def take(self, answers: list[tuple[bytes, bytes]], hot: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int) -> None:
-        """The answers of a level in order of their parts; ``hot``: the states among the contexts that were dealt to several parts, and their numbers of next tokens."""
-        totals = np.concatenate([_unpack(t) for t, _ in answers]).astype(np.int64)[self.back] if answers else np.zeros(0, np.int64)
+    def told(self, answers: list[tuple[bytes, bytes]], hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The answers of a level, in order of their parts, as counts of words or, below the root, of the active places, and as numbers of next tokens of those places' contexts (0 if no state); ``hot``: the states among the contexts that were dealt to several parts, and their numbers of next tokens."""
+        self.sort()
+        none = np.zeros(0, np.int64)
+        counts = np.concatenate([_unpack(t) for t, _ in answers]).astype(np.int64)[self.back] if answers else none
+        if self.level == 0:
+            return counts, none
+        nexts = np.concatenate([_unpack(k) for _, k in answers]).astype(np.int64)[self.head][self.back][self.entry] if answers else none
+        if len(hot[0]):
+            place = np.minimum(np.searchsorted(hot[0], self.context), len(hot[0]) - 1)
+            nexts = np.where((hot[0][place] == self.context) & (self.n > HOT), hot[1][place], nexts)
+        return counts[self.entry], nexts
+
+    def take(self, counts: np.ndarray, nexts: np.ndarray, tokens: int, distinct: int) -> None:
+        """Go on to the next level with what ``told`` gave."""
         if self.level == 0:
-            self.total = totals[self.tokens]
+            self.total = counts[self.tokens]
             self.p = (self.total + 0.1) / (tokens + 0.1 * (distinct + 1))
             self.base = np.log10(self.p)
             self.seen = self.total > 0
             before, counts, hashes, on = np.arange(len(self.tokens)), self.total, self.words[self.tokens], self.inner
         else:
-            # Different next tokens of each context; 0 if it is no state.
-            nexts = np.concatenate([_unpack(k) for _, k in answers]).astype(np.int64)[self.head][self.back][self.entry] if answers else np.zeros(0, np.int64)
-            if len(hot[0]):
-                place = np.minimum(np.searchsorted(hot[0], self.context), len(hot[0]) - 1)
-                nexts = np.where((hot[0][place] == self.context) & (self.n > HOT), hot[1][place], nexts)
-            counts, before, hashes = totals[self.entry], self.active, self.gram
-            kept = nexts > 0
+            before, hashes, kept = self.active, self.grams(), nexts > 0
             at = self.active[kept]
             self.p[at] = (np.maximum(counts[kept] - self.discount, 0) + self.discount * nexts[kept] * self.p[at]) / self.n[kept]
             on = self.inner[before]
         # What stands often enough is a context of the token after it.
-        on = on & (counts >= self.least[self.level > 0])
+        on = on & (counts >= self.least)
         self.active, self.context, self.n = before[on] + 1, hashes[on], counts[on]
         self.level += 1
 
@@ -245,44 +255,50 @@ def _add_up(blocks: list[int], requests: list[bytes], level: int, discount: floa
 class _Levels:
     """Runs the exchange of requests and answers level by level."""
 
-    def __init__(self, spark: SparkSession, folder: str, manifest: DataFrame, least: tuple[int, int], discount: float, divergence: float) -> None:
-        self.spark, self.folder, self.least, self.discount, self.divergence = spark, folder, (max(2, least[0]), max(2, least[1])), discount, divergence
+    def __init__(self, spark: SparkSession, folder: str, manifest: DataFrame, depth: int, least: int, discount: float, divergence: float) -> None:
+        self.spark, self.folder, self.depth, self.least, self.discount, self.divergence = spark, folder, depth, max(2, least), discount, divergence
         self.manifest = manifest
         size, self.tokens, self.blocks = (int(x or 0) for x in manifest.agg(F.sum("size"), F.sum("training"), F.count("*")).first())
         self.tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.blocks)
         self.parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
-        self.distinct, self.hot, self.answers = 0, [], []
+        self.level, self.distinct, self.hot, self.answers = 0, 0, None, None
 
-    def _opened(self, block: int, answers: pa.Table, hot: list[tuple[np.ndarray, np.ndarray]], tokens: int, distinct: int) -> _Block:
+    def _opened(self, block: int, answers: pa.Table, level: int, hot: tuple[np.ndarray, np.ndarray] | None, tokens: int, distinct: int) -> _Block:
+        """A block at ``level``: what earlier levels told it is read from its files, the last level's answers are added to them."""
         out = _Block(get_file(self.folder, str(block)), self.parts, self.least, self.discount)
-        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("level", "part", "totals", "states"))), key=lambda r: r[:2])
-        for level, states in enumerate(hot):
-            out.sort()
-            out.take([(t, k) for at, _, t, k in rows if at == level], states, tokens, distinct)
+        for at in range(level - 1):
+            out.take(*(_unpack(x).astype(np.int64) for x in _unbundle(get_file(self.folder, f"{block}-{at}"))), tokens, distinct)
+        if level:
+            rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("part", "totals", "states"))), key=lambda r: r[0])
+            told = out.told([(t, k) for part, t, k in rows if part >= 0], hot)
+            if level <= self.depth:
+                put_file(self.folder, f"{block}-{level - 1}", _bundle([_pack(x) for x in told]))
+            out.take(*told, tokens, distinct)
         return out
 
     def _by_block(self, step, schema: str) -> DataFrame:
-        """``step`` of each block with all answers to it so far."""
-        rows = self.manifest.select("block", F.lit(-1).alias("part"), F.lit(-1).alias("level"), F.lit(b"").alias("totals"), F.lit(b"").alias("states"))
-        for a in self.answers:
-            rows = rows.union(a.filter("block >= 0"))
-        hot, tokens, distinct, opened = list(self.hot), self.tokens, self.distinct, self._opened_with()
+        """``step`` of each block with the answers of the last level."""
+        rows = self.manifest.select("block", F.lit(-1).alias("part"), F.lit(b"").alias("totals"), F.lit(b"").alias("states"))
+        if self.answers is not None:
+            rows = rows.union(self.answers.filter("block >= 0"))
+        level, hot, tokens, distinct, opened = self.level, self.hot, self.tokens, self.distinct, self._opened_with()
         arrow = _arrow_schema(self.spark, schema)
 
         def run(table: pa.Table) -> pa.Table:
             block = table.column("block")[0].as_py()
-            return _table(list(step(block, opened(block, table, hot, tokens, distinct))), arrow)
+            return _table(list(step(block, opened(block, table, level, hot, tokens, distinct))), arrow)
 
         # A fixed number of tasks: rows are few, but each block is much work.
         return rows.repartition(self.tasks, "block").groupBy("block").applyInArrow(run, schema)
 
     def _opened_with(self):
         light = _Levels.__new__(_Levels)
-        light.folder, light.parts, light.least, light.discount = self.folder, self.parts, self.least, self.discount
+        light.folder, light.parts, light.least, light.discount, light.depth = self.folder, self.parts, self.least, self.discount, self.depth
         return light._opened
 
-    def exchange(self, level: int) -> None:
-        """Requests of all blocks for contexts of ``level`` words, and the answers."""
+    def exchange(self) -> None:
+        """Requests of all blocks for contexts of the level's number of words, and the answers."""
+        level = self.level
         requests = self._by_block(lambda b, block: ((b, p, r) for p, r in block.ask()), "block long, part int, request binary")
         discount, divergence, arrow = self.discount, self.divergence, _arrow_schema(self.spark, ANSWER)
 
@@ -291,17 +307,19 @@ class _Levels:
             out, distinct, (often, saved, nexts) = _add_up(table.column("block").to_pylist(), table.column("request").to_pylist(), level, discount, divergence)
             # The part's own row: its number of distinct tokens, or the frequent contexts, their savings and their next tokens.
             own = _bundle([_pack(np.array([distinct])), _pack(often.astype(np.uint64), 8), saved.astype("<f8").tobytes(), _pack(nexts)])
-            return _table([(b, part, level, t, k) for b, t, k in out] + [(-1, part, level, own, b"")], arrow)
+            return _table([(b, part, t, k) for b, t, k in out] + [(-1, part, own, b"")], arrow)
 
         answers = written(requests.repartition(self.parts, "part").groupBy("part").applyInArrow(run, ANSWER), "answers")
         said = [_unbundle(bytes(r.totals)) for r in answers.filter("block < 0").select("totals").toLocalIterator()]
-        self.answers.append(answers)
+        if self.answers is not None:
+            drop_path(self.spark, self.answers._scratch_path)
+        self.answers, self.level = answers, level + 1
         if level == 0:
             self.distinct = sum(int(_unpack(s[0])[0]) for s in said)
         contexts = np.concatenate([_unpack(s[1]) for s in said]) if said else np.zeros(0, np.uint64)
         found, owner = np.unique(contexts, return_inverse=True)
         saved, nexts = (np.bincount(owner, np.concatenate(x)) if len(found) else np.zeros(0) for x in ([np.frombuffer(s[2], "<f8") for s in said], [_unpack(s[3]) for s in said]))
-        self.hot.append((found[saved >= self.divergence], nexts[saved >= self.divergence].astype(np.int64)))
+        self.hot = (found[saved >= self.divergence], nexts[saved >= self.divergence].astype(np.int64))
 
     def scores(self) -> DataFrame:
         tokens = self.tokens
@@ -320,7 +338,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str = "doc_id", depth: int = 3, least_word: int = 2, least: int = 1000, divergence: float = 0.02, discount: float = 0.75) -> DataFrame:
+def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str = "doc_id", depth: int = 3, least: int = 2, divergence: float = 0.02, discount: float = 0.75) -> DataFrame:
     """Scores of all whole texts under a tree that is fitted to those where ``in_training`` holds.
 
     Returns doc_id, in_training, n_tokens, n_known, train_tokens, base_score
@@ -333,8 +351,8 @@ def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str
     ``in_training`` counts as false; ids are whole numbers or null; other
     columns are not read.
 
-    ``depth``: words of the longest context; ``least_word`` and ``least`` (2 at
-    least), ``divergence`` and ``discount`` (between 0 and 1): see above.
+    ``depth``: words of the longest context; ``least`` (2 at least),
+    ``divergence`` and ``discount`` (between 0 and 1): see above.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "suffix-tree")
@@ -353,10 +371,10 @@ def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str
         yield writer.close()
 
     manifest = written(map_rows(narrow, blocks, "block long, size long, training long"), "suffix-tree-blocks")
-    levels = _Levels(spark, folder, manifest, (least_word, least), discount, divergence)
-    for level in range(depth + 1):
-        levels.exchange(level)
+    levels = _Levels(spark, folder, manifest, depth, least, discount, divergence)
+    for _ in range(depth + 1):
+        levels.exchange()
     out = written(levels.scores(), "suffix-tree-scores")
-    for path in [folder, manifest._scratch_path, *(a._scratch_path for a in levels.answers)]:
+    for path in [folder, manifest._scratch_path, levels.answers._scratch_path]:
         drop_path(spark, path)
     return out

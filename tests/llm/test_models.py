@@ -290,7 +290,7 @@ def test_suffix_tree(spark, texts):
     training = common.crc32_of_id(F.col("doc_id")) % 10 != 0
     train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(every))]
     counts, n, base = _base(every, train)
-    got = {r.doc_id: r for r in suffix_tree.score(df, training, least_word=5, least=5).collect()}
+    got = {r.doc_id: r for r in suffix_tree.score(df, training, least=5).collect()}
     assert len(got) == len(every) + 1
     for i, t in enumerate(every):
         r, ws = got[i], [*(t or "").encode().lower().split(), b"\n"]
@@ -325,7 +325,7 @@ def _tree_scores(texts, train, depth, least, divergence, discount):
     for context in sorted((c for c in nexts if c), key=len):
         c = nexts[context]
         total = sum(c.values())
-        if total < least[len(context) > 1]:
+        if total < least:
             continue
         saved = 0.0
         for w, m in c.items():
@@ -345,10 +345,10 @@ def test_suffix_tree_against_brute_force(spark, texts, monkeypatch, crowded):
     if crowded:
         monkeypatch.setattr(suffix_tree, "BLOCK", 2000)
         monkeypatch.setattr(suffix_tree, "PART", 500)
-    wanted, states = _tree_scores(every, train, 3, (3, 4), 0.02, 0.75)
+    wanted, states = _tree_scores(every, train, 3, 4, 0.02, 0.75)
     assert {len(c) for c in states} == {1, 2, 3}
     df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
-    got = {r.doc_id: r.score for r in suffix_tree.score(df, common.crc32_of_id(F.col("doc_id")) % 10 != 0, depth=3, least_word=3, least=4).collect()}
+    got = {r.doc_id: r.score for r in suffix_tree.score(df, common.crc32_of_id(F.col("doc_id")) % 10 != 0, depth=3, least=4).collect()}
     assert [got[i] for i in range(len(every))] == pytest.approx(wanted, rel=1e-9)
 
 
@@ -369,7 +369,7 @@ def _one_block(words):
         tokens.append((tokens[-1] * 5 + int(g.integers(0, 12))) % 60)
     tokens = np.array([*tokens, 60], np.uint64)
     data = suffix_tree._bundle([suffix_tree._pack(x, w) for x, w in ((np.array([7]), 8), (np.array([1]), 0), (np.array([1]), 0), (np.array([len(tokens)]), 0), (words, 8), (tokens, 0))])
-    block = suffix_tree._Block(data, 3, (4, 4), 0.75)
+    block = suffix_tree._Block(data, 3, 4, 0.75)
     for level in range(2):
         answers, hot, distinct = [], [], 0
         for _, request in sorted(block.ask()):
@@ -379,13 +379,13 @@ def _one_block(words):
             distinct += seen
         found, owner = np.unique(np.concatenate([h[0] for h in hot]).astype(np.uint64), return_inverse=True)
         nexts = np.bincount(owner, np.concatenate([h[2] for h in hot])) if len(found) else np.zeros(0)
-        block.take(answers, (found, nexts.astype(np.int64)), len(tokens), 61)
+        block.take(*block.told(answers, (found, nexts.astype(np.int64))), len(tokens), 61)
     return block.rows(len(tokens))[0][-1]
 
 
 def test_suffix_tree_beats_single_words_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = suffix_tree.score(docs, common.crc32_of_id(F.col("doc_id")) % 10 != 0, least=50).filter("not in_training").collect()
+    rows = suffix_tree.score(docs, common.crc32_of_id(F.col("doc_id")) % 10 != 0).filter("not in_training").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) and np.mean([r.score > r.base_score for r in rows]) > 0.9
 
 
