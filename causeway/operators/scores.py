@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from causeway.functions.statistics import known
 from causeway.operators.independence import ChiSquare
-from causeway.operators.moments import Covariance
+from causeway.operators.moments import Covariance, covariance_matrix
+from causeway.operators.regression import logistic
 from causeway.operators.tables import kind
 
 
@@ -222,6 +223,27 @@ class MixedPolynomial(Score):
         return 2 * ll - self.penalty * dof * np.log(max(total, 2))
 
 
+class MixedBic(Score):
+    """Logistic BIC of a discrete variable and linear BIC of a continuous one; discrete parents count by their codes (places in sorted order)."""
+
+    def __init__(self, df: DataFrame, columns: list[str], penalty: float = 4.0) -> None:
+        super().__init__(columns)
+        rows = df.select(*columns).dropna()
+        # A row for each category; the classes of the logistic regressions, so few.
+        self.categories = {c: sorted(r[0] for r in rows.select(c).distinct().collect()) for c in columns if kind(df, c) == "discrete"}
+        codes = {c: F.array_position(F.array(*[F.lit(v) for v in vs]), F.col(c)) - 1 for c, vs in self.categories.items()}
+        self.df = rows.select(*[codes.get(c, F.col(c)).cast("double").alias(c) for c in columns])
+        self.penalty, self.cov = penalty, covariance_matrix(self.df, columns)
+
+    def compute(self, i, parents):
+        name, n = self.names[i], self.cov.n
+        if name not in self.categories:
+            return sem_bic(self.cov, i, list(parents), self.penalty)
+        classes = len(self.categories[name])
+        ll = logistic(self.df, name, [self.names[p] for p in parents]).log_likelihood if classes > 1 else 0.0
+        return 2 * ll - self.penalty * (classes - 1) * (len(parents) + 1) * np.log(n)
+
+
 class GraphScore(Score):
     """Oracle from a known graph: an edge gains 1 where the two are d-connected given the parents, else loses 1."""
 

@@ -85,6 +85,13 @@ def simulate(spark: SparkSession, net: BayesNet, n: int, seed: int) -> DataFrame
     return out.select(ROW, *net.graph.nodes)
 
 
+def distance(a: BayesNet, b: BayesNet) -> float:
+    """Euclidean distance between the tables of two nets with the same graph and categories."""
+    if set(a.graph.edges()) != set(b.graph.edges()) or a.categories != b.categories:
+        raise ValueError("the nets differ in graph or categories")
+    return float(np.sqrt(sum(((a.tables[n] - b.tables[n]) ** 2).sum() for n in a.graph.nodes)))
+
+
 def log_likelihood(df: DataFrame, net: BayesNet) -> float:
     """Of a table, from one count for each node."""
     total = 0.0

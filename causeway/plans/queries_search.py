@@ -319,6 +319,21 @@ def bayes_net(spark, sf):
     return spark.createDataFrame([(str(c), round(float(v), 9)) for c, v in zip(net.categories["l_returnflag"], p)], "category string, probability double")
 
 
+_HALF = "(select count(*) from d where d.h = hs.h"
+
+
+@query(f"""
+with d as (select l_returnflag f, l_linestatus s, l_orderkey % 2 h from lineitem), fs as (select distinct f from d), ss as (select distinct s from d), hs as (select distinct h from d), kf as (select count(*) kf from fs), ks as (select count(*) ks from ss),
+pf as (select h, f, ({_HALF} and d.f = fs.f) + 1)::double / ({_HALF}) + kf) as p from hs, fs, kf),
+ps as (select h, f, s, ({_HALF} and d.f = fs.f and d.s = ss.s) + 1)::double / ({_HALF} and d.f = fs.f) + ks) as p from hs, fs, ss, ks)
+select round(sqrt((select sum(pow(a.p - b.p, 2)) from pf a join pf b on a.f = b.f and a.h = 0 and b.h = 1) + (select sum(pow(a.p - b.p, 2)) from ps a join ps b on a.f = b.f and a.s = b.s and a.h = 0 and b.h = 1)), 9) as distance""")
+def bayes_distance(spark, sf):
+    """Between the nets of the rows with even and with odd order keys."""
+    df, g = table(spark, sf, "lineitem"), graphs.from_spec("l_returnflag-->l_linestatus")
+    even, odd = (bayes.estimate(df.filter(F.col("l_orderkey") % 2 == k), g, 1.0) for k in (0, 1))
+    return spark.createDataFrame([(round(bayes.distance(even, odd), 9),)], "distance double")
+
+
 @query()
 def algorithm_comparison(spark, sf):
     def draw(run: int):

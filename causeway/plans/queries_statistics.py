@@ -329,6 +329,24 @@ def conditional_gaussian_scores(spark, sf):
     return spark.createDataFrame([(s.names[i], ",".join(s.names[j] for j in p), round(float(s.local(i, p)), 3)) for i, p in ((0, []), (0, [1]), (0, [2]), (1, [0, 2]), (2, [0]))], "child string, parents string, score double")
 
 
+def _mixed_bic_sql(steps: int = 6) -> str:
+    """SQL of linear BICs, and of logistic ones by Newton's method with one regressor."""
+    out = ["with v as (select l_quantity / 10 as q, (l_linestatus = (select max(l_linestatus) from lineitem))::int as y from lineitem), b0 as (select 0.0::double as c0, 0.0::double as c1)"]
+    for k in range(steps):
+        out.append(f"h{k} as (select any_value(c0) c0, any_value(c1) c1, sum(y - p) g0, sum((y - p) * q) g1, sum(p * (1 - p)) h00, sum(p * (1 - p) * q) h01, sum(p * (1 - p) * q * q) h11 from (select q, y, c0, c1, 1 / (1 + exp(-(c0 + c1 * q))) as p from v, b{k}))")
+        out.append(f"b{k + 1} as (select c0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) as c0, c1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) as c1 from h{k})")
+    out.append(f"fit as (select sum(ln(1 / (1 + exp(-(2 * y - 1) * (c0 + c1 * q))))) as ll from v, b{steps}), none as (select sum(n * ln(n / t)) as ll from (select count(*)::double as n, sum(count(*)) over () as t from v group by y))")
+    out.append("n as (select count(*)::double as n, var_samp(l_quantity) as v, var_samp(l_quantity) - covar_samp(l_quantity, l_extendedprice) ** 2 / var_samp(l_extendedprice) as r from lineitem)")
+    rows = [("l_quantity", "", "-n * ln(v * n / (n - 1)) - 4 * ln(n)", "n"), ("l_quantity", "l_extendedprice", "-n * ln(r * n / (n - 3)) - 12 * ln(n)", "n"), ("l_linestatus", "", "2 * ll - 4 * ln(n)", "none, n"), ("l_linestatus", "l_quantity", "2 * ll - 8 * ln(n)", "fit, n")]
+    return ", ".join(out) + " " + " union all ".join(f"select '{c}' as child, '{p}' as parent, round({e}, 2) as score from {t}" for c, p, e, t in rows)
+
+
+@query(_mixed_bic_sql())
+def mixed_bic_scores(spark, sf):
+    s = scores.MixedBic(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_linestatus"])
+    return spark.createDataFrame([(s.names[i], "".join(s.names[j] for j in p), round(s.local(i, p), 2)) for i, p in ((0, []), (0, [1]), (2, []), (2, [0]))], "child string, parent string, score double")
+
+
 @query()
 def distribution_functions(spark, sf):
     """Every distribution function on a grid of arguments."""
