@@ -69,4 +69,30 @@ n as (select r, max(struct_pack(depth := len(string_split(h.dir, '/')), path :=
 select p.doc_id, path, own_license, score, n.license as inherited_license, n.path as inherited_from, coalesce(own_license, n.license) as license from p left join n on n.r = p.r"""
 
 
+ORACLE_SQL["op11_top_k"] = """
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as w from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.r as q, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda x: coalesce(x[1] * x[2], 0)))::bigint as score from v q join v c on q.r <> c.r where q.vec_id % 50 = 0)
+select query_id, rank, vec_id, score from (select query_id, vec_id, score, row_number() over (partition by q order by score desc, vec_id)::int as rank from p) where rank <= 5"""
+
+#: A bucket is a CRC-32, for which DuckDB has no function: a byte at a time from a table of 256.
+ORACLE_SQL["op13_resampling"] = """
+with recursive k as (select i, 0 as step, i::ubigint as c from range(256) t(i) union all select i, step + 1, case when c % 2 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end from k where step < 8),
+crc as (select list(c order by i) as table_ from k where step = 8),
+d as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+b as (select list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from benchmark),
+fd as (select r, unnest(w) as f from d union all select r, w[i] || ' ' || w[i + 1] from (select r, w, unnest(range(1, len(w))) as i from d)),
+fb as (select unnest(w) as f from b union all select w[i] || ' ' || w[i + 1] from (select w, unnest(range(1, len(w))) as i from b)),
+h as (select f, hex(encode(f)) as x from (select f from fd union select f from fb)),
+n as (select f, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::ubigint)), lambda c, y: xor(c >> 8, table_[(xor(c, y) & 255)::int + 1])), 4294967295::ubigint) % 10000 as bucket from h, crc),
+s as (select bucket, count(*) as s from fd join n using (f) group by bucket),
+t as (select bucket, count(*) as t from fb join n using (f) group by bucket),
+size as (select (select count(*) from fd) as s_all, (select count(*) from fb) as t_all),
+gain as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (s_all + 10000) / ((coalesce(s, 0) + 1) * (t_all + 10000))::double))::bigint as gain from s left join t using (bucket), size),
+w as (select r, count(*) as n_features, floor(sum(gain) / count(*))::bigint as weight from fd join n using (f) join gain using (bucket) group by r),
+x as (select d.r, doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296.0::double)))::bigint as score from d left join w on w.r = d.r),
+o as (select r, row_number() over (order by score desc, doc_id) as rank from x where n_words >= 20)
+select doc_id, n_features, weight, score, case when rank <= 25 * (select count(*) from o) // 100 then rank end as rank from x left join o on o.r = x.r"""
+
+
 ORACLE_SQL["op10_license_scan"] = _license_sql()

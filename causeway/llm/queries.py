@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import byte_bpe, common, decontaminate, licenses, line_dedup, quality_classifier, quality_rules, simhash, suffix_tree, url_filter, wavelet
+from causeway.llm import alignment, byte_bpe, common, decontaminate, licenses, line_dedup, quality_classifier, quality_rules, resampling, simhash, suffix_tree, topk, url_filter, wavelet
 from causeway.llm.oracles import ORACLE_SQL  # noqa: F401
 
 #: The end id that follows each document in operator 2's files.
@@ -87,6 +87,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files).drop("text")
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest_of = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep={"groups_sha256": digest_of})
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.draw(resampling.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))).drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_wavelet_shards, op3_simhash_near_dedup, op4_url_filter, op5_quality_classifier, op6_line_dedup, op7_suffix_tree_lm, op8_byte_bpe, op9_decontaminate, op10_license_scan)
+    f.__name__: f for f in (op1_quality_rules, op2_wavelet_shards, op3_simhash_near_dedup, op4_url_filter, op5_quality_classifier, op6_line_dedup, op7_suffix_tree_lm, op8_byte_bpe, op9_decontaminate, op10_license_scan, op11_top_k, op12_token_alignment, op13_resampling)
 }
