@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from causeway.functions import distributions
 from causeway.operators import independence, moments, preparation, scores
 from causeway.operators.ordering import with_row_number
-from causeway.plans import bayes, compare, graphs, nongaussian, search, sem, simulate, stability
+from causeway.plans import bayes, compare, graphs, mixed, nongaussian, search, sem, simulate, stability
 from causeway.plans.catalog import query, table
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -273,13 +273,56 @@ def stability_selection(spark, sf):
     return stability.stars(preparation.subsample(data, 200, 3, 6), names, find, [0.0001, 0.001, 0.01, 0.1])[1]
 
 
+#: Columns of the line items for mixed models: the ship date as a time, whether the order is filled as its event.
+MIXED = {"a": "l_quantity / 14", "b": "l_quantity / 14 + l_extendedprice / 28000", "c": "l_tax", "d": "l_returnflag", "e": "case when l_quantity > 25 or l_discount > 0.08 then 'many' else 'few' end", "time": "datediff(l_shipdate, date '1992-01-01')", "event": "case when l_linenumber <= 4 then 1 else 0 end"}
+
+
+def _mixed(spark, sf):
+    return table(spark, sf, "lineitem").selectExpr(*[f"{e} as {c}" for c, e in MIXED.items()])
+
+
+def _pair_rows(spark, model):
+    return spark.createDataFrame([(x.a, x.b, x.kind, round(model.norm(x), 4), model.norm(x) > 0) for x in model.pairs], "n1 string, n2 string, kind string, strength double, present boolean")
+
+
 @query()
 def mixed_model(spark, sf):
-    g = simulate.random_forward(6, 6, 2)
-    data = simulate.simulate_mixed(spark, g, 1000, 9)
-    pdf = data.drop("_row").toPandas()
-    discrete = [c for c in pdf.columns if str(pdf[c].dtype).startswith("int")]
-    return _frame(spark, stability.mixed_graphical_model(pdf, discrete, (0.1, 0.1, 0.1)).graph(1e-3))
+    """Pairs of a mixed graphical model over all line items."""
+    return _pair_rows(spark, mixed.fit(_mixed(spark, sf), ["a", "b", "c"], ["d", "e"], None, {"cc": 0.1, "cd": 0.1, "dd": 0.1}))
+
+
+@query()
+def survival_mixed_model(spark, sf):
+    """The same with the time to shipping as a right-censored column."""
+    return _pair_rows(spark, mixed.fit(_mixed(spark, sf), ["a", "b", "c"], ["d", "e"], [mixed.Survival("s", "time", "event")], {k: 0.1 for k in mixed.KINDS}))
+
+
+def _entry_sql() -> str:
+    """SQL: slopes of the loss at the model without pairs, whose columns each stand by themselves."""
+    dates = "date_diff('day', date '1992-01-01', l_shipdate)"
+    own = ", ".join(f"{dates if c == 'time' else e} as {c}" for c, e in MIXED.items())
+    numbers, kinds = ["a", "b", "c"], ["d", "e"]
+    pairs = lambda x, y: [(p, q) for p in x for q in y if p < q]
+    cc = " union all ".join(f"select '{x}' as n1, '{y}' as n2, 'cc' as kind, abs(2 * avg({x} * {y})) as v from z" for x, y in pairs(numbers, numbers))
+    cd = " union all ".join(f"select '{x}', '{y}', 'cd', sqrt(sum(g * g)) / any_value(w) from (select {y}, 2 * sum({x}) / any_value(n) as g from z, k group by {y}), w{y}" for x in numbers for y in kinds)
+    dd = " union all ".join(f"select '{x}', '{y}', 'dd', sqrt(sum(pow(2 * (p{x}.p * p{y}.p - coalesce(j.p, 0)), 2))) / any_value(w{x}.w * w{y}.w) from p{x} cross join p{y} left join (select {x}, {y}, count(*) / any_value(n)::double as p from z, k group by {x}, {y}) j on j.{x} = p{x}.{x} and j.{y} = p{y}.{y}, w{x}, w{y}" for x, y in pairs(kinds, kinds))
+    levels = " union all ".join([f"select '{x}' as n1, '' as c, time, count(*) as r, count(*) filter (where event = 1) as m, sum({x}) as s, coalesce(sum({x}) filter (where event = 1), 0) as d from z group by time" for x in numbers] + [f"select '{x}', v.v, time, count(*), count(*) filter (where event = 1), sum(({x} = v.v)::int)::double, (count(*) filter (where event = 1 and {x} = v.v))::double from z, (select distinct {x} as v from z) v group by time, v.v" for x in kinds])
+    return f"""
+with raw as (select {own} from lineitem), k as (select count(*) as n, {", ".join(f"avg({x}) as m{x}, stddev_samp({x}) as s{x}" for x in numbers)} from raw),
+z as (select {", ".join(f"({x} - m{x}) / s{x} as {x}" for x in numbers)}, d, e, time, event from raw, k),
+{", ".join(f"p{y} as (select {y}, count(*) / any_value(n)::double as p from z, k group by {y}), w{y} as (select sqrt(sum(p * (1 - p))) as w from p{y})" for y in kinds)},
+levels as ({levels}),
+risk as (select n1, c, m, d, sum(r) over (partition by n1, c order by time desc) as r, sum(s) over (partition by n1, c order by time desc) as s from levels),
+score as (select n1, c, (sum((s - l / m * d) / (r - l / m * m)) - sum(case when l = 0 then d else 0 end)) as g from (select *, unnest(range(m))::double as l from risk where m > 0) group by n1, c),
+found as ({cc} union all {cd} union all {dd} union all select n1, 's', case when n1 in ('d', 'e') then 'sd' else 'sc' end, sqrt(sum(g * g)) / (select count(*) from z where event = 1) from score group by n1)
+select n1, n2, kind, round(v, 6) as penalty from found"""
+
+
+@query(_entry_sql())
+def mixed_entry_penalties(spark, sf):
+    """For each pair the penalty below which it enters: slopes of all conditional likelihoods at the model without pairs."""
+    rows = mixed.entry_penalties(_mixed(spark, sf), ["a", "b", "c"], ["d", "e"], [mixed.Survival("s", "time", "event")])
+    return spark.createDataFrame([(a, b, kind, round(x, 6)) for a, b, kind, x in rows], "n1 string, n2 string, kind string, penalty double")
 
 
 @query(_values([(a, b, "-", ">") for a, b, *_ in simulate.random_forward(5, 5, 3).edges()], "n1, n2, end1, end2"))
