@@ -34,6 +34,8 @@ LONG = 64
 PART = 1_000_000
 #: Multiplicities gathered before they are summed by document.
 BATCH = 1 << 18
+#: Documents whose sums travel together: 2 ** 16.
+BLOCK_BITS = 16
 #: Latin letters, which every version of Unicode has as letters, and the marks at which a word ends for both vocabularies.
 LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-^`{-~"
 _CHUNKS = re.compile(f"[ \n]*[{LETTERS}]+(?=[{MARKS} \n]|\\Z)|[ \n]*[^ \n]+|[ \n]+")
@@ -246,18 +248,23 @@ def contributions(groups: DataFrame, size_a: int, size_b: int) -> DataFrame:
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
     addressed = counts.join(often, "b", "left").select("b", copies, F.lit(0).alias("kind"), "a", F.lit(0).cast("long").alias("row"), F.col("n").alias("times"))
     stream = addressed.unionByName(_sent(groups, parts)).repartition("b", "part").sortWithinPartitions("b", "part", "kind")
-    arrow = pa.schema([("row", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
+    packed = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("best", pa.binary()), ("total", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, known, most, group = np.zeros(size_a, np.int64), [], 0, None
         held, size = [], 0
 
         def summed() -> pa.RecordBatch:
+            """A row for each block of documents that the gathered contributions touch."""
             row, best, total = map(np.concatenate, zip(*held))
             order = np.argsort(row, kind="stable")
             row = row[order]
             starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            return pa.RecordBatch.from_arrays([pa.array(row[starts]), pa.array(np.add.reduceat(best[order], starts)), pa.array(np.add.reduceat(total[order], starts))], schema=arrow)
+            row, best, total = row[starts], np.add.reduceat(best[order], starts), np.add.reduceat(total[order], starts)
+            block = row >> BLOCK_BITS
+            cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+            pieces = [(int(block[i]), (row[i:j] & (1 << BLOCK_BITS) - 1).astype("<u2").tobytes(), best[i:j].tobytes(), total[i:j].tobytes()) for i, j in zip(cuts.tolist(), cuts[1:].tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces), packed)], schema=packed)
 
         for batch in batches:
             b, part, kind, a, row, times = (c.to_numpy() for c in batch.columns)
@@ -283,8 +290,31 @@ def contributions(groups: DataFrame, size_a: int, size_b: int) -> DataFrame:
         if held:
             yield summed()
 
-    found = stream.mapInArrow(rows, "row long, n_best long, count_sum long")
-    out = written(found.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum")), "alignment-sums")
+    arrow = pa.schema([("row", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, best, total, met = None, np.zeros(1 << BLOCK_BITS, np.int64), np.zeros(1 << BLOCK_BITS, np.int64), np.zeros(1 << BLOCK_BITS, bool)
+
+        def done() -> pa.RecordBatch:
+            at = np.flatnonzero(met)
+            return pa.RecordBatch.from_arrays([pa.array((block << BLOCK_BITS) + at), pa.array(best[at]), pa.array(total[at])], schema=arrow)
+
+        for batch in batches:
+            for now, docs, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != block:
+                    if block is not None:
+                        yield done()
+                    block = now
+                    best[:], total[:], met[:] = 0, 0, False
+                at = np.frombuffer(docs, "<u2")
+                best[at] += np.frombuffer(x, "<i8")
+                total[at] += np.frombuffer(y, "<i8")
+                met[at] = True
+        if block is not None:
+            yield done()
+
+    found = stream.mapInArrow(rows, "block long, docs binary, best binary, total binary").repartition("block").sortWithinPartitions("block")
+    out = written(found.mapInArrow(totals, "row long, n_best long, count_sum long"), "alignment-sums")
     drop_path(groups.sparkSession, counts._scratch_path)
     return out
 
