@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from causeway.functions import distributions
-from causeway.operators import independence, moments, preparation, scores
+from causeway.operators import delta, independence, moments, preparation, scores
 from causeway.operators.ordering import with_row_number
-from causeway.plans import bayes, compare, graphs, mixed, nongaussian, search, sem, simulate, stability
+from causeway.plans import bayes, clusters, compare, graphs, mixed, nongaussian, search, sem, simulate, stability
 from causeway.plans.catalog import query, table
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -331,6 +331,91 @@ def lingam_search(spark, sf):
     return _frame(spark, nongaussian.lingam(nongaussian.sample_rows(data, m.graph.nodes), m.graph.nodes)[0])
 
 
+#: Two factors from columns of the line items that depend on nothing: quantity, and quantity with price.
+_F, _G = "l_quantity / 14.4", "(l_quantity / 28.8 + l_extendedprice / 28000)"
+_NOISE = ["l_discount / 0.04", "l_tax / 0.033", "l_linenumber / 2.5", "dayofmonth(l_shipdate) / 11.0", "month(l_shipdate) / 4.3", "(l_partkey % 100) / 36.0", "(l_orderkey % 50) / 18.0", "(l_suppkey % 10) / 3.6"]
+#: Four indicators of each factor; in the second table six of both at once, and two of neither.
+ONE_EACH = {f"x{k + 1}": f"{1 + k % 4 / 10} * {_F if k < 4 else _G} + {z}" for k, z in enumerate(_NOISE)}
+OF_BOTH = {f"y{k + 1}": f"{[1, 1.2, 0.8, 0.3, 0.4, 0.2][k]} * {_F} + {[0.3, 0.2, 0.5, 1, 1.2, 0.9][k]} * l_extendedprice / 28000 + {z}" if k < 6 else z for k, z in enumerate(_NOISE)}
+
+
+def _delta(spark, sf, columns):
+    return delta.from_table(_columns(spark, sf, columns), list(columns))
+
+
+def _slopes_sql(columns: dict[str, str], cases: list[tuple[str, list[str], list[list[tuple[str, str, str]]]]]) -> str:
+    """SQL of delta tests of one or two restrictions: a label, their values, their slopes as (column, column, slope)."""
+    names = list(columns)
+    table_ = ", ".join(f"{e.replace('dayofmonth', 'day')} as {c}" for c, e in columns.items())
+    means = ", ".join(f"avg({c}) as m_{c}" for c in names)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    covs = ", ".join(f"covar_samp({a}, {b}) as s_{a}_{b}" + (f", covar_samp({a}, {b}) as s_{b}_{a}" if a != b else "") for a, b in pairs)
+    out = []
+    for label, values, slopes in cases:
+        # A row's share in a restriction: the slopes times its own products, less their mean.
+        share = [" + ".join(f"({w}) * ({a} * {b} - s_{a}_{b})" for a, b, w in each) for each in slopes]
+        mean = [" + ".join(f"({w}) * s_{a}_{b}" for a, b, w in each) for each in slopes]
+        gross = [f"({x} + {m})" for x, m in zip(share, mean)]
+        v = [[f"(avg({gross[i]} * {gross[j]}) - any_value(({mean[i]}) * ({mean[j]})))" for j in range(len(values))] for i in range(len(values))]
+        t = [f"any_value({x})" for x in values]
+        if len(values) == 1:
+            chi = f"count(*) * {t[0]} * {t[0]} / {v[0][0]}"
+        else:
+            chi = f"count(*) * ({t[0]} * {t[0]} * {v[1][1]} - 2 * {t[0]} * {t[1]} * {v[0][1]} + {t[1]} * {t[1]} * {v[0][0]}) / ({v[0][0]} * {v[1][1]} - {v[0][1]} * {v[0][1]})"
+        out.append(f"select '{label}' as restriction, round(sqrt({chi}), 4) as root, {len(values)} as degrees from c, s")
+    return f"with d as (select {table_} from lineitem), m as (select {means} from d), s as (select {covs} from d), c as (select {', '.join(f'{x} - m_{x} as {x}' for x in names)} from d, m) " + " union all ".join(out)
+
+
+def _tetrad_sql(a, b, c, d):
+    return f"s_{a}_{b} * s_{c}_{d} - s_{a}_{c} * s_{b}_{d}", [(a, b, f"s_{c}_{d}"), (c, d, f"s_{a}_{b}"), (a, c, f"-s_{b}_{d}"), (b, d, f"-s_{a}_{c}")]
+
+
+def _sextad_sql(*six):
+    x, y = six[:3], six[3:]
+    minor = lambda i, j: f"(s_{x[(i + 1) % 3]}_{y[(j + 1) % 3]} * s_{x[(i + 2) % 3]}_{y[(j + 2) % 3]} - s_{x[(i + 1) % 3]}_{y[(j + 2) % 3]} * s_{x[(i + 2) % 3]}_{y[(j + 1) % 3]})"
+    return " + ".join(f"s_{x[0]}_{y[j]} * {minor(0, j)}" for j in range(3)), [(x[i], y[j], minor(i, j)) for i in range(3) for j in range(3)]
+
+
+_TETRADS = [[("x1", "x2", "x3", "x4")], [("x1", "x2", "x5", "x6")], [("x1", "x5", "x6", "x2")], [("x1", "x2", "x3", "x4"), ("x1", "x2", "x4", "x3")], [("x1", "x2", "x5", "x6"), ("x3", "x4", "x7", "x8")]]
+_SEXTADS = [[("y1", "y2", "y3", "y4", "y5", "y6")], [("y1", "y4", "y5", "y2", "y3", "y6")], [("y1", "y2", "y3", "y4", "y5", "y6"), ("y1", "y3", "y5", "y2", "y4", "y6")]]
+
+
+def _label(names) -> str:
+    return "; ".join(" ".join(x) for x in names)
+
+
+def _delta_sql(columns, cases, of) -> str:
+    made = [[of(*x) for x in names] for names in cases]
+    return _slopes_sql(columns, [(_label(names), [v for v, _ in x], [s for _, s in x]) for names, x in zip(cases, made)])
+
+
+@query(_delta_sql(ONE_EACH, _TETRADS, _tetrad_sql))
+def delta_tetrads(spark, sf):
+    """Delta tests of tetrads within and across two planted clusters, with the fourth moments of all line items: roots of the chi-square statistics."""
+    test = _delta(spark, sf, ONE_EACH)
+    return spark.createDataFrame([(_label(names), round(float(np.sqrt(test.tetrads(*names)[0])), 4), len(names)) for names in _TETRADS], "restriction string, root double, degrees int")
+
+
+@query(_delta_sql({c: e for c, e in OF_BOTH.items() if c <= "y6"}, _SEXTADS, _sextad_sql))
+def delta_sextads(spark, sf):
+    test = _delta(spark, sf, OF_BOTH)
+    return spark.createDataFrame([(_label(names), round(float(np.sqrt(test.sextads(*names)[0])), 4), len(names)) for names in _SEXTADS], "restriction string, root double, degrees int")
+
+
+@query(_values([(k, f"x{4 * k + i}") for k in range(2) for i in range(1, 5)], "cluster, variable"))
+def pure_clusters(spark, sf):
+    """Clusters planted in the line items: four indicators of each of two correlated factors."""
+    found = clusters.build_pure_clusters(_delta(spark, sf, ONE_EACH), 0.001)
+    return spark.createDataFrame([(k, n) for k, c in enumerate(found) for n in c], "cluster int, variable string")
+
+
+@query(_values([(0, f"y{i}") for i in range(1, 7)], "cluster, variable"))
+def two_factor_clusters(spark, sf):
+    """Six indicators of the same two factors, beside two of neither."""
+    found = clusters.two_factor_clusters(_delta(spark, sf, OF_BOTH), 0.001)
+    return spark.createDataFrame([(k, n) for k, c in enumerate(found) for n in c], "cluster int, variable string")
+
+
 @query()
 def structural_model(spark, sf):
     m, _, cov = _model(spark)
