@@ -12,7 +12,9 @@ def _words(text: str) -> str:
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, {_words("coalesce(text, '')")} as w from documents),
-g as (select r, i, count(*) over (partition by r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) as n from (select r, w, unnest(range(1, len(w) - 1)) as i from d)),
+p as (select r, unnest(range(1, len(w) + 1)) as i, unnest(w) as x from d),
+t as (select r, i, x || ' ' || lead(x, 1) over (partition by r order by i) || ' ' || lead(x, 2) over (partition by r order by i) as three from p),
+g as (select r, i, count(*) over (partition by r, three) as n from t where three is not null),
 c as (select r, count(distinct p) as n_repeat_words from (select r, unnest([i, i + 1, i + 2]) as p from g where n > 1) group by r),
 l as (select r, unnest(string_split(t, chr(10))) as x from d),
 m as (select r, x, trim(x, {_BLANKS}) as y, {_words("x")} as w, length(x) - length(translate(x, '#*$%&|<>', '')) as symbols, (length(x) - length(replace(x, '!!', ''))) / 2.0 as shouts, length(x) - length(replace(x, '|', '')) as bars from l),

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.common import column, drop_path, fresh_prefix, id_column, map_rows, text_column, written
@@ -53,8 +53,8 @@ def _fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4) -> DataFrame:
-    """``(doc_id, fp)``: the signed 64-bit SimHash of each whole text's word shingles, repeats included.
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, key: str | None = None) -> DataFrame:
+    """``(doc_id, fp)``, and a string column ``key`` of ``docs`` if one is named: the signed 64-bit SimHash of each whole text's word shingles, repeats included.
 
     Words are lower-cased (A-Z).  Fewer words than a shingle: the whole
     sequence is one shingle.  Null and blank texts: 0.  Very long texts are
@@ -66,9 +66,11 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                yield [(d, _fingerprint(t, shingle)) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                d, t, *keys = (c.to_pylist() for c in part.columns)
+                yield list(zip(d, (_fingerprint(x, shingle) for x in t), *keys))
 
-    return map_rows(docs.select(id_column(docs, doc_id), text_column(docs, text)), rows, "doc_id long, fp long")
+    kept = [column(key).cast("string")] if key else []
+    return map_rows(docs.select(id_column(docs, doc_id), text_column(docs, text), *kept), rows, "doc_id long, fp long" + ", key string" * len(kept))
 
 
 def index_triples() -> list[tuple[int, int, int]]:
@@ -199,6 +201,16 @@ def linked(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     return map_rows(dealt.select("key", F.col("i").cast("long"), F.col("j").cast("long"), F.col("mine").cast("long"), "fp"), rows, "a long, b long")
 
 
+def _grouped(marked: DataFrame, least: Column, max_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written classes of equal fingerprints, ``(fp, root)`` of their components, and written ``(root, least)``: the smallest value of ``least`` in each component."""
+    classes = written(marked.groupBy("fp").agg(F.min(least).alias("least")), "classes")
+    nodes = connected_components(linked(classes.select("fp"), max_bits))
+    rooted = classes.join(nodes, classes.fp == nodes.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # Written, so that the joins on it read plain exchanges, whose large partitions Spark can split: a component may hold a third of all fingerprints.
+    roots = written(rooted.groupBy("root").agg(F.min("least").alias("least")), "roots")
+    return classes, rooted.select("fp", "root"), roots
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per document.
 
@@ -210,12 +222,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     are not read.
     """
     marked = written(fingerprints(docs, text, doc_id, shingle), "fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    nodes = connected_components(linked(classes.select("fp"), max_bits))
-    rooted = classes.join(nodes, classes.fp == nodes.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # Written, so that the join below reads plain exchanges, whose large partitions Spark can split: a component may hold a third of all fingerprints.
-    roots = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
-    labels = rooted.select("fp", "root").join(roots, "root").select("fp", "component_id")
+    classes, rooted, roots = _grouped(marked, F.col("doc_id"), max_bits)
+    labels = rooted.join(roots, "root").select("fp", F.col("least").alias("component_id"))
     out = written(marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"), "near-duplicates")
     for table in (marked, classes, roots):
         drop_path(docs.sparkSession, table._scratch_path)
@@ -223,14 +231,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest id; all its columns.
-
-    Rows that share that id count as one document, of which one row stays.
-    Rows with a null id cannot be named as a group's one document: they stay.
-    Other columns pass through whatever their names; see ``near_duplicates``
-    for odd texts and ids.
+    """``docs`` with one document of each group; all its columns.
+
+    A document is a row's id and text, so rows of one id with different texts
+    are different documents, and no group goes without its own.  Of a group
+    the document of the smallest id stays, null ids last, of equal ids the one
+    whose text has the smaller SHA-256; of rows alike in both the one whose
+    columns hash lowest.  So what stays doesn't depend on how rows are
+    partitioned.  Null and empty texts count as equal; very long texts are
+    taken whole; an empty table gives an empty result; other columns pass
+    through whatever their names.
     """
-    found, own = near_duplicates(docs, text, doc_id, shingle, max_bits), f"{fresh_prefix(docs)}keep"
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
-    with_id = docs.filter(column(doc_id).isNotNull()).join(keep, column(doc_id).cast("long") == F.col(own), "left_semi").dropDuplicates([doc_id])
-    return with_id.unionByName(docs.filter(column(doc_id).isNull()))
+    own = fresh_prefix(docs)
+    digest = F.sha2(F.coalesce(text_column(docs, text), F.lit("")).cast("binary"), 256)
+    marked = written(fingerprints(docs.withColumn(f"{own}key", digest), text, doc_id, shingle, f"{own}key"), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("key"))
+    classes, _, roots = _grouped(marked, first, max_bits)
+    keep = written(roots.select(*[F.col(f"least.{c}").alias(f"{own}{c}") for c in ("none", "id", "key")]), "one-of-each-group")
+    for table in (marked, classes, roots):
+        drop_path(docs.sparkSession, table._scratch_path)
+    given = id_column(docs, doc_id)
+    met = docs.join(keep, (digest == F.col(f"{own}key")) & (given.isNull() == F.col(f"{own}none")) & (F.coalesce(given, F.lit(0)) == F.col(f"{own}id")), "left_semi")
+    hashed = F.xxhash64(*[column(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"])
+    row = F.struct(*[column(c) for c in docs.columns])
+    alike = met.groupBy(given.alias(f"{own}id"), digest.alias(f"{own}key")).agg(F.min_by(row, hashed).alias(f"{own}row"))
+    return alike.select(*[F.col(f"{own}row")[c].alias(c) for c in docs.columns])

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import os
-import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -168,14 +167,20 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     return doc_ids, np.frombuffer(frames[2], "<u8").astype(np.int64), WaveletMatrix([np.frombuffer(f, np.uint8) for f in frames[3:]], header["zeros"], header["tokens"])
 
 
+#: Words that every version of Unicode normalizes, lowers and splits alike.
+LATIN = regex.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
 class _Encoder:
     """The ids of whole texts, from those of their words.
 
     The vocabulary's splitter drops white space and never joins what stands
     on both sides of it, so each blank-separated word is encoded on its own
     and remembered.  Capitals A-Z are lowered first, as its normalizer does.
-    New words are normalized and split here as the vocabulary file says, and
-    their pieces handed to the tokenizers library's model.  With
+    New words of ASCII and Latin-1 letters are lowered and split here as the
+    vocabulary file says, and their pieces handed to the tokenizers library's
+    model; words with any other character go to the library whole, because
+    what counts as a letter there is up to its version of Unicode.  With
     ``added_tokens``, the vocabulary's added tokens are taken out of the raw
     texts before, each as its one id.
     """
@@ -185,6 +190,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Added tokens are taken out of the texts before; within a word they are text.
+        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
         steps, parts = held["normalizer"]["normalizers"], held["pre_tokenizer"]["pretokenizers"]
@@ -218,8 +225,9 @@ class _Encoder:
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
         if not text.isascii():
-            # Lower case of each character by itself, as the library has it.
-            text = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+            if not LATIN.fullmatch(text):
+                return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            text = text.lower()
         if text.isalpha():
             return self._piece(text)
         if text[-1] in ".,;:?" and text[:-1].isalpha():

@@ -104,6 +104,22 @@ def test_wavelet_shards(spark, texts, tmp_path, monkeypatch):
     assert wavelet.read_shards(spark, str(empty)).count() == 0
 
 
+def test_wavelet_encoder_on_every_code_point():
+    """Whether a character is a letter, a number or neither is the library's to say, as are its lower case and normal form."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), wavelet._Encoder(path, True)
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}2 .{chr(c)}, E{chr(c)}" for c in range(1, 0x33480) if not 0xD800 <= c < 0xE000]
+    g = np.random.default_rng(3)
+    pool = [chr(c) for c in g.integers(0xA0, 0xD000, 500)] + [*"abcAB\u00c9\u00e9\u00df.,'!1 2\n\t"] * 20 + ["<|endoftext|>", "<|startoftext|>", "\u0130", "\u017f", "\u212a", "\ufb01", "\u0301", "a\u0300", "'s", "'LL", "\u0c5c", "\u088f"] * 10
+    texts += ["".join(g.choice(pool, int(g.integers(1, 12)))) for _ in range(5000)]
+    for i in range(0, len(texts), 10_000):
+        part = texts[i : i + 10_000]
+        wanted = library.encode_batch(part, add_special_tokens=False)
+        assert [x.tolist() for x in own.encode([t.encode() for t in part])] == [x.ids for x in wanted]
+
+
 def test_wavelet_query_knows_added_tokens(spark, tmp_path):
     """The query against the library at its defaults."""
     from tokenizers import Tokenizer
@@ -153,10 +169,26 @@ def test_simhash(spark, texts):
         assert r.fingerprint == f"{fps[i]:016x}" and r.component_id == find(i) + 1
     kept = simhash.drop_near_duplicates(df.union(df.filter("doc_id = 1")))
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == sorted({find(i) + 1 for i in range(len(every))})
-    assert kept.columns == df.columns and kept.filter("doc_id is null").count() == 1
+    alone = all(find(i) != find(len(fps) - 1) for i in range(len(fps) - 1))
+    assert kept.columns == df.columns and kept.filter("doc_id is null").count() == alone
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_no_text_is_lost_where_ids_repeat(spark, texts):
+    """Rows of one id with different texts are different documents; what stays doesn't depend on partitions."""
+    a, b, c = texts[:3]
+    rows = [(0, a, 1), (1, a, 2), (1, b, 3), (1, b, 4), (2, b, 5), (None, c, 6), (None, c, 7), (None, b, 8), (1, c + " more", 9), (3, None, 10), (3, "", 11), (4, " ", 12)]
+    found = set()
+    for n in (1, 3, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(n, "n")
+        found.add(tuple(sorted(((r.doc_id, r.text, r.n) for r in simhash.drop_near_duplicates(df).collect()), key=str)))
+    assert len(found) == 1
+    kept = found.pop()
+    assert {t for _, t, _ in kept if t and t.strip()} == {a, b, c + " more"} and len(kept) == 4
+    assert {d for d, t, _ in kept if t in (a, b)} == {0, 1} and [d for d, t, _ in kept if not t] == [3]
+    assert simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int").withColumn("m", F.create_map(F.lit("a"), "n")).withColumn("a.b", F.lit(None))).count() == 4
+
+
 def test_simhash_of_crowded_lists(spark, monkeypatch):
     """Fingerprints that differ in a few bits fill the same lists, which are dealt out in blocks."""
     g = np.random.default_rng(7)
