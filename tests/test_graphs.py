@@ -31,7 +31,8 @@ def test_searches_find_the_pattern(seed):
     wanted = graphs.dag_to_pattern(g)
     for f in (search.pc_stable, search.cpc, search.pc_max, search.pc_majority):
         assert f(DSeparation(g)) == wanted
-    assert search.fges(SemBic(_exact(g, seed, 1_000_000)), faithful=False) == wanted
+    # Enough rows for the weakest planted effect: at 1,000,000 the score of seed 2's graph has a local optimum 22 below the truth's.
+    assert search.fges(SemBic(_exact(g, seed, 100_000_000)), faithful=False) == wanted
 
 
 def test_patterns():
