@@ -1,13 +1,22 @@
-"""Searches that use non-Gaussian shape: ICA, LiNGAM, pairwise and skew orientation.  They work on bounded samples of rows."""
+"""Searches that use non-Gaussian shape: ICA, LiNGAM, cyclic models, pairwise and skew orientation.
+
+``fast_ica_table`` and ``ling`` take whole tables; ``lingam``, ``fang`` and ``orient_pairwise`` bounded samples of rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.functions.statistics import known
+from causeway.operators.moments import covariance_matrix
+from causeway.operators.scratch import drop, stored
 from causeway.operators.tables import uniform
 from causeway.plans.graphs import Graph
 
@@ -45,6 +54,102 @@ def fast_ica(x: np.ndarray, seed: int = 42, steps: int = 500, tolerance: float =
     return w @ white
 
 
+def fast_ica_table(df: DataFrame, columns: list[str], seed: int = 42, steps: int = 200, tolerance: float = 1e-6) -> np.ndarray:
+    """``fast_ica`` over all complete rows: each step is one pass of partial sums over a stored table."""
+    rows = stored(df.select(*[known(f"`{c}`").alias(f"x{i}") for i, c in enumerate(columns)]).dropna(), "ica-rows")
+    cov = covariance_matrix(rows, rows.columns)
+    row = rows.agg(*[F.avg(c).alias(c) for c in rows.columns]).first()
+    means, p = np.array([row[c] for c in rows.columns]), len(columns)
+    values, vectors = np.linalg.eigh(cov.matrix)
+    if values[0] <= 1e-12 * values[-1]:
+        raise ValueError("linearly dependent columns")
+    white = vectors @ np.diag(1 / np.sqrt(values)) @ vectors.T
+    arrow = pa.schema([("i", pa.int32()), ("v", pa.float64())])
+
+    def step(w: np.ndarray) -> np.ndarray:
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, slope = np.zeros((p, p)), np.zeros(p)
+            for b in batches:
+                z = (np.column_stack([c.to_numpy() for c in b.columns]) - means) @ white
+                t = np.tanh(z @ w.T)
+                total += t.T @ z
+                slope += (1 - t * t).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(p * p + p), pa.int32()), pa.array(np.concatenate([total.ravel(), slope]))], schema=arrow)
+
+        out = np.zeros(p * p + p)
+        for i, v in rows.mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            out[i] = v / cov.n
+        u, _, v = np.linalg.svd(out[: p * p].reshape(p, p) - np.diag(out[p * p :]) @ w)
+        return u @ v
+
+    u, _, v = np.linalg.svd(np.random.default_rng(seed).standard_normal((p, p)))
+    w = u @ v
+    for _ in range(steps):
+        new = step(w)
+        done = np.abs(np.abs((new * w).sum(1)) - 1).max() < tolerance
+        w = new
+        if done:
+            break
+    drop(rows)
+    return w @ white
+
+
+@dataclass
+class CyclicModel:
+    """One of the linear models, cyclic or not, that an unmixing matrix allows: ``coefficients[i, j]`` is the effect of j on i."""
+
+    names: list[str]
+    coefficients: np.ndarray
+    stable: bool
+
+    def edges(self) -> list[tuple[str, str, float]]:
+        i, j = np.nonzero(self.coefficients)
+        return sorted((self.names[b], self.names[a], float(self.coefficients[a, b])) for a, b in zip(i.tolist(), j.tolist()))
+
+
+def cyclic_models(unmixing: np.ndarray, names: list[str], threshold: float = 0.1) -> list[CyclicModel]:
+    """All models whose rows are those of the unmixing matrix in some order without a zero on the diagonal.
+
+    Rows are scaled to length 1; entries within ``threshold`` are zeros.  Rows
+    are then divided by their diagonal.  A model is stable if all eigenvalues
+    of its coefficients lie within the unit circle; where no two cycles meet,
+    one model at most is stable.  Stable models come first.
+    """
+    w = unmixing / np.linalg.norm(unmixing, axis=1, keepdims=True)
+    w = np.where(np.abs(w) > threshold, w, 0.0)
+    p, out = len(names), []
+
+    def place(taken: list[int]) -> None:
+        at = len(taken)
+        if at == p:
+            rows = w[taken]
+            b = np.eye(p) - rows / np.diag(rows)[:, None]
+            np.fill_diagonal(b, 0)
+            out.append(CyclicModel(list(names), b, bool(np.abs(np.linalg.eigvals(b)).max() < 1)))
+            return
+        for r in range(p):
+            if r not in taken and w[r, at] != 0:
+                place([*taken, r])
+
+    place([])
+    return sorted(out, key=lambda m: (not m.stable, float(np.abs(m.coefficients).sum())))
+
+
+def ling(df: DataFrame, columns: list[str], threshold: float = 0.1, seed: int = 42) -> list[CyclicModel]:
+    """Linear non-Gaussian models with cycles: independent components of the whole table, then all admissible orders of their rows.
+
+    Scales differ between columns, so components are taken of standardized
+    ones; coefficients are given in the columns' own units.
+    """
+    row = df.agg(*[F.stddev_samp(known(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    sizes = np.array([row[f"s{i}"] for i in range(len(columns))])
+    w = fast_ica_table(df.select(*[(known(f"`{c}`") / float(s)).alias(c) for c, s in zip(columns, sizes)]), columns, seed)
+    models = cyclic_models(w, columns, threshold)
+    for m in models:
+        m.coefficients = m.coefficients * sizes[:, None] / sizes[None, :]
+    return models
+
+
 def assignment(cost: np.ndarray) -> list[int]:
     """Hungarian method: for each row the column of the cheapest assignment."""
     n, m = cost.shape

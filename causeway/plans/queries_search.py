@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from causeway.functions import distributions
 from causeway.operators import delta, independence, moments, preparation, scores
 from causeway.operators.ordering import with_row_number
-from causeway.plans import bayes, clusters, compare, graphs, mixed, nongaussian, search, sem, simulate, stability
+from causeway.plans import bayes, clusters, compare, graphs, lofs, mixed, nongaussian, queries_statistics, search, sem, simulate, stability
 from causeway.plans.catalog import query, table
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -77,6 +77,11 @@ def _frame(spark, g):
     return spark.createDataFrame(list(g.edges()), EDGES)
 
 
+def _in_order(spark, g):
+    """Edges with their nodes in order of name."""
+    return spark.createDataFrame([(a, b, x, y) if a < b else (b, a, y, x) for a, b, x, y in g.edges()], EDGES)
+
+
 def _model(spark, nodes=8, edges=10, rows=5000, errors="normal"):
     """A linear model, and the covariance of rows drawn from it on the executors."""
     m = simulate.linear_model(simulate.random_forward(nodes, edges, 3), 4)
@@ -416,6 +421,61 @@ def two_factor_clusters(spark, sf):
     return spark.createDataFrame([(k, n) for k, c in enumerate(found) for n in c], "cluster int, variable string")
 
 
+_SKELETON = "a---c,b---c,c---d"
+
+
+@query(_values([("a", "c", "-", ">"), ("b", "c", "-", ">"), ("c", "d", "-", ">")], "n1, n2, end1, end2"))
+def lofs_parents(spark, sf):
+    """Parents by the residuals farthest from normal, among all sets of neighbours."""
+    return _in_order(spark, lofs.rule1(_columns(spark, sf, LINEAR), graphs.from_spec(_SKELETON)))
+
+
+@query(_values([("a", "c", "-", ">"), ("b", "c", "-", ">"), ("c", "d", "-", ">")], "n1, n2, end1, end2"))
+def lofs_edges(spark, sf):
+    """Each edge by both ends' residuals, over all other parents they may have."""
+    return _in_order(spark, lofs.rule2(_columns(spark, sf, LINEAR), graphs.from_spec(_SKELETON)))
+
+
+def _shape_sql() -> str:
+    forms = {"a": "a", "c": "c", "d": "d", "c | a": "c - regr_slope(c, a) over () * a", "a | c": "a - regr_slope(a, c) over () * c", "d | c": "d - regr_slope(d, c) over () * c", "c | d": "c - regr_slope(c, d) over () * d"}
+    z = queries_statistics._upper_tail("abs(z)")
+    return f"""
+with d as (select {", ".join(f"{e} as {c}" for c, e in LINEAR.items())} from lineitem), v as ({" union all ".join(f"select '{k}' as residual, {e} as v from d" for k, e in forms.items())}),
+m as (select residual, avg(v) as m, stddev_samp(v) as s, count(*)::double as n from v group by residual),
+z as (select residual, n, (v - m) / s as z, row_number() over (partition by residual order by v) as i from v join m using (residual)),
+p as (select residual, n, i, case when z < 0 then u else 1 - u end as p, case when z < 0 then 1 - u else u end as q from (select residual, n, i, z, {z} as u from z))
+select residual, round((-any_value(n) - sum((2 * i - 1) * ln(p) + (2 * (n - i) + 1) * ln(q)) / any_value(n)) * (1 + 0.75 / any_value(n) + 2.25 / (any_value(n) * any_value(n))), 4) as statistic from p group by residual"""
+
+
+@query(_shape_sql())
+def residual_shapes(spark, sf):
+    """Anderson-Darling statistics of variables and residuals, in one job."""
+    wanted = [lofs.Candidate("a"), lofs.Candidate("c"), lofs.Candidate("d"), lofs.Candidate("c", ("a",)), lofs.Candidate("a", ("c",)), lofs.Candidate("d", ("c",)), lofs.Candidate("c", ("d",))]
+    found = lofs.anderson_darling(_columns(spark, sf, LINEAR), list(LINEAR), wanted)
+    return spark.createDataFrame([(" | ".join([c.name, *c.parents]), round(found[c], 4)) for c in wanted], "residual string, statistic double")
+
+
+#: A cycle p -> q -> r -> p with an effect on s, solved for its independent columns: (1 - effects) ** -1.
+_EFFECTS = {("p", "q"): 0.8, ("q", "r"): 0.7, ("r", "p"): -0.6, ("q", "s"): 0.9}
+_OWN = ["l_quantity / 14.4", "l_extendedprice / 28000", "l_discount / 0.03", "l_tax / 0.025"]
+
+
+def _cycle() -> dict[str, str]:
+    names = ["p", "q", "r", "s"]
+    b = np.zeros((4, 4))
+    for (x, y), v in _EFFECTS.items():
+        b[names.index(y), names.index(x)] = v
+    total = np.linalg.inv(np.eye(4) - b)
+    return {n: " + ".join(f"{float(total[i, j])!r} * {z}" for j, z in enumerate(_OWN) if abs(total[i, j]) > 1e-12) for i, n in enumerate(names)}
+
+
+@query("select cause, effect, coefficient::double as coefficient from (" + _values(sorted((x, y, v) for (x, y), v in _EFFECTS.items()), "cause, effect, coefficient") + ")")
+def cyclic_model(spark, sf):
+    """The stable one of the cyclic models of columns that a planted cycle makes from the line items."""
+    found = nongaussian.ling(_columns(spark, sf, _cycle()), ["p", "q", "r", "s"])[0]
+    return spark.createDataFrame([(x, y, round(v, 1)) for x, y, v in found.edges()], "cause string, effect string, coefficient double")
+
+
 @query()
 def structural_model(spark, sf):
     m, _, cov = _model(spark)
