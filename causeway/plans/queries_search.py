@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from causeway.functions import distributions
 from causeway.operators import delta, independence, moments, preparation, scores
 from causeway.operators.ordering import with_row_number
-from causeway.plans import bayes, clusters, compare, graphs, lofs, mixed, nongaussian, queries_statistics, search, sem, simulate, stability
+from causeway.plans import bayes, clusters, compare, graphs, lofs, mixed, nongaussian, queries_statistics, ricf, search, sem, simulate, stability
 from causeway.plans.catalog import query, table
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -476,6 +476,19 @@ def cyclic_model(spark, sf):
     return spark.createDataFrame([(x, y, round(v, 1)) for x, y, v in found.edges()], "cause string, effect string, coefficient double")
 
 
+@query(f"""
+with d as (select {", ".join(f"{LINEAR[c]} as {c}" for c in "abc")} from lineitem),
+s as (select var_samp(a) as aa, var_samp(b) as bb, var_samp(c) as cc, covar_samp(a, b) as ab, covar_samp(a, c) as ac, covar_samp(b, c) as bc from d),
+r as (select *, (ac * bb - bc * ab) / (aa * bb - ab * ab) as x, (bc * aa - ac * ab) / (aa * bb - ab * ab) as y from s),
+i as (select *, x * x * aa + y * y * bb + cc - x * ac - y * bc as v from r)
+select 'a' as var_i, 'a' as var_j, round(aa, 6) as implied from i union all select 'a', 'b', 0 from i union all select 'a', 'c', round(x * aa, 6) from i union all select 'b', 'b', round(bb, 6) from i union all select 'b', 'c', round(y * bb, 6) from i union all select 'c', 'c', round(v, 6) from i""")
+def correlated_errors(spark, sf):
+    """Implied covariances of a <-> c <-> b, which says what a -> c <- b says: the SQL is that model's regression."""
+    fit = ricf.ricf(moments.covariance_matrix(_columns(spark, sf, {c: LINEAR[c] for c in "abc"}), list("abc")), graphs.from_spec("a<->c,b<->c"))
+    at = {n: i for i, n in enumerate(fit.names)}
+    return spark.createDataFrame([(a, b, round(float(fit.implied[at[a], at[b]]), 6) + 0.0) for k, a in enumerate("abc") for b in "abc"[k:]], "var_i string, var_j string, implied double")
+
+
 @query()
 def structural_model(spark, sf):
     m, _, cov = _model(spark)
