@@ -19,6 +19,7 @@ from causeway.functions.distributions import chisq_tail, normal_cdf, t_cdf
 from causeway.functions.statistics import known
 from causeway.operators.moments import Covariance, gram_matrix
 from causeway.operators.ordering import cut_points, running
+from causeway.operators.tables import categories
 
 
 @dataclass
@@ -101,7 +102,7 @@ def logistic(df: DataFrame, target: str, regressors: list[str], steps: int = 50,
     Each step is one pass that adds up gradient and Hessian task by task.
     """
     rows = df.select(F.col(f"`{target}`").alias("y"), *[known(f"`{c}`").alias(f"x{i}") for i, c in enumerate(regressors)]).dropna()
-    classes = sorted(r.y for r in rows.select("y").distinct().collect())
+    classes = categories(rows, "y")
     if len(classes) < 2:
         raise ValueError("the target has fewer than two classes")
     code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("y")) - 1
@@ -252,7 +253,7 @@ def likelihood_ratio(full: float, null: float, df_: int) -> tuple[float, float]:
 
 def dummies(df: DataFrame, column: str, least: int = 3) -> tuple[DataFrame, list[str]]:
     """Indicator columns for the categories beyond the first, where there are ``least`` categories or more; else the column's code."""
-    values = sorted(r[0] for r in df.select(F.col(f"`{column}`")).distinct().collect() if r[0] is not None)
+    values = categories(df, column)
     if len(values) < least:
         name = f"{column}MULTINOM"
         return df.withColumn(name, F.when(F.col(f"`{column}`").isNotNull(), (F.col(f"`{column}`") == F.lit(values[-1])).cast("double"))), [name]

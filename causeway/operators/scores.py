@@ -12,7 +12,7 @@ from causeway.functions.statistics import known
 from causeway.operators.independence import ChiSquare
 from causeway.operators.moments import Covariance, covariance_matrix
 from causeway.operators.regression import logistic
-from causeway.operators.tables import kind
+from causeway.operators.tables import categories, kind
 
 
 class Score:
@@ -200,7 +200,7 @@ class MixedPolynomial(Score):
         if self.kinds[i] == "continuous":
             targets = [known(self.names[i])]
         else:
-            values = sorted(r[0] for r in self.df.select(self.names[i]).distinct().collect())
+            values = categories(self.df, self.names[i])
             targets = [(F.col(self.names[i]) == F.lit(v)).cast("double") for v in values[1:]] or [F.lit(0.0)]
         x = [F.lit(1.0), *terms]
         k = len(x)

@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from causeway.operators.ordering import lagged, with_row_number
 
 ROW = "_row"
+#: Categories of a discrete column that the driver takes.
+MOST_CATEGORIES = 10_000
 
 
 def variables(df: DataFrame) -> list[str]:
@@ -149,9 +151,12 @@ def codes_to_numbers(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("double").alias(c) if c in numeric else F.col(f"`{c}`") for c in df.columns])
 
 
-def categories(df: DataFrame, column: str) -> list:
-    """Distinct values in ascending order."""
-    return sorted(r[0] for r in df.select(F.col(f"`{column}`")).distinct().collect() if r[0] is not None)
+def categories(df: DataFrame, column: str, most: int = MOST_CATEGORIES) -> list:
+    """Distinct non-missing values in ascending order; a column with more than ``most`` is refused, and no more are gathered."""
+    found = df.select(F.col(f"`{column}`").alias("v")).dropna().distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} categories")
+    return sorted(r.v for r in found)
 
 
 def index_categories(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, list]]:

@@ -1,15 +1,15 @@
-"""Discrete Bayes nets: estimation from counts, drawing, and updating."""
+"""Discrete Bayes nets: estimation from counts, drawing, and updating.  ``bayes_em`` estimates with missing values."""
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.operators import tables
 from causeway.operators.moments import contingency
 from causeway.operators.tables import ROW, uniform
 from causeway.plans.graphs import Graph
@@ -49,7 +49,7 @@ def _rows(graph: Graph, categories: dict[str, list], n: str) -> int:
 
 def estimate(df: DataFrame, graph: Graph, pseudo: float = 0.0) -> BayesNet:
     """Maximum likelihood, or with a pseudo-count in each cell the mean of a Dirichlet posterior; rows without cases are uniform."""
-    categories = {n: sorted(r[0] for r in df.select(F.col(f"`{n}`")).distinct().collect() if r[0] is not None) for n in graph.nodes}
+    categories = {n: tables.categories(df, n) for n in graph.nodes}
     net = BayesNet(graph, categories, {})
     for n in graph.nodes:
         parents = graph.parents(n)
@@ -180,33 +180,6 @@ def classify(df: DataFrame, net: BayesNet, target: str) -> DataFrame:
     return scored.withColumn("predicted", best.cast("int"))
 
 
-def em(df: DataFrame, graph: Graph, categories: dict[str, int], steps: int = 50, tolerance: float = 1e-6, seed: int = 42) -> BayesNet:
-    """Maximum likelihood with missing codes: expected counts over the distinct rows, which are gathered with their multiplicities (at most ``MOST_ROWS``)."""
-    rows = df.groupBy(*graph.nodes).count().limit(MOST_ROWS + 1).collect()
-    if len(rows) > MOST_ROWS:
-        raise ValueError("too many distinct rows")
-    net = random_net(graph, 2, seed)
-    net.categories = {n: list(range(categories[n])) for n in graph.nodes}
-    g = np.random.default_rng(seed)
-    net.tables = {n: g.dirichlet(np.ones(categories[n]), _rows(graph, net.categories, n)) for n in graph.nodes}
-    for _ in range(steps):
-        counts = {n: np.zeros_like(t) for n, t in net.tables.items()}
-        for r in rows:
-            known = {n: r[n] for n in graph.nodes if r[n] is not None}
-            free = [n for n in graph.nodes if n not in known]
-            full = [{**known, **dict(zip(free, v))} for v in product(*[range(categories[n]) for n in free])]
-            p = np.array([net.probability(f) for f in full])
-            for f, w in zip(full, p / max(p.sum(), 1e-300) * r["count"]):
-                for n in graph.nodes:
-                    counts[n][net.row(n, f), f[n]] += w
-        tables = {n: np.where(c.sum(1, keepdims=True) > 0, c / np.maximum(c.sum(1, keepdims=True), 1e-300), 1 / c.shape[1]) for n, c in counts.items()}
-        moved = max(float(np.abs(tables[n] - net.tables[n]).max()) for n in graph.nodes)
-        net.tables = tables
-        if moved < tolerance:
-            break
-    return net
-
-
 def to_xml(net: BayesNet) -> str:
     root = ET.Element("bayesNet")
     for n in net.graph.nodes:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.statistics import known
+from causeway.operators import tables
 from causeway.operators.ordering import with_row_number
 from causeway.operators.scratch import drop, stored
 from causeway.plans.graphs import TAIL, Graph
@@ -158,13 +159,6 @@ class _Data:
     deviations: dict[str, float]
 
 
-def _categories(df: DataFrame, c: str) -> list:
-    found = df.select(F.col(f"`{c}`").alias("v")).dropna().distinct().limit(MOST_CATEGORIES + 1).collect()
-    if len(found) > MOST_CATEGORIES:
-        raise ValueError(f"{c} has more than {MOST_CATEGORIES} categories")
-    return sorted(r.v for r in found)
-
-
 def _packed(pdf: pd.DataFrame, k: int, cell: int, p: int, q: int, r: int) -> dict:
     x = pdf[[f"x{i}" for i in range(p)]].to_numpy(np.float64)
     y = pdf[[f"y{j}" for j in range(q)]].to_numpy(np.int32)
@@ -186,7 +180,7 @@ def prepare(df: DataFrame, continuous: list[str], discrete: list[str], survival:
     neither 0 nor 1.
     """
     p, q, r = len(continuous), len(discrete), len(survival)
-    categories = {c: _categories(df, c) for c in discrete}
+    categories = {c: tables.categories(df, c, MOST_CATEGORIES) for c in discrete}
     codes = [F.array_position(F.array(*map(F.lit, categories[c])), F.col(f"`{c}`")).cast("int") - 1 if categories[c] else F.lit(None).cast("int") for c in discrete]
     columns = [known(f"`{c}`").alias(f"x{i}") for i, c in enumerate(continuous)] + [F.when(c >= 0, c).alias(f"y{j}") for j, c in enumerate(codes)]
     columns += [c for k, s in enumerate(survival) for c in (known(f"`{s.time}`").alias(f"t{k}"), F.col(f"`{s.event}`").cast("int").alias(f"e{k}"))]
