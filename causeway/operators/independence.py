@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.distributions import chisq_quantile, chisq_tail, gamma_cdf, normal_cdf, t_cdf
-from causeway.operators.moments import Covariance, covariance_matrix, contingency, partial_correlation
+from causeway.operators.count_tree import CountTree
+from causeway.operators.moments import Covariance, covariance_matrix, partial_correlation
 from causeway.operators.regression import cox, dummies, likelihood_ratio, logistic, ols
 from causeway.operators.tables import kind
 
@@ -102,25 +103,8 @@ class ChiSquare(IndependenceTest):
 
     @classmethod
     def of(cls, df: DataFrame, columns: list[str], alpha: float = 0.05, g_square: bool = False) -> ChiSquare:
-        """From a table: the counts over all columns are taken once, and summed on the driver if few, else taken for each set of columns."""
-        whole = contingency(df, columns)
-        bound = 1_000_000
-        rows = whole.limit(bound + 1).collect()
-        if len(rows) <= bound:
-            at = {c: i for i, c in enumerate(columns)}
-
-            def counts(cols: tuple[str, ...]) -> list[tuple]:
-                out: dict[tuple, int] = {}
-                for r in rows:
-                    key = tuple(r[at[c]] for c in cols)
-                    out[key] = out.get(key, 0) + r[-1]
-                return [(*k, n) for k, n in out.items()]
-        else:
-
-            def counts(cols: tuple[str, ...]) -> list[tuple]:
-                return [tuple(r) for r in contingency(df, list(cols)).collect()]
-
-        return cls(columns, counts, alpha, g_square)
+        """From a table: one pass for a tree of counts, which answers for every set of columns."""
+        return cls(columns, CountTree(df, columns).counts, alpha, g_square)
 
     def statistic(self, x: str, y: str, z: list[str]) -> tuple[float, int]:
         strata: dict[tuple, dict[tuple, int]] = {}

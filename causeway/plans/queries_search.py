@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from causeway.functions import distributions
+from causeway.operators import count_tree as count_trees
 from causeway.operators import delta, independence, moments, preparation, scores, tables
 from causeway.operators.ordering import with_row_number
 from causeway.plans import bayes, bayes_em, clusters, compare, graphs, lofs, mixed, nongaussian, queries_statistics, ricf, search, sem, simulate, stability
@@ -489,6 +490,17 @@ def correlated_errors(spark, sf):
     return spark.createDataFrame([(a, b, round(float(fit.implied[at[a], at[b]]), 6) + 0.0) for k, a in enumerate("abc") for b in "abc"[k:]], "var_i string, var_j string, implied double")
 
 
+_SETS = [["a"], ["a", "c"], ["b", "d"], ["a", "b", "c"], ["d", "b", "c"]]
+
+
+@query("with d as (select " + ", ".join(f"{e} as {c}" for c, e in DISCRETE.items()) + " from lineitem) " + " union all ".join(f"select '{' '.join(x)}' as columns, concat_ws(' ', {', '.join(x)}) as cell, count(*) as n from d group by {', '.join(x)}" for x in _SETS))
+def count_tree(spark, sf):
+    """Counts of sets of columns, all from one pass over the line items."""
+    with count_trees.CountTree(_columns(spark, sf, DISCRETE), list(DISCRETE)) as tree:
+        rows = [(" ".join(x), " ".join(map(str, key)), n) for x in _SETS for *key, n in tree.counts(tuple(x))]
+    return spark.createDataFrame(rows, "columns string, cell string, n long")
+
+
 #: A third of the rows that aren't returned miss their status; whether one does depends on the flag alone.
 _GAPS = "case when l_returnflag <> 'R' and l_partkey % 3 = 0 then null else l_linestatus end"
 
