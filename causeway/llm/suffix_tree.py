@@ -39,8 +39,11 @@ END = b"\n"
 BLOCK, PART = 1 << 21, 1 << 21
 #: Occurrences of a context whose continuations go to one part; those of a more frequent one are dealt to several.
 HOT = 1 << 23
-#: Bits by which a part knows a continuation within its context.
+#: Bits by which a part knows a continuation within its context, of which the pieces of a frequent context share none:
+#: two of a context's next tokens in one part are taken for one with a probability of 2 ** -40.
 LOW = np.uint64((1 << 40) - 1)
+#: Next tokens of frequent contexts in one row.
+SENT = 1 << 18
 ANSWER = "block long, part int, totals binary, states binary"
 
 _squeeze, _expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -125,9 +128,9 @@ class _Writer:
 class _Block:
     """A block of texts, and what is known of its tokens so far."""
 
-    def __init__(self, data: bytes, parts: int, least: int, discount: float) -> None:
+    def __init__(self, data: bytes, parts: int, least: int, discount: float, frequent: int = HOT) -> None:
         docs, known, training, lengths, self.words, tokens = map(_unpack, _unbundle(data))
-        self.parts, self.least, self.discount = parts, least, discount
+        self.parts, self.least, self.discount, self.frequent = parts, least, discount, frequent
         self.docs = [d if k else None for d, k in zip(docs.view("<i8").tolist(), known.tolist())]
         self.training, self.lengths, self.tokens = training.astype(bool), lengths.astype(np.int64), tokens.astype(np.int64)
         self.ends = np.cumsum(self.lengths) - 1  # places of the ends of texts
@@ -149,7 +152,7 @@ class _Block:
             gram = self.gram = self.grams()
             _, self.first, self.entry = np.unique(gram, return_index=True, return_inverse=True)
             context = self.context[self.first]
-            pieces = -(-self.n[self.first] // HOT)
+            pieces = -(-self.n[self.first] // self.frequent)
             piece = gram[self.first] % pieces.astype(np.uint64) if pieces.max(initial=1) > 1 else np.uint64(0)
             part = _mixed(context, piece) % np.uint64(self.parts)
             order = np.argsort(context, kind="stable")
@@ -191,7 +194,7 @@ class _Block:
         nexts = np.concatenate([_unpack(k) for _, k in answers]).astype(np.int64)[self.head][self.back][self.entry] if answers else none
         if len(hot[0]):
             place = np.minimum(np.searchsorted(hot[0], self.context), len(hot[0]) - 1)
-            nexts = np.where((hot[0][place] == self.context) & (self.n > HOT), hot[1][place], nexts)
+            nexts = np.where((hot[0][place] == self.context) & (self.n > self.frequent), hot[1][place], nexts)
         return counts[self.entry], nexts
 
     def take(self, counts: np.ndarray, nexts: np.ndarray, tokens: int, distinct: int) -> None:
@@ -219,15 +222,21 @@ class _Block:
         return list(zip(self.docs, self.training.tolist(), self.lengths.tolist(), total(self.seen.astype(np.int64)).tolist(), [tokens] * len(start), total(self.base).tolist(), total(np.log10(self.p)).tolist()))
 
 
-def _add_up(blocks: list[int], requests: list[bytes], level: int, discount: float, divergence: float) -> tuple[list[tuple[int, bytes, bytes]], int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Answers to the requests of one part, its number of distinct tokens (level 0), and frequent contexts with their savings and next tokens here."""
+def _saved(total, every, n, q, discount: float):
+    """What coding a next token's occurrences by its context saves, each left out in turn: nats, for arrays.  ``every``: the context's distinct next tokens."""
+    left = np.maximum(total - 1 - discount, 0) + discount * (every - (total == 1)) * q
+    return np.where(total > 0, total * np.log(np.maximum(left, 1e-300) / (np.maximum(n - 1, 1) * q)), 0.0)
+
+
+def _add_up(blocks: list[int], requests: list[bytes], level: int, discount: float, divergence: float, frequent: int = HOT) -> tuple[list[tuple[int, bytes, bytes]], int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Answers to the requests of one part, its number of distinct tokens (level 0), and the next tokens of frequent contexts here: context, its occurrences, the token's occurrences and its probability before."""
     held = [list(map(_unpack, _unbundle(r))) for r in requests]
     if level == 0:
         keys, counts = (np.concatenate([h[k] for h in held]) for k in range(2))
         distinct, entry = np.unique(keys, return_inverse=True)
         total = np.bincount(entry, counts).astype(np.int64)
         ends = np.cumsum([len(h[0]) for h in held])
-        return [(b, _pack(total[entry[e - len(h[0]) : e]]), b"") for b, h, e in zip(blocks, held, ends.tolist())], int((total > 0).sum()), (np.zeros(0), np.zeros(0), np.zeros(0))
+        return [(b, _pack(total[entry[e - len(h[0]) : e]]), b"") for b, h, e in zip(blocks, held, ends.tolist())], int((total > 0).sum()), (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     sizes = [h[1].astype(np.int64) for h in held]
     context = np.concatenate([np.repeat(h[0], s) for h, s in zip(held, sizes)])
     n_of = np.concatenate([np.repeat(h[2], s) for h, s in zip(held, sizes)]).astype(np.int64)
@@ -237,26 +246,24 @@ def _add_up(blocks: list[int], requests: list[bytes], level: int, discount: floa
     q, n = 10.0 ** (-parent[first].astype(float) / 1000), n_of[first]
     contexts, one, owner = np.unique(context[first], return_index=True, return_inverse=True)
     nexts = np.bincount(owner, total > 0)
-    often = n[one] > HOT
-    # A frequent context's next tokens are dealt evenly: here are as many as in each other piece.
-    every = (nexts * np.where(often, -(-n[one] // HOT), 1))[owner]
-    left = np.maximum(total - 1 - discount, 0) + discount * (every - (total == 1)) * q
-    saved = np.bincount(owner, np.where(total > 0, total * np.log(np.maximum(left, 1e-300) / (np.maximum(n - 1, 1) * q)), 0.0))
-    n = n[one]
-    states = np.where(~often & (saved >= divergence * n), nexts, 0)
+    # The next tokens of a frequent context lie in several parts; whether it is a state is found from all of them.
+    often = n[one] > frequent
+    saved = np.bincount(owner, _saved(total, nexts[owner], n, q, discount))
+    states = np.where(~often & (saved >= divergence * n[one]), nexts, 0)
+    hot = often[owner] & (total > 0)
     out, at = [], 0
     for b, h, s in zip(blocks, held, sizes):
         size = int(s.sum())
         out.append((b, _pack(total[entry[at : at + size]]), _pack(states[np.searchsorted(contexts, h[0])])))
         at += size
-    return out, 0, (contexts[often], saved[often] / n[often], nexts[often])
+    return out, 0, (contexts[owner[hot]], n[hot], total[hot].astype(np.int64), q[hot])
 
 
 class _Levels:
     """Runs the exchange of requests and answers level by level."""
 
-    def __init__(self, spark: SparkSession, folder: str, manifest: DataFrame, depth: int, least: int, discount: float, divergence: float) -> None:
-        self.spark, self.folder, self.depth, self.least, self.discount, self.divergence = spark, folder, depth, max(2, least), discount, divergence
+    def __init__(self, spark: SparkSession, folder: str, manifest: DataFrame, depth: int, least: int, discount: float, divergence: float, frequent: int) -> None:
+        self.spark, self.folder, self.depth, self.least, self.discount, self.divergence, self.frequent = spark, folder, depth, max(2, least), discount, divergence, frequent
         self.manifest = manifest
         size, self.tokens, self.blocks = (int(x or 0) for x in manifest.agg(F.sum("size"), F.sum("training"), F.count("*")).first())
         self.tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.blocks)
@@ -265,7 +272,7 @@ class _Levels:
 
     def _opened(self, block: int, answers: pa.Table, level: int, hot: tuple[np.ndarray, np.ndarray] | None, tokens: int, distinct: int) -> _Block:
         """A block at ``level``: what earlier levels told it is read from its files, the last level's answers are added to them."""
-        out = _Block(get_file(self.folder, str(block)), self.parts, self.least, self.discount)
+        out = _Block(get_file(self.folder, str(block)), self.parts, self.least, self.discount, self.frequent)
         for at in range(level - 1):
             out.take(*(_unpack(x).astype(np.int64) for x in _unbundle(get_file(self.folder, f"{block}-{at}"))), tokens, distinct)
         if level:
@@ -293,33 +300,51 @@ class _Levels:
 
     def _opened_with(self):
         light = _Levels.__new__(_Levels)
-        light.folder, light.parts, light.least, light.discount, light.depth = self.folder, self.parts, self.least, self.discount, self.depth
+        light.folder, light.parts, light.least, light.discount, light.depth, light.frequent = self.folder, self.parts, self.least, self.discount, self.depth, self.frequent
         return light._opened
 
     def exchange(self) -> None:
         """Requests of all blocks for contexts of the level's number of words, and the answers."""
         level = self.level
         requests = self._by_block(lambda b, block: ((b, p, r) for p, r in block.ask()), "block long, part int, request binary")
-        discount, divergence, arrow = self.discount, self.divergence, _arrow_schema(self.spark, ANSWER)
+        discount, divergence, frequent, arrow = self.discount, self.divergence, self.frequent, _arrow_schema(self.spark, ANSWER)
 
         def run(table: pa.Table) -> pa.Table:
             part = table.column("part")[0].as_py()
-            out, distinct, (often, saved, nexts) = _add_up(table.column("block").to_pylist(), table.column("request").to_pylist(), level, discount, divergence)
-            # The part's own row: its number of distinct tokens, or the frequent contexts, their savings and their next tokens.
-            own = _bundle([_pack(np.array([distinct])), _pack(often.astype(np.uint64), 8), saved.astype("<f8").tobytes(), _pack(nexts)])
-            return _table([(b, part, t, k) for b, t, k in out] + [(-1, part, own, b"")], arrow)
+            out, distinct, (often, n, total, q) = _add_up(table.column("block").to_pylist(), table.column("request").to_pylist(), level, discount, divergence, frequent)
+            # The part's own rows: its number of distinct tokens, and the next tokens of frequent contexts.
+            own = [(-1, part, _pack(np.array([distinct, len(often)])), b"")]
+            own += [(-2, part, _bundle([_pack(x[i : i + SENT], w) for x, w in ((often, 8), (n, 0), (total, 0), (q.view(np.uint64), 8))]), b"") for i in range(0, len(often), SENT)]
+            return _table([(b, part, t, k) for b, t, k in out] + own, arrow)
 
         answers = written(requests.repartition(self.parts, "part").groupBy("part").applyInArrow(run, ANSWER), "answers")
-        said = [_unbundle(bytes(r.totals)) for r in answers.filter("block < 0").select("totals").toLocalIterator()]
+        said = [_unpack(bytes(r.totals)).tolist() for r in answers.filter("block = -1").select("totals").toLocalIterator()]
         if self.answers is not None:
             drop_path(self.spark, self.answers._scratch_path)
         self.answers, self.level = answers, level + 1
         if level == 0:
-            self.distinct = sum(int(_unpack(s[0])[0]) for s in said)
-        contexts = np.concatenate([_unpack(s[1]) for s in said]) if said else np.zeros(0, np.uint64)
-        found, owner = np.unique(contexts, return_inverse=True)
-        saved, nexts = (np.bincount(owner, np.concatenate(x)) if len(found) else np.zeros(0) for x in ([np.frombuffer(s[2], "<f8") for s in said], [_unpack(s[3]) for s in said]))
-        self.hot = (found[saved >= self.divergence], nexts[saved >= self.divergence].astype(np.int64))
+            self.distinct = sum(s[0] for s in said)
+        self.hot = self._frequent_states() if sum(s[1] for s in said) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def _frequent_states(self) -> tuple[np.ndarray, np.ndarray]:
+        """States among the frequent contexts and their numbers of next tokens: first all next tokens are counted, then what each saves is summed."""
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+            for batch in batches:
+                for x in batch.column(0).to_pylist():
+                    context, n, total, q = map(_unpack, _unbundle(x))
+                    yield list(zip(context.view("<i8").tolist(), n.astype(np.int64).tolist(), total.astype(np.int64).tolist(), q.view("<f8").tolist()))
+
+        tokens = map_rows(self.answers.filter("block = -2").select("totals"), rows, "context long, n long, total long, q double")
+        # A row for each frequent context: one for every ``frequent`` tokens of the corpus and length at most.
+        every = tokens.groupBy("context").agg(F.count("*").alias("every"))
+        d, total, q = self.discount, F.col("total"), F.col("q")
+        left = F.greatest(total - 1 - d, F.lit(0)) + d * (F.col("every") - (total == 1).cast("int")) * q
+        saved = F.sum(total * F.log(F.greatest(left, F.lit(1e-300)) / (F.greatest(F.col("n") - 1, F.lit(1)) * q)))
+        found = tokens.join(every, "context").groupBy("context").agg(saved.alias("saved"), F.max("n").alias("n"), F.max("every").alias("every")).filter(F.col("saved") >= self.divergence * F.col("n")).select("context", "every").collect()
+        contexts = np.array([r.context for r in found], "<i8").view(np.uint64)
+        order = np.argsort(contexts)
+        return contexts[order], np.array([r.every for r in found], np.int64)[order]
 
     def scores(self) -> DataFrame:
         tokens = self.tokens
@@ -338,7 +363,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str = "doc_id", depth: int = 3, least: int = 2, divergence: float = 0.02, discount: float = 0.75) -> DataFrame:
+def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str = "doc_id", depth: int = 3, least: int = 2, divergence: float = 0.02, discount: float = 0.75, frequent: int = HOT) -> DataFrame:
     """Scores of all whole texts under a tree that is fitted to those where ``in_training`` holds.
 
     Returns doc_id, in_training, n_tokens, n_known, train_tokens, base_score
@@ -352,7 +377,9 @@ def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str
     columns are not read.
 
     ``depth``: words of the longest context; ``least`` (2 at least),
-    ``divergence`` and ``discount`` (between 0 and 1): see above.
+    ``divergence`` and ``discount`` (between 0 and 1): see above.  Contexts of
+    more than ``frequent`` occurrences are dealt to several tasks, which
+    changes no result.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "suffix-tree")
@@ -371,7 +398,7 @@ def score(docs: DataFrame, in_training: Column, text: str = "text", doc_id: str
         yield writer.close()
 
     manifest = written(map_rows(narrow, blocks, "block long, size long, training long"), "suffix-tree-blocks")
-    levels = _Levels(spark, folder, manifest, depth, least, discount, divergence)
+    levels = _Levels(spark, folder, manifest, depth, least, discount, divergence, frequent)
     for _ in range(depth + 1):
         levels.exchange()
     out = written(levels.scores(), "suffix-tree-scores")

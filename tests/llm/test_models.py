@@ -369,9 +369,9 @@ def _tree_scores(texts, train, depth, least, divergence, discount):
     return [sum(math.log10(p(tuple(ws[max(0, i - depth) : i]), ws[i])) for i in range(len(ws))) for ws in tokens], states
 
 
-@pytest.mark.parametrize("crowded", [False, True])
-def test_suffix_tree_against_brute_force(spark, texts, monkeypatch, crowded):
-    """Also with small blocks and parts, and with contexts that are dealt to several parts (their divergence is then estimated piece by piece)."""
+@pytest.mark.parametrize(("crowded", "frequent"), [(False, 1 << 23), (True, 1 << 23), (False, 4), (True, 25)])
+def test_suffix_tree_against_brute_force(spark, texts, monkeypatch, crowded, frequent):
+    """Also with small blocks and parts, and with contexts whose next tokens are dealt to several parts, which changes no result."""
     every = [*ODD, *texts[:25], "a b c a b c a b d " * 9, "b c a d b c a b c " * 7, "c a b c d d a b " * 8, *texts[:5]]
     train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(every))]
     if crowded:
@@ -380,41 +380,10 @@ def test_suffix_tree_against_brute_force(spark, texts, monkeypatch, crowded):
     wanted, states = _tree_scores(every, train, 3, 4, 0.02, 0.75)
     assert {len(c) for c in states} == {1, 2, 3}
     df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
-    got = {r.doc_id: r.score for r in suffix_tree.score(df, common.crc32_of_id(F.col("doc_id")) % 10 != 0, depth=3, least=4).collect()}
+    got = {r.doc_id: r.score for r in suffix_tree.score(df, common.crc32_of_id(F.col("doc_id")) % 10 != 0, depth=3, least=4, frequent=frequent).collect()}
     assert [got[i] for i in range(len(every))] == pytest.approx(wanted, rel=1e-9)
 
 
-def test_suffix_tree_of_very_frequent_contexts(monkeypatch):
-    """A context whose continuations are dealt to pieces gets the distribution that it has in one piece."""
-    words = np.sort(np.random.default_rng(1).integers(0, 2**63, 61).astype(np.uint64))
-    scores = []
-    for hot in (1 << 30, 40):
-        monkeypatch.setattr(suffix_tree, "HOT", hot)
-        scores.append(_one_block(words))
-    assert scores[0] == pytest.approx(scores[1], rel=1e-9)
-
-
-def _one_block(words):
-    """log10 probabilities of one text by requests and answers alone."""
-    g, tokens = np.random.default_rng(2), [0]
-    for _ in range(6000):  # one of the twelve words that may follow
-        tokens.append((tokens[-1] * 5 + int(g.integers(0, 12))) % 60)
-    tokens = np.array([*tokens, 60], np.uint64)
-    data = suffix_tree._bundle([suffix_tree._pack(x, w) for x, w in ((np.array([7]), 8), (np.array([1]), 0), (np.array([1]), 0), (np.array([len(tokens)]), 0), (words, 8), (tokens, 0))])
-    block = suffix_tree._Block(data, 3, 4, 0.75)
-    for level in range(2):
-        answers, hot, distinct = [], [], 0
-        for _, request in sorted(block.ask()):
-            out, seen, often = suffix_tree._add_up([0], [request], level, 0.75, 0.02)
-            answers.append(out[0][1:])
-            hot.append(often)
-            distinct += seen
-        found, owner = np.unique(np.concatenate([h[0] for h in hot]).astype(np.uint64), return_inverse=True)
-        nexts = np.bincount(owner, np.concatenate([h[2] for h in hot])) if len(found) else np.zeros(0)
-        block.take(*block.told(answers, (found, nexts.astype(np.int64))), len(tokens), 61)
-    return block.rows(len(tokens))[0][-1]
-
-
 def test_suffix_tree_beats_single_words_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = suffix_tree.score(docs, common.crc32_of_id(F.col("doc_id")) % 10 != 0).filter("not in_training").collect()
