@@ -411,6 +411,14 @@ def test_classifier_edges(spark):
     # A text's score is the average that training used.
     ids, n = quality_classifier.features("a b b c")
     assert n.sum() == sum(len(quality_classifier.word_features(w)) for w in b"a b b c".split()) + 1
+    assert quality_classifier.features("a b b c", False)[1].sum() == n.sum() - 1
+    # N-grams of characters, not of bytes.
+    for w in ("na\u00efve", "plain", "\u4e2d\u6587", "\U0001f600x"):
+        shown = f"<{w}>"
+        wanted = [zlib.crc32(x.encode()) & quality_classifier.MASK for x in [shown, *(shown[i : i + k] for k in quality_classifier.GRAMS for i in range(len(shown) - k + 1))]]
+        assert quality_classifier.word_features(w.encode()) == wanted
+    plain = quality_classifier.fit(docs, labels, every, repeated=False)
+    assert quality_classifier.Scorer(plain).score("b b") == pytest.approx(quality_classifier.Scorer(plain).score("b"))
 
 
 def test_classifier_against_its_definition(spark, texts):
