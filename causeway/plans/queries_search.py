@@ -10,7 +10,7 @@ from causeway.functions import distributions
 from causeway.operators import count_tree as count_trees
 from causeway.operators import delta, independence, moments, preparation, scores, tables
 from causeway.operators.ordering import with_row_number
-from causeway.plans import bayes, bayes_em, clusters, compare, graphs, lofs, mixed, nongaussian, queries_statistics, ricf, search, sem, simulate, stability
+from causeway.plans import bayes, bayes_em, clusters, compare, graphs, lofs, mags, mixed, nongaussian, queries_statistics, ricf, search, sem, simulate, stability
 from causeway.plans.catalog import query, table
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -490,6 +490,25 @@ def correlated_errors(spark, sf):
     return spark.createDataFrame([(a, b, round(float(fit.implied[at[a], at[b]]), 6) + 0.0) for k, a in enumerate("abc") for b in "abc"[k:]], "var_i string, var_j string, implied double")
 
 
+#: Two effects of a cause that isn't among the columns, each with a cause and noise of its own.
+HIDDEN = {"a": "l_extendedprice / 28000", "b": "l_extendedprice / 28000 + l_quantity / 14 + l_discount * 30", "c": "l_quantity / 14 + l_tax * 40 + l_linenumber / 2.0", "d": "l_tax * 40"}
+
+
+@query(_values([("a", "b", "o", ">"), ("b", "c", ">", ">"), ("c", "d", ">", "o")], "n1, n2, end1, end2"))
+def hidden_cause(spark, sf):
+    """Both effects of a planted hidden cause point at each other, and nothing else is joined."""
+    cov = moments.covariance_matrix(_columns(spark, sf, HIDDEN), list(HIDDEN))
+    return _in_order(spark, search.fci(independence.FisherZ(cov, ALPHA)))
+
+
+@query(_values([(1, "a", "c", "o", ">"), (1, "b", "c", "o", ">"), (1, "c", "d", "-", ">"), (2, "a", "c", ">", ">"), (2, "a", "d", ">", ">"), (2, "b", "c", "o", ">"), (2, "c", "d", "-", ">")], "solution, n1, n2, end1, end2"))
+def overlapping_views(spark, sf):
+    """All that two searches, which see a, b, c and b, c, d, leave open about the four; the SQL lists what enumeration of all classes gives."""
+    views = [search.fci(independence.FisherZ(moments.covariance_matrix(_columns(spark, sf, {c: LINEAR[c] for c in names}), list(names)), ALPHA)) for names in ("abc", "bcd")]
+    rows = [(k + 1, *((a, b, x, y) if a < b else (b, a, y, x))) for k, g in enumerate(mags.integrate(views)) for a, b, x, y in g.edges()]
+    return spark.createDataFrame(rows, "solution int, " + EDGES)
+
+
 _SETS = [["a"], ["a", "c"], ["b", "d"], ["a", "b", "c"], ["d", "b", "c"]]
 
 
