@@ -28,6 +28,9 @@ COMMON = ["a", "an", "and", "any", "are", "as", "be", "by", "for", "from", "in",
 #: What decides first: a tag, a whole text, a line or an opening, a line that several licences share.
 BY_TAG, BY_TEXT, BY_NOTICE, BY_GENERIC = 4, 3, 2, 1
 
+#: A line of a licence file speaks for it if it is one in so many of its characters.
+COVERED = 20
+
 Template = tuple[str, str, int]  # licence, text, rank
 LINE_TEMPLATES: list[Template] = [(name, t, BY_NOTICE) for name, t in NOTICES] + [(name, t, BY_GENERIC) for name, t in GENERIC]
 TEXT_TEMPLATES: list[Template] = [(name, t, BY_TEXT) for name, t in TEXTS]
@@ -97,11 +100,16 @@ def _ancestors(directory: Column) -> Column:
 
 
 def _units(text: Column, holder: Column, heavy: str) -> Column:
-    """What is compared of a file, as ``(rank, unit)``: its tag, lines with a term heavy enough and, of a licence file, its opening (the first two lines with a word) and the whole text."""
+    """What is compared of a file, as ``(rank, unit)``: its tag, lines with a term heavy enough and, of a licence file, its opening (the first two lines with a word) and the whole text.
+
+    A line of a licence file must be a ``COVERED``-th of it: in a long licence
+    text single lines are quotations and phrases that other licences share.
+    """
     lines = F.split(text, "\n")
     worded = F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     opening = F.when(holder & (F.size(worded) > 1), F.array(F.array_join(F.slice(worded, 1, 2), " "))).otherwise(F.array().cast("array<string>"))
-    notices = F.filter(F.array_distinct(F.concat(lines, opening)), lambda x: x.rlike(heavy))
+    speaking = F.filter(lines, lambda x: ~holder | (COVERED * F.char_length(x) >= F.char_length(text)))
+    notices = F.filter(F.array_distinct(F.concat(speaking, opening)), lambda x: x.rlike(heavy))
     tag = F.filter(F.array(F.regexp_extract(text, TAG, 1)), lambda x: x != "")
     whole = F.when(holder & (F.size(worded) > 0), F.array(text)).otherwise(F.array().cast("array<string>"))
     ranked = lambda units, rank: F.transform(units, lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("unit")))
@@ -113,7 +121,8 @@ def scan(files: DataFrame, least: float = 0.6, path: str = "path", text: str = "
 
     A file's own licence is that of its first tag (score 1), else that of the
     whole text if it is a licence file, else the best match of its lines and,
-    in a licence file, of its opening.  The licence file of a directory with
+    in a licence file, of its opening; lines of a licence file count only if
+    they are a twentieth of it or more.  The licence file of a directory with
     several is that of the highest rank and score, then of the smallest path.
     ``license`` is the file's own, else the inherited one, else null.
 

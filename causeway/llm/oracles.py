@@ -44,7 +44,7 @@ select doc_id, n_lines, n_removed, case when text is null or n_removed = 0 then
 
 
 def _license_sql() -> str:
-    from causeway.llm.licenses import COMMON, LINE_TEMPLATES, TAG, TEXT_TEMPLATES
+    from causeway.llm.licenses import COMMON, COVERED, LINE_TEMPLATES, TAG, TEXT_TEMPLATES
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({k}, {kind}, {quoted(name)}, {rank}, {quoted(text)})" for kind, held in ((2, LINE_TEMPLATES), (3, TEXT_TEMPLATES)) for k, (name, text, rank) in enumerate(held))
@@ -57,7 +57,7 @@ idf as (select kind, term, ln((1 + any_value(n)) / (1 + count(distinct k))::doub
 tw as (select k, kind, license, rank, term, tf * idf as w, sqrt(sum(tf * idf * tf * idf) over (partition by k, kind)) as norm from tt join idf using (kind, term)),
 d as (select row_number() over () as r, doc_id, source, lang, text, len({_words("coalesce(text, '')")}) as n, coalesce(doc_id::varchar, 'none') as name from documents),
 f as (select r, doc_id, text, case when n <= 30 then source || '/LICENSE-' || name when n <= 60 then source || '/' || lang || '/LICENSE-' || name else source || '/' || lang || '/' || name || '.txt' end as path, n <= 60 as holder, list_filter(string_split(text, chr(10)), lambda x: trim(x, {_BLANKS}) <> '') as worded from d),
-u as (select path, 2 as kind, unnest(worded) as unit from f union select path, 2, worded[1] || ' ' || worded[2] from f where holder and len(worded) > 1 union select path, 3, text from f where holder and len(worded) > 0),
+u as (select path, 2 as kind, unnest(list_filter(worded, lambda x: not holder or {COVERED} * length(x) >= length(text))) as unit from f union select path, 2, worded[1] || ' ' || worded[2] from f where holder and len(worded) > 1 union select path, 3, text from f where holder and len(worded) > 0),
 ut as (select kind, unit, term, count(*) as tf from (select kind, unit, unnest({terms.format("unit")}) as term from (select distinct kind, unit from u)) group by all),
 uw as (select kind, unit, term, tf * coalesce(idf, ln(1 + n) + 1) as w from ut join size using (kind) left join idf using (kind, term)),
 un as (select kind, unit, sqrt(sum(w * w)) as norm from uw group by kind, unit),

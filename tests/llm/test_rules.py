@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,6 +188,30 @@ def test_own_columns_never_clash(spark):
     assert quality_rules.clean(df).columns == df.columns
 
 
+#: The texts of a system's licence folder and their licences; the BSD text there names its owner in its clauses.
+SYSTEM = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_whole_license_texts_of_the_system(spark):
+    """Each is labelled right or not at all."""
+    folder = Path("/usr/share/common-licenses")
+    held = [(f"{name}/COPYING", (folder / name).read_text(errors="replace")) for name in SYSTEM if (folder / name).exists()]
+    if not held:
+        pytest.skip("the system has no licence texts")
+    rows = {r.path.split("/")[0]: r.own_license for r in licenses.scan(spark.createDataFrame(held, "path string, text string")).collect()}
+    assert {k: v for k, v in rows.items() if v not in (None, SYSTEM[k])} == {}
+    assert sum(v is not None for v in rows.values()) >= len(held) - 2
+
+
+def test_lines_of_long_license_files(spark):
+    """A phrase within a long licence file doesn't name it; in other files, and in short licence files, it does."""
+    line = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    long_ = "\n".join(["Terms of some other kind"] + [f"Clause {i} on matter {i * 7} and its consequences." for i in range(200)] + [line])
+    files = [("a/LICENSE", long_), ("b/x.c", long_), ("c/LICENSE", f"Short terms\n{line}")]
+    rows = {r.path: r.own_license for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert rows == {"a/LICENSE": None, "b/x.c": "ISC", "c/LICENSE": "ISC"}
+
+
 def test_license_prefilter_loses_nothing(spark):
     """No line without a heavy term can reach the threshold."""
     v = licenses.Templates(licenses.LINE_TEMPLATES, 0.6)
