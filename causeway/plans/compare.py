@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.operators.scratch import drop, stored
 from causeway.plans.graphs import ARROW, TAIL, Graph, dag_to_pattern
 
 # On frames -----------------------------------------------------------------------------
@@ -61,11 +62,13 @@ def unshielded_triples(edges: DataFrame) -> DataFrame:
 def ancestor_pairs(edges: DataFrame, longest: int = 50) -> DataFrame:
     """``(ancestor, node)`` by doubling joins of the directed edges, to a fixed point."""
     now = edges.filter((F.col("end1") == TAIL) & (F.col("end2") == ARROW)).select(F.col("n1").alias("ancestor"), F.col("n2").alias("node"))
-    now = now.union(edges.filter((F.col("end2") == TAIL) & (F.col("end1") == ARROW)).select("n2", "n1")).distinct().cache()
+    now = stored(now.union(edges.filter((F.col("end2") == TAIL) & (F.col("end1") == ARROW)).select("n2", "n1")).distinct(), "ancestors")
     count = now.count()
     for _ in range(max(1, int(np.ceil(np.log2(longest)))) + 1):
-        more = now.union(now.select("ancestor", F.col("node").alias("m")).join(now.select(F.col("ancestor").alias("m"), "node"), "m").select("ancestor", "node")).distinct().cache()
+        # Written, not cached: a round reads what the last one wrote, which then goes.
+        more = stored(now.union(now.select("ancestor", F.col("node").alias("m")).join(now.select(F.col("ancestor").alias("m"), "node"), "m").select("ancestor", "node")).distinct(), "ancestors")
         after = more.count()
+        drop(now)
         now = more
         if after == count:
             break

@@ -449,6 +449,11 @@ def smooth(data: _Data, v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
 # Fitting ----------------------------------------------------------------------------------
 
 
+def _scaled(penalty: float, factor: float) -> float:
+    """An infinite factor rules a pair out whatever its penalty; a large number stands for it, as zero times infinity is none."""
+    return 1e12 if factor == float("inf") else penalty * factor
+
+
 def _pairs(data: _Data, continuous: list[str], discrete: list[str], survival: list[Survival]) -> list[Pair]:
     """All penalized groups; a discrete column weighs the root of the sum of its p (1 - p), all others 1."""
     layout, out = data.layout, []
@@ -513,17 +518,22 @@ def _quadratic(v: np.ndarray, grad: np.ndarray, hess: np.ndarray, groups: list[t
     return now
 
 
-def fit(df: DataFrame, continuous: list[str], discrete: list[str], survival: list[Survival] | None = None, penalties: dict[str, float] | None = None, steps: int = 50, tolerance: float = 1e-6) -> Model:
+def fit(df: DataFrame, continuous: list[str], discrete: list[str], survival: list[Survival] | None = None, penalties: dict[str, float] | None = None, steps: int = 50, tolerance: float = 1e-6, priors: dict[tuple[str, str], float] | None = None) -> Model:
     """The penalized maximum of the pseudolikelihood over all complete rows.
 
     ``penalties`` holds a number for each of the kinds cc, cd, dd, sc and sd
-    (missing ones are 0).  Steps end when the optimality conditions hold
+    (missing ones are 0).  ``priors`` scales the penalty of single pairs, named
+    in either order: below 1 where other knowledge speaks for a pair, above 1
+    where it speaks against it, infinite where it rules it out.  Steps end when the optimality conditions hold
     within ``tolerance`` (``Model.gap``).
     """
     survival, penalties = survival or [], penalties or {}
     data = prepare(df, continuous, discrete, survival)
     pairs = _pairs(data, continuous, discrete, survival)
-    groups = [(x.at, penalties.get(x.kind, 0.0) * x.weight) for x in pairs]
+    scale = {frozenset(k): v for k, v in (priors or {}).items()}
+    if unknown := [k for k in scale if not any(k == {x.a, x.b} for x in pairs)]:
+        raise ValueError(f"no such pair: {', '.join(' - '.join(sorted(k)) for k in unknown)}")
+    groups = [(x.at, _scaled(penalties.get(x.kind, 0.0) * x.weight, scale.get(frozenset((x.a, x.b)), 1.0))) for x in pairs]
     v = _null(data)
     loss, grad, hess = smooth(data, v)
     taken = 0

@@ -255,6 +255,18 @@ def logistic_status(spark, sf):
     return spark.createDataFrame([(str(c), n, round(float(b), 7), round(float(e), 7), round(float(p), 6)) for c, row in zip(f.classes[1:], zip(f.coefficients, f.errors, f.p)) for n, b, e, p in zip(f.names, *row)], "class string, term string, coefficient double, error double, p double")
 
 
+@query("select l_returnflag as category, count(*) as rows, round(sum(l_quantity), 3)::double as quantity from lineitem group by l_returnflag")
+def multinomial_moments(spark, sf):
+    """Numbers and quantities that the fitted multinomial model expects of each flag: at a maximum those of the table."""
+    df = table(spark, sf, "lineitem")
+    f = regression.logistic(df, "l_returnflag", ["l_quantity"])
+    logits = [F.lit(0.0), *[F.lit(float(row[0])) + F.lit(float(row[1])) * F.col("l_quantity") for row in f.coefficients]]
+    total = sum((F.exp(x) for x in logits[1:]), F.exp(logits[0]))
+    sums = [s for k, x in enumerate(logits) for s in (F.sum(F.exp(x) / total).alias(f"n{k}"), F.sum(F.exp(x) / total * F.col("l_quantity")).alias(f"q{k}"))]
+    row = df.agg(*sums).first()
+    return spark.createDataFrame([(str(c), round(row[f"n{k}"]), round(row[f"q{k}"], 3)) for k, c in enumerate(f.classes)], "category string, rows long, quantity double")
+
+
 @query()
 def multinomial_flag(spark, sf):
     f = regression.logistic(table(spark, sf, "lineitem"), "l_returnflag", ["l_quantity"])

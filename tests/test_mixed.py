@@ -129,6 +129,17 @@ def test_without_survival(spark, data):
     assert model.gap < 1e-6
 
 
+def test_priors_scale_single_pairs(data):
+    none = {("b", "a"): float("inf"), ("c", "d"): 0.0}
+    model = mixed.fit(data, CONTINUOUS, DISCRETE, None, PENALTIES, priors=none)
+    norm = {(x.a, x.b): model.norm(x) for x in model.pairs}
+    plain = mixed.fit(data, CONTINUOUS, DISCRETE, None, PENALTIES)
+    assert norm["a", "b"] == 0 < next(plain.norm(x) for x in plain.pairs if (x.a, x.b) == ("a", "b"))
+    assert norm["c", "d"] > 0 and model.gap < 1e-6
+    with pytest.raises(ValueError, match="no such pair: a - q"):
+        mixed.fit(data, CONTINUOUS, DISCRETE, None, PENALTIES, priors={("a", "q"): 1.0})
+
+
 def test_entry_penalties(data):
     """A pair is out of the model at its penalty and in just below, if no other pair is in."""
     found = {(a, b): (kind, x) for a, b, kind, x in mixed.entry_penalties(data, CONTINUOUS, DISCRETE, SURVIVAL)}
