@@ -266,4 +266,4 @@ def power_set(df: DataFrame, column: str) -> DataFrame:
 def grid(spark, dims: list[int]) -> DataFrame:
     """Every combination of 0..d-1 for each dimension."""
     parts = [spark.range(d).withColumnRenamed("id", f"d{i}") for i, d in enumerate(dims)]
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
+    return reduce(lambda a, b: a.crossJoin(b), parts)

@@ -16,6 +16,7 @@ from causeway.plans.graphs import TAIL, Graph
 
 # Resampling ---------------------------------------------------------------------------
 
+#: Edge marks; of marks with equal votes the first wins.
 MARKS = ["---", "-->", "<--", "<->", "o->", "<-o", "o-o"]
 
 
