@@ -79,3 +79,10 @@ def test_draws_are_repeatable(spark):
     two = transform(df, "u = U(0, 1)", "g = Gamma(2, 1)", "k = Discrete(0.2, 0.8)").orderBy("id").collect()
     assert one == two
     assert np.mean([r.u for r in one]) == pytest.approx(0.5, abs=0.05) and np.mean([r.g for r in one]) == pytest.approx(2, abs=0.15) and np.mean([r.k for r in one]) == pytest.approx(0.8, abs=0.05)
+
+
+def test_anderson_darling_far_from_normal(spark):
+    # The statistic grows with the rows: from 402 on its p-value's formula exceeds a double, as SQL's does.
+    squared, star, p = st.anderson_darling(spark.range(20_000).selectExpr("if(id % 2 = 0, 0.0, 1.0) x"), "x")
+    assert squared > 402 and star > squared and p == math.inf
+    assert st.anderson_darling_p(20.0) == pytest.approx(math.exp(1.2937 - 5.709 * 20 + 0.0186 * 400))
