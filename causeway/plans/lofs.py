@@ -4,7 +4,7 @@ A candidate is a variable with a set of parents.  Its residual is a linear
 form of the columns, whose coefficients follow from the covariance matrix; a
 score says how far the residual is from normal.  Scores that are means (skew,
 kurtosis, log-cosh ...) are partial sums; the Anderson-Darling statistic needs
-each residual's order, which is cut into buckets of the normal scale, counted
+each residual's order, which is cut into buckets of about equal size, counted
 and summed within them.
 """
 
@@ -24,8 +24,12 @@ from causeway.functions.statistics import known
 from causeway.operators.moments import Covariance, covariance_matrix
 from causeway.plans.graphs import TAIL, Graph
 
-#: Buckets of one residual's order.
-BUCKETS = 256
+#: Buckets of one residual's order: so many at least, and rows of one.
+LEAST_BUCKETS, BUCKET_ROWS = 8, 400_000
+#: Sampled rows for each bucket, from which the buckets' bounds are taken.
+SAMPLED = 50
+#: Values of the columns that a task orders at a time.
+CHUNK_VALUES = 1 << 21
 #: Probabilities stay this far from 0 and 1.
 EDGE = 1e-300
 
@@ -58,45 +62,79 @@ def _prepared(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Covariance,
     return rows, Covariance(list(columns), cov.matrix, cov.n), np.array([row[c] or 0.0 for c in rows.columns])
 
 
+def _cuts(rows: DataFrame, weights: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """Values (a row for each candidate) that cut each residual's order into buckets, from a sample of the rows: they only balance the buckets."""
+    buckets = max(LEAST_BUCKETS, -(-n // BUCKET_ROWS))
+    share = SAMPLED * buckets / max(n, 1)
+    found = (rows if share >= 1 else rows.sample(share, 42)).toArrow()
+    if not found.num_rows:
+        return np.zeros((weights.shape[1], 0))
+    v = np.column_stack([c.to_numpy() for c in found.columns]) @ weights + offsets
+    return np.quantile(v, np.arange(1, buckets) / buckets, axis=0).T
+
+
+def _runs(v: np.ndarray, m: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and their numbers (each value ``m`` times, or once)."""
+    if m is None:
+        v = np.sort(v)
+    else:
+        order = np.argsort(v)
+        v, m = v[order], m[order]
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    return v[first], np.diff([*first, len(v)]) if m is None else np.add.reduceat(m, first)
+
+
 def anderson_darling(df: DataFrame, columns: list[str], candidates: list[Candidate]) -> dict[Candidate, float]:
     """``A^2 (1 + 0.75 / n + 2.25 / n^2)`` of each candidate's residual, all in one job over the complete rows.
 
-    Equal residuals are counted before they are ordered.  A residual without
-    spread has the statistic 0.
+    Tasks order their residuals in chunks and cut them at the buckets' bounds,
+    so what is shuffled are arrays of values, with numbers where values repeat;
+    a bucket puts its arrays together.  A residual without spread has the
+    statistic 0.
     """
     rows, cov, means = _prepared(df, columns)
     weights, offsets = _forms(cov, means, candidates)
-    n, schema = cov.n, pa.schema([("k", pa.int32()), ("b", pa.int32()), ("v", pa.float64()), ("m", pa.int64())])
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, cuts = cov.n, _cuts(rows, weights, offsets, cov.n)
+    chunk = max(10_000, CHUNK_VALUES // len(columns))
+    parts = pa.schema([("k", pa.int32()), ("b", pa.int32()), ("v", pa.binary()), ("m", pa.binary())])
+
+    def cut(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate(held)
+        for k in range(weights.shape[1]):
+            v, m = _runs(np.round(x @ weights[:, k] + offsets[k], 12), None)
+            at = [0, *np.searchsorted(v, cuts[k]), len(v)]
+            full = [(b, i, j) for b, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+            numbers = [None if (m[i:j] == 1).all() else m[i:j].tobytes() for _, i, j in full]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(full), pa.int32()), pa.array([b for b, _, _ in full], pa.int32()), pa.array([v[i:j].tobytes() for _, i, j in full], pa.binary()), pa.array(numbers, pa.binary())], schema=parts)
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            for k in range(weights.shape[1]):
-                v, m = np.unique(np.round(x @ weights[:, k] + offsets[k], 12), return_counts=True)
-                b = np.minimum(np.floor(normal_cdf(v) * BUCKETS), BUCKETS - 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k), pa.int32()), pa.array(b), pa.array(v), pa.array(m, pa.int64())], schema=schema)
+            if batch.num_rows:
+                held.append(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+                size += batch.num_rows
+            if size >= chunk:
+                yield from cut(held)
+                held, size = [], 0
+        if held:
+            yield from cut(held)
+
+    def terms(table: pa.Table) -> pa.Table:
+        v = [np.frombuffer(x.as_buffer()) for x in table.column("v")]
+        m = [np.frombuffer(x.as_buffer(), np.int64) if x.is_valid else None for x in table.column("m")]
+        once = all(x is None for x in m)
+        v, m = _runs(np.concatenate(v), None if once else np.concatenate([np.ones(len(a), np.int64) if x is None else x for a, x in zip(v, m)]))
+        own, far = (np.cumsum(m) - m).astype(float), np.maximum(normal_cdf(-np.abs(v)), EDGE)
+        near = np.log1p(-far)
+        low, high = np.where(v < 0, np.log(far), near) * m, np.where(v < 0, near, np.log(far)) * m
+        # Places own + 1 ... own + m of the bucket: the sums of 2 i - 1 and of 2 (n - i) + 1; what lies before the bucket moves them by twice its number.
+        inner = float((low * (2 * own + m) + high * (2 * (n - own) - m)).sum())
+        return pa.table({"k": table.column("k")[:1].cast(pa.int32()), "b": table.column("b")[:1].cast(pa.int32()), "n": [int(m.sum())], "s": [inner], "t": [float((low - high).sum())]})
 
-    values = rows.mapInArrow(counted, "k int, b int, v double, m long").groupBy("k", "b", "v").agg(F.sum("m").alias("m"))
     # A row for each residual and bucket.
-    totals = values.groupBy("k", "b").agg(F.sum("m").alias("all"))
-    before = totals.select("k", "b", F.coalesce(F.sum("all").over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = F.coalesce(F.sum("m").over(Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.withColumn("own", own).join(before, ["k", "b"]).select("k", "v", F.col("m").cast("double").alias("m"), (F.col("own") + F.col("before")).cast("double").alias("below"))
-    pieces = pa.schema([("k", pa.int32()), ("s", pa.float64())])
-
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, float] = {}
-        for batch in batches:
-            k, v, m, below = (c.to_numpy() for c in batch.columns)
-            # Places below + 1 ... below + m: the sums of 2 i - 1 and of 2 (n - i) + 1.
-            low = np.log(np.maximum(normal_cdf(v), EDGE)) * m * (2 * below + m)
-            high = np.log(np.maximum(normal_cdf(-v), EDGE)) * m * (2 * (n - below) - m)
-            for one in np.unique(k).tolist():
-                total[one] = total.get(one, 0.0) + float((low + high)[k == one].sum())
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.float64())], schema=pieces)
-
-    found = {r.k: r.s for r in ranked.mapInArrow(terms, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
+    sums = rows.mapInArrow(ordered, "k int, b int, v binary, m binary").groupBy("k", "b").applyInArrow(terms, "k int, b int, n long, s double, t double")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = {r.k: r.s for r in sums.select("k", (F.col("s") + 2.0 * before * F.col("t")).alias("s")).groupBy("k").agg(F.sum("s").alias("s")).collect()}
     flat = np.all(weights == 0, axis=0)
     return {c: 0.0 if flat[k] else float((-n - found[k] / n) * (1 + 0.75 / n + 2.25 / n**2)) for k, c in enumerate(candidates)}
 
