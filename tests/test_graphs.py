@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from causeway.operators.independence import ChiSquare, DSeparation, Facts, FisherZ
 from causeway.operators.moments import Covariance
@@ -85,6 +86,29 @@ def test_edge_frames(spark):
     assert {tuple(x) for x in compare.unshielded_triples(a).collect()} == {("A", "B", "C"), ("B", "C", "D")}
 
 
+def test_unshielded_triples_of_crowded_nodes(spark, monkeypatch):
+    monkeypatch.setattr(compare, "NEIGHBOURS", 10, raising=False)
+    rng = np.random.default_rng(3)
+    pairs = {tuple(x) for x in np.sort(rng.integers(0, 40, (250, 2))).tolist()} | {(40, k) for k in range(41, 441)}
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    wanted = {(f"{a:03}", f"{b:03}", f"{c:03}") for b in near for a in near[b] for c in near[b] if a < c and c not in near[a]}
+    edges = spark.createDataFrame([(f"{a:03}", f"{b:03}", "-", ">") for a, b in pairs], "n1 string, n2 string, end1 string, end2 string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = compare.unshielded_triples(edges)
+        rows = [tuple(x) for x in found.collect()]
+        # One node has nearly all triples, which no task may have alone.
+        parts = [r[1] for r in found.filter("b = '040'").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == len(wanted) and set(rows) == wanted
+    assert len(parts) == 4 and max(parts) < 0.5 * sum(parts)
+
+
 def test_accuracy_statistics():
     t, e = graphs.from_spec("A-->B,B-->C"), graphs.from_spec("A-->B,C-->B,A---C")
     s = compare.STATISTICS
