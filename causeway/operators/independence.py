@@ -19,6 +19,7 @@ from causeway.functions.distributions import chisq_quantile, chisq_tail, gamma_c
 from causeway.operators.count_tree import CountTree
 from causeway.operators.moments import Covariance, covariance_matrix, partial_correlation
 from causeway.operators.regression import cox, dummies, likelihood_ratio, logistic, ols
+from causeway.operators.scratch import drop, stored
 from causeway.operators.tables import kind
 
 
@@ -306,17 +307,43 @@ class ConditionalCorrelation(IndependenceTest):
 
 
 class _WholeTable(IndependenceTest):
-    """Base of tests over all complete rows, with kernels as random Fourier features: cosines whose products' mean is a Gaussian kernel.  Sums of products of the features are all that is gathered."""
+    """Base of tests over all complete rows, with kernels as random Fourier features: cosines whose products' mean is a Gaussian kernel.  Sums of products of the features are all that is gathered.
+
+    Rows that are equal in a test's columns are counted first, and their
+    features made once.  ``like`` names a test of the same table and columns
+    whose counted rows and sums are shared; ``release`` removes them.
+    """
 
     #: Features of the variables tested, and of those conditioned on.
     OWN, GIVEN = 20, 200
+    #: Rows whose features are made at a time; they stay in the processor's cache.
+    BLOCK = 1_024
 
-    def __init__(self, df: DataFrame, names: list[str], alpha: float = 0.05, seed: int = 42) -> None:
+    def __init__(self, df: DataFrame, names: list[str], alpha: float = 0.05, seed: int = 42, like: _WholeTable | None = None) -> None:
         super().__init__(names, alpha)
+        if like is not None:
+            if (like.names, like.seed) != (names, seed):
+                raise ValueError("only tests of the same columns and seed share sums")
+            self.n, self.seed, self.rows, self.held, self.known = like.n, seed, like.rows, like.held, like.known
+            return
         rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(names)]).dropna()
         found = rows.agg(F.count("*"), *[f(F.col(f"v{i}")) for i in range(len(names)) for f in (F.avg, F.stddev_pop)]).first()
         self.n, self.seed = int(found[0]), seed
         self.rows = rows.select(*[((F.col(f"v{i}") - F.lit(found[1 + 2 * i])) / F.lit(found[2 + 2 * i])).alias(f"v{i}") for i in range(len(names))])
+        self.held: dict[tuple[int, ...], DataFrame] = {}
+        self.known: dict[tuple, np.ndarray] = {}
+
+    def release(self) -> None:
+        """Remove the counted rows."""
+        while self.held:
+            drop(self.held.popitem()[1])
+
+    def _counted(self, cols: list[int]) -> DataFrame:
+        """Distinct rows of some columns, with their numbers."""
+        at = tuple(sorted(cols))
+        if at not in self.held:
+            self.held[at] = stored(self.rows.groupBy(*[f"v{i}" for i in at]).agg(F.count("*").cast("double").alias("n")), "counted-rows")
+        return self.held[at]
 
     def _features(self, label: str, cols: list[int], count: int, width: float) -> Callable[[np.ndarray], np.ndarray]:
         g = np.random.default_rng([self.seed, *label.encode(), *cols])
@@ -327,21 +354,34 @@ class _WholeTable(IndependenceTest):
         wide, narrow = self._features("z", k, self.GIVEN // 2, 1.0), self._features("w", k, self.GIVEN // 2, 0.3)
         return lambda v: np.hstack([v[:, k], wide(v), narrow(v)])
 
-    def _sums(self, features: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """Mean products of features of a row: a partial matrix per task, added up by cell."""
-        schema = pa.schema([("cell", pa.int32()), ("value", pa.float64())])
+    def _joint(self, i: int, j: int, k: list[int]) -> np.ndarray:
+        """Mean products of 1, x, y, the features of x and of y, and those of z: one pass for both tests."""
+        key = (i, j, *k)
+        if key not in self.known:
+            width = 0.8 if self.n <= 200 else 0.5 if self.n <= 1200 else 0.3
+            fx, fy, fz = self._features("x", [i, *k], self.OWN, width), self._features("y", [j], self.OWN, width), self._given(k) if k else None
+            self.known[key] = self._sums(lambda v: _ones(v[:, [i, j]], fx(v), fy(v), *([fz(v)] if fz else [])), [i, j, *k])
+        return self.known[key]
+
+    def _sums(self, features: Callable[[np.ndarray], np.ndarray], cols: list[int]) -> np.ndarray:
+        """Mean products of features of a row, which depend on ``cols``: a partial matrix per task, added up by cell."""
+        schema, counted, block, width = pa.schema([("cell", pa.int32()), ("value", pa.float64())]), self._counted(cols), self.BLOCK, len(self.names)
+        at = [int(c[1:]) for c in counted.columns[:-1]]
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                for i in range(0, batch.num_rows, 4096):
-                    part = batch.slice(i, 4096)
-                    f = features(np.column_stack([c.to_numpy() for c in part.columns]))
+                for i in range(0, batch.num_rows, block):
+                    part = batch.slice(i, block)
+                    v = np.zeros((part.num_rows, width))
+                    v[:, at] = np.column_stack([c.to_numpy() for c in part.columns[:-1]])
+                    f = features(v)
+                    f *= np.sqrt(part.column(len(at)).to_numpy())[:, None]
                     total = f.T @ f if total is None else total + f.T @ f
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], schema=schema)
 
-        cells = self.rows.mapInArrow(partial, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+        cells = counted.mapInArrow(partial, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
         out = np.zeros(cells.num_rows)
         out[cells.column("cell").to_numpy()] = cells.column("value").to_numpy()
         return out.reshape(int(np.sqrt(len(out))), -1) / self.n
@@ -356,10 +396,8 @@ class WholeKernelTest(_WholeTable):
 
     def p_value(self, x, y, z):
         i, j, k = self.names.index(x), self.names.index(y), [self.names.index(c) for c in z]
-        width, d = 0.8 if self.n <= 200 else 0.5 if self.n <= 1200 else 0.3, self.OWN
-        fx, fy, fz = self._features("x", [i, *k], d, width), self._features("y", [j], d, width), self._given(k) if k else None
-        s = self._sums(lambda v: _ones(fx(v), fy(v), *([fz(v)] if fz else [])))
-        s = (s[1:, 1:] - np.outer(s[0, 1:], s[0, 1:])) * self.n
+        d, s = self.OWN, self._joint(i, j, k)
+        s = (s[3:, 3:] - np.outer(s[0, 3:], s[0, 3:])) * self.n
         own = s[: 2 * d, : 2 * d]
         if k:
             szz, szo = s[2 * d :, 2 * d :], s[2 * d :, : 2 * d]
@@ -373,8 +411,8 @@ class WholeKernelTest(_WholeTable):
 class WholeConditionalCorrelation(_WholeTable):
     """``ConditionalCorrelation`` over all rows of a table: residuals of ridge regression on the features of z, then their joint moments."""
 
-    def __init__(self, df: DataFrame, names: list[str], alpha: float = 0.05, seed: int = 42, degree: int = 3) -> None:
-        super().__init__(df, names, alpha, seed)
+    def __init__(self, df: DataFrame, names: list[str], alpha: float = 0.05, seed: int = 42, degree: int = 3, like: _WholeTable | None = None) -> None:
+        super().__init__(df, names, alpha, seed, like)
         self.degree = degree
 
     def p_value(self, x, y, z):
@@ -382,7 +420,8 @@ class WholeConditionalCorrelation(_WholeTable):
         fz, top = self._given(k) if k else None, 2 * self.degree
         beta = mean = None
         if k:
-            s = self._sums(lambda v: _ones(v[:, [i, j]], fz(v)))
+            s, own = self._joint(i, j, k), 3 + 2 * self.OWN
+            s = s[np.ix_(at := [0, 1, 2, *range(own, len(s))], at)]
             mean = s[0, 1:]
             c = s[1:, 1:] - np.outer(mean, mean)
             beta = np.linalg.solve(c[2:, 2:] + 1e-6 * np.eye(len(c) - 2), c[2:, :2])
@@ -393,7 +432,7 @@ class WholeConditionalCorrelation(_WholeTable):
                 r = r - mean[:2] - (fz(v) - mean[2:]) @ beta
             return np.hstack([r[:, :1] ** np.arange(top + 1), r[:, 1:] ** np.arange(top + 1)])
 
-        m, ps = self._sums(powers)[: top + 1, top + 1 :], []
+        m, ps = self._sums(powers, [i, j, *k])[: top + 1, top + 1 :], []
         for p in range(1, self.degree + 1):
             for q in range(1, self.degree + 1):
                 ma, mb = m[p, 0], m[0, q]

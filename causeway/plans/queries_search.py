@@ -177,8 +177,10 @@ def markov_blankets(spark, sf):
 def independence_tests(spark, sf):
     """p-values of the tests on continuous columns, over all rows."""
     cov, df = _cov(spark, sf), table(spark, sf, "lineitem")
-    tests = {"fisher_z": independence.FisherZ(cov), "correlation_t": independence.CorrelationT(cov), "cramer_t": independence.CramerT(cov), "full_order": independence.FullOrderCorrelation(cov), "kernel": independence.WholeKernelTest(df, NUMBERS), "conditional_correlation": independence.WholeConditionalCorrelation(df, NUMBERS)}
+    kernel = independence.WholeKernelTest(df, NUMBERS)
+    tests = {"fisher_z": independence.FisherZ(cov), "correlation_t": independence.CorrelationT(cov), "cramer_t": independence.CramerT(cov), "full_order": independence.FullOrderCorrelation(cov), "kernel": kernel, "conditional_correlation": independence.WholeConditionalCorrelation(df, NUMBERS, like=kernel)}
     rows = [(name, x, y, ",".join(z), float(t.p_value(x, y, z))) for name, t in tests.items() for x, y, z in (("l_quantity", "l_extendedprice", []), ("l_quantity", "l_discount", ["l_tax"]), ("l_discount", "l_tax", ["l_quantity", "l_extendedprice"]))]
+    kernel.release()
     return spark.createDataFrame(rows, "test string, x string, y string, z string, p double")
 
 

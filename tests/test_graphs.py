@@ -255,3 +255,24 @@ def test_kernel_and_conditional_correlation_over_all_rows(spark, monkeypatch):
     monkeypatch.setattr(nongaussian, "sample_rows", no_sample)
     out = queries_search.independence_tests(spark, "/root/testdata/sf0.001").collect()
     assert len(out) == 18 and all(0 <= r.p <= 1 for r in out)
+
+
+def test_equal_rows_are_counted_before_their_features_are_made(spark):
+    from causeway.operators.independence import WholeConditionalCorrelation, WholeKernelTest
+
+    v = np.random.default_rng(8).integers(0, 4, (3_000, 3)).astype(float)
+    df = spark.createDataFrame(v.tolist(), "x double, y double, z double")
+    kernel = WholeKernelTest(df, ["x", "y", "z"])
+    both, alone = WholeConditionalCorrelation(df, ["x", "y", "z"], like=kernel), WholeConditionalCorrelation(df, ["x", "y", "z"])
+    for z in ([], ["z"]):
+        kernel.p_value("x", "y", z)
+        assert both.p_value("x", "y", z) == pytest.approx(alone.p_value("x", "y", z), rel=1e-6)
+    assert {at: t.count() for at, t in kernel.held.items()} == {(0, 1): 16, (0, 1, 2): 64}
+    scaled = (v - v.mean(0)) / v.std(0)
+    f = np.column_stack([np.ones(len(v)), scaled[:, [2, 0]]])
+    assert kernel._joint(2, 0, [])[:3, :3] == pytest.approx(f.T @ f / len(v), abs=1e-9)
+    with pytest.raises(ValueError, match="same columns"):
+        WholeKernelTest(df, ["x", "y"], like=kernel)
+    kernel.release()
+    alone.release()
+    assert not both.held
