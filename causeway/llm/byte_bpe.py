@@ -9,6 +9,7 @@ the listed positions and their two neighbours only.
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -151,6 +152,15 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (unsigned 32 bit) of each text."""
+        collects = gc.isenabled()
+        gc.disable()  # many small lists and no cycles: the collector would only walk over what is remembered
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.pieces.findall(t) for t in texts]
         parts = [list(map(self.young.get, s)) for s in split]
         short = [k for k, p in enumerate(parts) if None in p]

@@ -457,3 +457,19 @@ def test_digests(spark, tiktok):
     for r in rows:
         ids = tiktok.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+def test_encoding_bytes_without_the_collector():
+    import gc
+
+    coder = byte_bpe.Codec(b"\n".join(base64.b64encode(bytes([k])) + b" %d" % k for k in range(256)), r"[^ ]+| +")
+    runs = []
+    note = lambda phase, info: runs.append(phase)
+    gc.collect()
+    gc.callbacks.append(note)
+    try:
+        ids = coder.encode([" ".join(f"p{k}" for k in range(20_000))])
+    finally:
+        gc.callbacks.remove(note)
+    assert bytes(ids[0].astype("u1").tolist()).decode().split(" ")[-1] == "p19999"
+    assert len(runs) <= 2 and gc.isenabled()
