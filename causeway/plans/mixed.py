@@ -7,12 +7,15 @@ columns.  Pairs carry group penalties of five kinds: continuous pairs (cc),
 mixed pairs (cd), discrete pairs (dd), survival with continuous (sc) and with
 discrete (sd).
 
-Rows stay on the executors, packed into cells of bounded size.  A step of the
-fit takes sums over cells: the normal part needs the sums of products alone,
-taken once; the softmax part one pass; the Cox part three, because risk sets
-reach over cells: sums of weights, then of hazards, then of gradients.  A few
-numbers for each cell reach the driver, which solves the small penalized
-quadratic that the sums define (proximal Newton steps).
+Rows stay on the executors, packed into cells of bounded size, in a cell by
+their combination of codes: rows of one combination share all indicators, so
+their sums go over the continuous columns alone.  A step of the fit takes sums
+over cells: the normal part needs the sums of products alone, taken once; the
+softmax part one pass; the Cox part up to three, because risk sets reach over
+cells: sums of weights, then of hazards (only in cells of three times or more),
+then of gradients, in one pass with the softmax part.  A few numbers for each
+cell reach the driver, which solves the small penalized quadratic that the sums
+define (proximal Newton steps).
 """
 
 from __future__ import annotations
@@ -21,20 +24,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.statistics import known
 from causeway.operators import tables
-from causeway.operators.ordering import with_row_number
+from causeway.operators.ordering import ROWS
 from causeway.operators.scratch import drop, stored
 from causeway.plans.graphs import TAIL, Graph
 
 KINDS = ("cc", "cd", "dd", "sc", "sd")
-#: Rows of a cell.
+#: Rows of a cell; at most 65,536.
 CELL = 20_000
+#: Rows of a combination of codes, on average over a cell, from which combinations are taken one by one.
+SHARED = 16
+#: Events of one time from which their sum is taken in closed form.
+MANY_TIES = 1_000
 #: Categories of one discrete column; more are refused.
 MOST_CATEGORIES = 100
 
@@ -152,6 +159,7 @@ class _Data:
     cells: DataFrame
     n: int
     gram: np.ndarray
+    hits: np.ndarray
     events: list[int]
     layout: _Layout
     categories: dict[str, list]
@@ -159,19 +167,44 @@ class _Data:
     deviations: dict[str, float]
 
 
-def _packed(pdf: pd.DataFrame, k: int, cell: int, p: int, q: int, r: int) -> dict:
-    x = pdf[[f"x{i}" for i in range(p)]].to_numpy(np.float64)
-    y = pdf[[f"y{j}" for j in range(q)]].to_numpy(np.int32)
-    return {"k": k, "cell": cell, "n": len(pdf), "x": x.tobytes(), "y": y.tobytes(), "t": pdf["t"].to_numpy(np.float64).tobytes() if r else b"", "e": pdf["e"].to_numpy(np.int8).tobytes() if r else b""}
+def _packed(rows: pa.Table, k: int, cell: int, p: int, q: int, r: int) -> dict:
+    """A cell: its rows in the order of their codes, each combination and its size, and the place of each row's time among the cell's times."""
+    n, column = rows.num_rows, lambda c, kind: rows.column(c).to_numpy().astype(kind)
+    x, y = [column(f"x{i}", np.float64) for i in range(p)], [column(f"y{j}", np.uint8) for j in range(q)]
+    order = np.lexsort(y) if q else np.arange(n)
+    codes = np.array([v[order] for v in y]).reshape(q, n)
+    start = np.flatnonzero(np.concatenate([[True], (codes[:, 1:] != codes[:, :-1]).any(0)]))
+    out = {"k": k, "cell": cell, "n": n, "u": 0, "x": np.array([v[order] for v in x]).tobytes(), "y": codes[:, start].T.astype(np.int32).tobytes(), "m": np.diff([*start, n]).astype(np.int32).tobytes(), "t": b"", "g": b"", "e": b""}
+    if r:
+        t = column("t", np.float64)
+        new = np.concatenate([[True], t[1:] != t[:-1]])
+        out |= {"u": int(new.sum()), "t": t[new].tobytes(), "g": (np.cumsum(new) - 1)[order].astype(np.uint16).tobytes(), "e": column("e", np.int8)[order].tobytes()}
+    return out
 
 
 def _packer(k: int, p: int, q: int, r: int):
-    def pack(key, pdf):
-        return pd.DataFrame([_packed(pdf.sort_values("t", kind="stable"), k, int(key[0]), p, q, r)])
+    """Batches, in the order of times if there are any, to cells numbered in the order of partitions and rows."""
+    most = CELL
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, rows = TaskContext.get().partitionId() << 32, [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            while rows >= most:
+                table = pa.Table.from_batches(held)
+                yield pa.RecordBatch.from_pylist([_packed(table.slice(0, most), k, number, p, q, r)], schema=_ARROW)
+                number, held, rows = number + 1, table.slice(most).to_batches(), rows - most
+        if rows:
+            yield pa.RecordBatch.from_pylist([_packed(pa.Table.from_batches(held), k, number, p, q, r)], schema=_ARROW)
 
     return pack
 
 
+_CELLS = "k int, cell long, n int, u int, x binary, y binary, m binary, t binary, g binary, e binary"
+_ARROW = pa.schema([(c, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for c, t in (f.split() for f in _CELLS.split(", "))])
+
+
 def prepare(df: DataFrame, continuous: list[str], discrete: list[str], survival: list[Survival]) -> _Data:
     """Complete rows, standardized and coded, in cells; for each survival column once more in the order of its times.
 
@@ -195,57 +228,98 @@ def prepare(df: DataFrame, continuous: list[str], discrete: list[str], survival:
         if row[f"low{k}"] < 0 or row[f"odd{k}"]:
             raise ValueError(f"{s.name}: times must not be negative, and events are 0 or 1")
     scaled = rows.select(*[((F.col(f"x{i}") - row[f"m{i}"]) / row[f"s{i}"]).alias(f"x{i}") for i in range(p)], *[c for c in rows.columns if c[0] != "x"])
-    schema = "k int, cell long, n int, x binary, y binary, t binary, e binary"
     wanted = [f"x{i}" for i in range(p)] + [f"y{j}" for j in range(q)]
     if r:
-        parts = []
+        cores, parts = df.sparkSession.sparkContext.defaultParallelism, []
+        # Range partitions hold consecutive times; rows of one time may lie in several, by their hash.
+        n = max(1, min(-(-row.n // CELL), max(cores, -(-row.n // ROWS))))
         for k in range(r):
-            ordered = with_row_number(scaled.select(*wanted, F.col(f"t{k}").alias("t"), F.col(f"e{k}").alias("e")), "t")
-
-            parts.append(ordered.withColumn("cell", F.floor(F.col("_row") / CELL).cast("long")).groupBy("cell").applyInPandas(_packer(k, p, q, r), schema))
+            own = scaled.select(*wanted, F.col(f"t{k}").alias("t"), F.col(f"e{k}").alias("e"))
+            ordered = own.withColumn("_hash", F.xxhash64(*own.columns)).repartitionByRange(n, "t", "_hash").sortWithinPartitions("t")
+            parts.append(ordered.drop("_hash").mapInArrow(_packer(k, p, q, r), _CELLS))
         packed = parts[0]
         for x in parts[1:]:
             packed = packed.unionByName(x)
     else:
-
-        def pack_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pd.DataFrame([_packed(pdf.iloc[i : i + CELL], 0, 0, p, q, 0) for i in range(0, len(pdf), CELL)])
-
-        packed = scaled.select(*wanted).mapInPandas(pack_batches, schema)
+        packed = scaled.select(*wanted).mapInArrow(_packer(0, p, q, 0), _CELLS)
     layout = _Layout(p, [len(categories[c]) for c in discrete], r)
-    data = _Data(stored(packed, "mixed-cells"), row.n, np.empty(0), [int(row[f"d{k}"] or 0) for k in range(r)], layout, categories, {c: row[f"m{i}"] for i, c in enumerate(continuous)}, {c: row[f"s{i}"] for i, c in enumerate(continuous)})
+    data = _Data(stored(packed, "mixed-cells"), row.n, np.empty(0), np.empty(0), [int(row[f"d{k}"] or 0) for k in range(r)], layout, categories, {c: row[f"m{i}"] for i, c in enumerate(continuous)}, {c: row[f"s{i}"] for i, c in enumerate(continuous)})
     m = 1 + p + sum(layout.levels)
-    data.gram = _sums(data, lambda z, y: (z.T @ z).ravel(), m * m).reshape(m, m) / row.n
+
+    def of(k: int, c: int, cell: _Cell, *times: bytes) -> Iterator[tuple[int, np.ndarray]]:
+        if k == 0:
+            yield -1, cell.products(np.ones(cell.z.shape[1])).ravel()
+        if r:
+            yield k, cell.total(np.frombuffer(times[2], np.int8)[None].astype(np.float64))[0]
+
+    found = _sums(data, of)
+    data.gram = found[-1].reshape(m, m) / row.n
+    data.hits = np.array([found[k] for k in range(r)])
     return data
 
 
-def _design(layout: _Layout, n: int, x: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(1, continuous, indicators) of a cell, and its codes."""
-    codes = np.frombuffer(y, np.int32).reshape(n, len(layout.levels))
-    z = np.zeros((n, 1 + layout.p + sum(layout.levels)))
-    z[:, 0] = 1
-    z[:, 1 : 1 + layout.p] = np.frombuffer(x, np.float64).reshape(n, layout.p)
-    for j, a in enumerate(layout.cuts[:-1]):
-        z[np.arange(n), 1 + layout.p + a + codes[:, j]] = 1
-    return z, codes
+class _Cell:
+    """A cell's design (1, continuous, indicators), a column for each row.
 
+    Rows of one combination of codes lie together, and their indicators are
+    held once.  Where combinations are nearly as many as rows, indicators are
+    held like continuous columns instead.
+    """
 
-def _sums(data: _Data, of, size: int) -> np.ndarray:
-    """The sum over all cells of a vector that ``of`` makes from a cell's design and codes; a partial sum for each task."""
-    layout, arrow = data.layout, pa.schema([("i", pa.int32()), ("v", pa.float64())])
+    def __init__(self, layout: _Layout, n: int, x: bytes, y: bytes, m: bytes) -> None:
+        sizes, q = np.frombuffer(m, np.int32), len(layout.levels)
+        codes, marks = np.frombuffer(y, np.int32).reshape(len(sizes), q), np.zeros((len(sizes), sum(layout.levels)))
+        for j, a in enumerate(layout.cuts[:-1]):
+            marks[np.arange(len(sizes)), a + codes[:, j]] = 1
+        z = [np.ones((1, n)), np.frombuffer(x, np.float64).reshape(layout.p, n)]
+        if len(sizes) * SHARED > n:
+            z, marks, sizes = [*z, np.repeat(marks, sizes, axis=0).T], np.zeros((1, 0)), np.array([n])
+        self.z, self.marks, self.sizes = np.vstack(z), marks, sizes
+        ends = np.cumsum(sizes)
+        self.groups = list(zip(ends - sizes, ends))
+
+    def linear(self, c: np.ndarray) -> np.ndarray:
+        """c'z of each row, for each column of ``c``."""
+        wide = len(self.z)
+        return c[:wide].T @ self.z + np.repeat((self.marks @ c[wide:]).T, self.sizes, axis=1)
+
+    def total(self, w: np.ndarray) -> np.ndarray:
+        """The sum of w z over the rows, for each line of ``w``."""
+        own = np.array([w[:, a:b] @ self.z[:, a:b].T for a, b in self.groups])
+        return np.hstack([own.sum(0), own[:, :, 0].T @ self.marks])
+
+    def products(self, w: np.ndarray) -> np.ndarray:
+        """The sum of w z z' over the rows."""
+        heavy = self.z * w
+        own = np.array([heavy[:, a:b] @ self.z[:, a:b].T for a, b in self.groups])
+        cross = own[:, 0].T @ self.marks
+        return np.vstack([np.hstack([own.sum(0), cross]), np.hstack([cross.T, (self.marks * own[:, :1, 0]).T @ self.marks])])
+
+
+def _unpacked(layout: _Layout, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """``(k, number, cell, its times, places among them, events)`` of each cell, one at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            k, c, n, x, y, m, *times = (col[i].as_py() for col in b.columns)
+            yield k, c, _Cell(layout, n, x, y, m), *times
+
+
+def _sums(data: _Data, of) -> dict[int, np.ndarray]:
+    """Sums over all cells of the numbered vectors that ``of`` makes of a cell; a partial sum for each task."""
+    layout, arrow = data.layout, pa.schema([("j", pa.int32()), ("i", pa.int32()), ("v", pa.float64())])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for b in batches:
-            for n, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                total += of(*_design(layout, n, x, y))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(total)], schema=arrow)
+        totals = {}
+        for cell in _unpacked(layout, batches):
+            for j, v in of(*cell):
+                totals[j] = totals[j] + v if j in totals else v
+        for j, v in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), j), pa.int32()), pa.array(np.arange(len(v)), pa.int32()), pa.array(v)], schema=arrow)
 
-    out = np.zeros(size)
-    for i, v in data.cells.filter("k = 0").select("n", "x", "y").mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[i] = v
-    return out
+    out = {}
+    for j, i, v in data.cells.select("k", "cell", "n", "x", "y", "m", "t", "g", "e").mapInArrow(partial, "j int, i int, v double").groupBy("j", "i").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(j, {})[i] = v
+    return {j: np.array([v[i] for i in range(len(v))]) for j, v in out.items()}
 
 
 # The three kinds of conditional likelihood ------------------------------------------------
@@ -278,41 +352,52 @@ def _normal_part(data: _Data, v: np.ndarray, grad: np.ndarray, hess: np.ndarray)
     return loss
 
 
-def _softmax_part(data: _Data, v: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> float:
-    """Mean negative log likelihoods of the discrete columns: one pass for value, gradient and curvature."""
-    layout = data.layout
-    if not layout.levels:
-        return 0.0
-    m = 1 + layout.p + sum(layout.levels)
-    places = [layout.softmax(j) for j in range(len(layout.levels))]
-    coefficients = [np.where(at >= 0, v[at], 0.0) for at in places]
-    sizes = [1 + m * k + (m * k) ** 2 for k in layout.levels]
+def _softmax_sums(layout: _Layout, v: np.ndarray):
+    """What a cell adds to the discrete columns' likelihoods: for each column its log sums, shares and second moments of shares."""
+    coefficients = [np.where(at >= 0, v[at], 0.0) for at in map(layout.softmax, range(len(layout.levels)))]
 
-    def of(z: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    def of(cell: _Cell) -> np.ndarray:
         out = []
-        for j, (c, k) in enumerate(zip(coefficients, layout.levels)):
-            e = z @ c
-            top = e.max(1, keepdims=True)
-            share = np.exp(e - top)
-            total = share.sum(1, keepdims=True)
+        for c in coefficients:
+            share = cell.linear(c)
+            top = share.max(0)
+            share = np.exp(share - top)
+            total = share.sum(0)
             share /= total
-            hit = np.zeros_like(share)
-            hit[np.arange(len(z)), codes[:, j]] = 1
-            h = np.empty((m, k, m, k))
-            for a in range(k):
-                for b in range(k):
-                    h[:, a, :, b] = (z * (share[:, a] * ((a == b) - share[:, b]))[:, None]).T @ z
-            out += [[float((np.log(total[:, 0]) + top[:, 0] - (e * hit).sum(1)).sum())], (z.T @ (share - hit)).ravel(), h.ravel()]
+            out += [[float(np.log(total).sum() + top.sum())], cell.total(share).ravel()]
+            out += [cell.products(share[a] * share[b]).ravel() for a in range(len(share)) for b in range(a + 1, len(share))]
         return np.concatenate(out)
 
-    found, loss, start = _sums(data, of, sum(sizes)) / data.n, 0.0, 0
-    for at, k, size in zip(places, layout.levels, sizes):
-        part, at = found[start : start + size], at.ravel()
-        start += size
-        own = np.flatnonzero(at >= 0)
-        loss += part[0]
-        np.add.at(grad, at[own], part[1 : 1 + m * k][own])
-        np.add.at(hess, np.ix_(at[own], at[own]), part[1 + m * k :].reshape(m * k, m * k)[np.ix_(own, own)])
+    return of
+
+
+def _softmax_part(data: _Data, v: np.ndarray, found: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> float:
+    """Mean negative log likelihoods of the discrete columns from their sums.
+
+    The linear parts of the rows' own categories are sums of products.  Shares
+    add up to 1, so the curvature is made of pairs of different categories.
+    """
+    layout, loss, start = data.layout, 0.0, 0
+    m = 1 + layout.p + sum(layout.levels)
+
+    def following(*shape: int) -> np.ndarray:
+        nonlocal start
+        start += int(np.prod(shape))
+        return found[start - int(np.prod(shape)) : start].reshape(shape) / data.n
+
+    for j, k in enumerate(layout.levels):
+        at, hit = layout.softmax(j), data.gram[:, 1 + layout.p + layout.cuts[j] :][:, :k]
+        logs, share, h = following(1)[0], following(k, m), np.zeros((m, k, m, k))
+        for a in range(k):
+            for b in range(a + 1, k):
+                both = following(m, m)
+                h[:, a, :, b] = h[:, b, :, a] = -both
+                h[:, a, :, a] += both
+                h[:, b, :, b] += both
+        at, used = at.ravel(), at.ravel() >= 0
+        loss += logs - float(v[at[used]] @ hit.ravel()[used])
+        np.add.at(grad, at[used], (share.T - hit).ravel()[used])
+        np.add.at(hess, np.ix_(at[used], at[used]), h.reshape(m * k, m * k)[np.ix_(used, used)])
     return loss
 
 
@@ -325,19 +410,33 @@ def _efron(s0: np.ndarray, dead: np.ndarray, m: np.ndarray) -> tuple[np.ndarray,
     return add(1 / left), add(share / left), add(np.log(left))
 
 
-class _Cell:
-    """A cell in the order of times: its distinct times, and sums over the rows of each."""
-
-    def __init__(self, layout: _Layout, n: int, x: bytes, y: bytes, t: bytes, e: bytes, beta: np.ndarray) -> None:
-        z, _ = _design(layout, n, x, y)
-        self.x, self.e = z[:, 1:], np.frombuffer(e, np.int8).astype(np.int64)
-        times = np.frombuffer(t, np.float64)
-        self.start = np.flatnonzero(np.concatenate([[True], times[1:] != times[:-1]]))
-        self.times, self.group = times[self.start], np.repeat(np.arange(len(self.start)), np.diff([*self.start, n]))
-        eta = self.x @ beta
-        self.w, self.hits = np.exp(eta), float(eta[self.e == 1].sum())
-        add = lambda v: np.add.reduceat(v, self.start)
-        self.sums, self.dead, self.m = add(self.w), add(self.w * self.e), add(self.e)
+def _efron_of_one(s0: float, dead: float, m: int) -> tuple[float, float, float]:
+    """The same of one time with any number of events.
+
+    In units of dead / m the terms are those of a - l, a = m * s0 / dead.  The
+    last ones are added up; before them, where terms are smooth, their sums
+    are integrals with the Euler-Maclaurin terms of both ends.
+    """
+    if m <= MANY_TIES or dead <= 0:
+        return tuple(float(x[0]) for x in _efron(np.array([s0]), np.array([dead]), np.array([m])))
+    unit, far = dead / m, m - 100
+    a = s0 / unit
+    near = a - np.arange(far, m)
+    u, b = far / a, a - far
+    inverse = -np.log1p(-u) + (1 / a - 1 / b) / 2 + (1 / b**2 - 1 / a**2) / 12 - (1 / b**4 - 1 / a**4) / 120 + float((1 / near).sum())
+    # Logarithms of 1 - l / a.
+    logs = a * (-(1 - u) * np.log1p(-u) - u) - np.log1p(-u) / 2 - (1 / b - 1 / a) / 12 + (1 / b**3 - 1 / a**3) / 360 + float(np.log(near / a).sum())
+    return inverse / unit, (a * inverse - m) / dead, logs + m * np.log(s0)
+
+
+class _Risk:
+    """Weights of a cell's rows, and their sums over the rows of each of its times."""
+
+    def __init__(self, cell: _Cell, t: bytes, g: bytes, e: bytes, beta: np.ndarray) -> None:
+        self.times, self.group, self.e = np.frombuffer(t, np.float64), np.frombuffer(g, np.uint16).astype(np.intp), np.frombuffer(e, np.int8).astype(np.float64)
+        self.w = np.exp(cell.linear(np.concatenate([[0.0], beta])[:, None])[0])
+        add = lambda v: np.bincount(self.group, v, len(self.times)) if len(self.times) > 1 else np.array([v.sum()])
+        self.sums, self.dead, self.m = add(self.w), add(self.w * self.e), add(self.e).astype(np.int64)
 
     def inner(self, after: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hazards, their tie parts and losses of the times that no other cell can hold."""
@@ -346,45 +445,37 @@ class _Cell:
         return _efron(s0[inside], self.dead[inside], self.m[inside])
 
 
-def _per_cell(data: _Data, of, columns: str) -> list:
+def _per_cell(data: _Data, of, columns: str, where: str = "true") -> list:
     """A row of numbers for each cell, in the order of survival columns and cells."""
     layout, names = data.layout, ["k", "cell", *columns.split()]
     kinds = [pa.int32(), pa.int64(), *[pa.float64()] * (len(names) - 2)]
     schema = "k int, cell long" + "".join(f", {c} double" for c in names[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(k, c, *of(k, c, layout, n, *rest)) for k, c, n, *rest in zip(*(x.to_pylist() for x in b.columns))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=names)
+        rows = [(k, c, *of(k, c, *rest)) for k, c, *rest in _unpacked(layout, batches)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=names)
 
-    return sorted(data.cells.select("k", "cell", "n", "x", "y", "t", "e").mapInArrow(run, schema).collect())
+    return sorted(data.cells.filter(where).select("k", "cell", "n", "x", "y", "m", "t", "g", "e").mapInArrow(run, schema).collect())
 
 
-def _cox_part(data: _Data, v: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> float:
-    """Partial likelihoods of the survival columns, each by the number of its events.
+def _cox_hazards(data: _Data, betas: list[np.ndarray]) -> tuple[float, dict, dict]:
+    """Loss of the survival columns, but for the events' linear parts, and for each cell what lies after and before it.
 
-    The curvature is that of the weights with hazards held fixed, which is at
-    least the true one.  Rows of one time may lie in several cells: each cell
-    reports the sums of its first and last time, which are put together here.
+    Rows of one time may lie in several cells: each cell reports the sums of
+    its first and last time, which are put together here.
     """
-    layout, r = data.layout, data.layout.r
-    if not r:
-        return 0.0
-    places = [layout.cox(k) for k in range(r)]
-    betas, wide = [v[at] for at in places], layout.p + sum(layout.levels)
 
-    def weigh(k, c, layout, n, *packed):
-        x = _Cell(layout, n, *packed, betas[k])
-        return x.sums.sum(), x.hits, *[f for i in (0, -1) for f in (x.times[i], x.sums[i], x.dead[i], float(x.m[i]))]
+    def weigh(k, c, cell, *times):
+        x = _Risk(cell, *times, betas[k])
+        return x.sums.sum(), len(x.times), *[f for i in (0, -1) for f in (x.times[i], x.sums[i], x.dead[i], float(x.m[i]))]
 
-    first = _per_cell(data, weigh, "w hits t0 w0 d0 m0 t1 w1 d1 m1")
+    first = _per_cell(data, weigh, "w u t0 w0 d0 m0 t1 w1 d1 m1")
     edges, after, loss = {}, {}, 0.0
-    for k in range(r):
+    for k in range(len(betas)):
         total = 0.0
         for row in reversed([x for x in first if x.k == k]):
             after[k, row.cell] = total
-            loss -= row.hits / max(data.events[k], 1)
             one = row.t0 == row.t1
             for t, w, d, m in ((row.t1, row.w1, row.d1, row.m1), *(() if one else ((row.t0, row.w, row.d0, row.m0),))):
                 held = edges.setdefault((k, t), [0.0, 0.0, 0.0])
@@ -393,48 +484,55 @@ def _cox_part(data: _Data, v: np.ndarray, grad: np.ndarray, hess: np.ndarray) ->
             total += row.w
     hazard = {}
     for (k, t), (s0, d, m) in edges.items():
-        h, ties, logs = (float(x[0]) for x in _efron(np.array([s0]), np.array([d]), np.array([int(m)])))
+        h, ties, logs = _efron_of_one(s0, d, int(m))
         hazard[k, t] = (h, ties)
         loss += logs / max(data.events[k], 1)
 
-    def hazards(k, c, layout, n, *packed):
-        h, _, logs = _Cell(layout, n, *packed, betas[k]).inner(after[k, c])
+    def hazards(k, c, cell, *times):
+        h, _, logs = _Risk(cell, *times, betas[k]).inner(after[k, c])
         return h.sum(), logs.sum()
 
-    second, so_far, known_by = _per_cell(data, hazards, "h logs"), {}, {}
-    for a, b in zip(first, second):
+    second = {(x.k, x.cell): x for x in _per_cell(data, hazards, "h logs", "u > 2")} if any(x.u > 2 for x in first) else {}
+    so_far, known_by = {}, {}
+    for a in first:
+        h, logs = (second[a.k, a.cell].h, second[a.k, a.cell].logs) if a.u > 2 else (0.0, 0.0)
         last = known_by.get(a.k, (None, 0.0))
         at_first = last[1] if last[0] == a.t0 else last[1] + hazard[a.k, a.t0][0]
-        at_last = at_first if a.t0 == a.t1 else at_first + b.h + hazard[a.k, a.t1][0]
+        at_last = at_first if a.t0 == a.t1 else at_first + h + hazard[a.k, a.t1][0]
         known_by[a.k] = (a.t1, at_last)
         so_far[a.k, a.cell] = (at_first, at_last, hazard[a.k, a.t0][1], hazard[a.k, a.t1][1])
-        loss += b.logs / max(data.events[a.k], 1)
-    size, arrow = wide + wide * wide, pa.schema([("k", pa.int32()), ("i", pa.int32()), ("v", pa.float64())])
+        loss += logs / max(data.events[a.k], 1)
+    return loss, after, so_far
 
-    def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {}
-        for b in batches:
-            for k, c, n, *packed in zip(*(x.to_pylist() for x in b.columns)):
-                x = _Cell(layout, n, *packed, betas[k])
-                h, ties, _ = x.inner(after[k, c])
-                at_first, at_last, tie_first, tie_last = so_far[k, c]
-                risk, tie = np.full(len(x.times), at_last), np.full(len(x.times), tie_last)
-                risk[0], tie[0] = at_first, tie_first
-                risk[1 : 1 + len(h)], tie[1 : 1 + len(h)] = at_first + np.cumsum(h), ties
-                pull = x.w * (risk[x.group] - x.e * tie[x.group])
-                total = totals.setdefault(k, np.zeros(size))
-                total[:wide] += x.x.T @ (pull - x.e)
-                total[wide:] += ((x.x * pull[:, None]).T @ x.x).ravel()
-        for k, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, k), pa.int32()), pa.array(np.arange(size), pa.int32()), pa.array(total)], schema=arrow)
-
-    found = np.zeros((r, size))
-    for k, i, value in data.cells.select("k", "cell", "n", "x", "y", "t", "e").mapInArrow(gradients, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
-        found[k, i] = value / max(data.events[k], 1)
-    for k, at in enumerate(places):
-        grad[at] += found[k, :wide]
-        hess[np.ix_(at, at)] += found[k, wide:].reshape(wide, wide)
-    return float(loss)
+
+def _cox_sums(betas: list[np.ndarray], after: dict, so_far: dict):
+    """What a cell adds to the curvature of a survival column's likelihood; its first line is the gradient but for the events."""
+
+    def of(k: int, c: int, cell: _Cell, *times: bytes) -> np.ndarray:
+        x = _Risk(cell, *times, betas[k])
+        h, ties, _ = x.inner(after[k, c])
+        at_first, at_last, tie_first, tie_last = so_far[k, c]
+        risk, tie = np.full(len(x.times), at_last), np.full(len(x.times), tie_last)
+        risk[0], tie[0] = at_first, tie_first
+        risk[1 : 1 + len(h)], tie[1 : 1 + len(h)] = at_first + np.cumsum(h), ties
+        return cell.products(x.w * (risk[x.group] - x.e * tie[x.group])).ravel()
+
+    return of
+
+
+def _cox_part(data: _Data, v: np.ndarray, loss: float, found: dict[int, np.ndarray], grad: np.ndarray, hess: np.ndarray) -> float:
+    """Partial likelihoods of the survival columns from their sums, each by the number of its events.
+
+    The curvature is that of the weights with hazards held fixed, which is at
+    least the true one.
+    """
+    m = 1 + data.layout.p + sum(data.layout.levels)
+    for k in range(data.layout.r):
+        at, pull, events = data.layout.cox(k), found[k].reshape(m, m), max(data.events[k], 1)
+        loss -= float(v[at] @ data.hits[k, 1:]) / events
+        grad[at] += (pull[0, 1:] - data.hits[k, 1:]) / events
+        hess[np.ix_(at, at)] += pull[1:, 1:] / events
+    return loss
 
 
 def smooth(data: _Data, v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -443,7 +541,25 @@ def smooth(data: _Data, v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     loss = _normal_part(data, v, grad, hess)
     if not np.isfinite(loss):
         return loss, grad, hess
-    return loss + _softmax_part(data, v, grad, hess) + _cox_part(data, v, grad, hess), grad, hess
+    layout = data.layout
+    discrete = _softmax_sums(layout, v) if layout.levels else None
+    if layout.r:
+        betas = [v[layout.cox(k)] for k in range(layout.r)]
+        cox_loss, after, so_far = _cox_hazards(data, betas)
+        survival = _cox_sums(betas, after, so_far)
+
+    def of(k: int, c: int, cell: _Cell, *times: bytes) -> Iterator[tuple[int, np.ndarray]]:
+        if discrete and k == 0:
+            yield -1, discrete(cell)
+        if times[0]:
+            yield k, survival(k, c, cell, *times)
+
+    found = _sums(data, of) if layout.levels or layout.r else {}
+    if layout.levels:
+        loss += _softmax_part(data, v, found[-1], grad, hess)
+    if layout.r:
+        loss += _cox_part(data, v, cox_loss, found, grad, hess)
+    return loss, grad, hess
 
 
 # Fitting ----------------------------------------------------------------------------------

@@ -70,6 +70,43 @@ def test_sums_over_cells(data, monkeypatch, cell):
     assert np.linalg.eigvalsh(hess).min() > -1e-9
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_passes_of_a_step(spark, monkeypatch, most):
+    """A step reads all cells twice; a third time only where times lie inside cells, as other cells need no such sums."""
+    pdf = _table()
+    pdf["st"], pdf["ut"] = np.arange(600) % most + 1.0, 5.0
+    held = mixed.prepare(spark.createDataFrame(pdf), CONTINUOUS, DISCRETE, SURVIVAL)
+    v, frames, taken = mixed._null(held) + 0.05, type(held.cells), []
+    collect = frames.collect
+    monkeypatch.setattr(frames, "collect", lambda self: taken.append(1) or collect(self))
+    assert mixed.smooth(held, v)[0] == pytest.approx(_objective(pdf, held.layout, v), rel=1e-9)
+    assert len(taken) == (2 if most < 3 else 3)
+
+
+@pytest.mark.parametrize("continuous, discrete", [([], DISCRETE), (CONTINUOUS, []), (["a"], ["k", "e"])])
+def test_rows_of_few_and_of_many_combinations(spark, monkeypatch, continuous, discrete):
+    """No continuous columns, no discrete ones, nearly as many combinations as rows: all as with indicators row by row."""
+    pdf = _table().assign(k=np.arange(600) % 12)
+    found = []
+    for shared in (0, 10**9):
+        monkeypatch.setattr(mixed, "SHARED", shared)
+        held = mixed.prepare(spark.createDataFrame(pdf), continuous, discrete, SURVIVAL)
+        found.append(mixed.smooth(held, mixed._null(held) + 0.01))
+    for a, b in zip(*found):
+        assert a == pytest.approx(b, rel=1e-9, abs=1e-12)
+
+
+@pytest.mark.parametrize("risk", [1.0, 1.001, 7.0, 1e6])
+@pytest.mark.parametrize("m", [1_001, 40_000])
+def test_many_events_of_one_time(risk, m):
+    """The closed form is the sum over all events; it takes no longer for a billion of them."""
+    dead = 0.3 * m
+    wanted = mixed._efron(np.array([risk * dead]), np.array([dead]), np.array([m]))
+    assert mixed._efron_of_one(risk * dead, dead, m) == pytest.approx([x[0] for x in wanted], rel=1e-10)
+    h, ties, logs = mixed._efron_of_one(4e9, 2e9, 10**9)
+    assert (h, ties, logs / 1e9) == pytest.approx((np.log(2) / 2, np.log(2) - 0.5, np.log(4e9) + np.log(2) - 1), rel=1e-6)
+
+
 def _norms_in_sql(pdf, model):
     """For each pair the length of the gradient of the loss, and of its parameters, from DuckDB on the raw rows."""
     duck, p, q = duckdb.connect(), len(CONTINUOUS), sum(len(x) for x in model.categories.values())
